@@ -218,8 +218,9 @@ def csv_export(t: Tables) -> DataFrame:
 )
 def ingest_objects(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "objects")
-    objects = t.fx_raw_lines.filter(clean.is_object(F.col("value")))
-    lake.append_messages(cleaning.messages_from_lines(objects), path)
+    parsed = cleaning.valid_lines(t.fx_raw_lines)
+    objects = parsed.filter(clean.members(F.col("doc")).isNotNull())
+    lake.append_messages(cleaning.messages_from_parsed(objects), path)
     stored = lake.read_lake(t.spark, path)
     return stored.groupBy("msg_id").agg(F.count(F.lit(1)).alias("copies"))
 

@@ -1,4 +1,7 @@
-"""Expressions over raw JSON messages."""
+"""Expressions over raw JSON messages.
+
+A document is parsed once into a VARIANT; fields are then read from its binary form.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,8 @@ from pyspark.sql import functions as F
 
 from chatlake import schemas
 
+_MEMBERS = "map<string,variant>"
+
 
 def is_blank(line: Column) -> Column:
     return ~line.rlike(r"\S")
@@ -16,20 +21,21 @@ def is_json(line: Column) -> Column:
     return F.try_parse_json(line).isNotNull()
 
 
-def is_object(document: Column) -> Column:
-    return F.ltrim(document).startswith("{") & is_json(document)
+def members(document: Column) -> Column:
+    """Members of a JSON object, null-valued ones included; null for anything else."""
+    return F.try_variant_get(document, "$", _MEMBERS)
 
 
-def keys_of(document: Column) -> Column:
-    """Names present at the top level, null-valued ones included."""
-    return F.coalesce(F.json_object_keys(document), F.array().cast("array<string>"))
+def member_text(object_members: Column, name: str) -> Column:
+    """A member as text; a nested object or list keeps its JSON form."""
+    return F.try_element_at(object_members, F.lit(name)).cast("string")
 
 
-def payload_of(document: Column) -> Column:
-    """The ``data`` object of an envelope, or the document itself when it is flat."""
-    inner = F.get_json_object(document, "$.data")
-    wrapped = ~F.array_contains(keys_of(document), "msg_id") & is_object(inner)
-    return F.when(wrapped, inner).otherwise(document)
+def body_of(top: Column) -> Column:
+    """Members of the ``data`` object of an envelope, or of the document when it is flat."""
+    inner = members(F.try_element_at(top, F.lit("data")))
+    wrapped = ~F.map_contains_key(top, "msg_id") & inner.isNotNull()
+    return F.when(wrapped, inner).otherwise(top)
 
 
 def lacks(keys: Column, required: list[str]) -> Column:

@@ -8,55 +8,53 @@ from pyspark.sql import types as T
 
 from chatlake import schemas
 from chatlake.functions import clean
+from chatlake.operators.shaping import evaluate_once
 
 RAW_PREVIEW = 500
 
 
-def classify_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Tag each line ``blank``, ``bad`` or ``ok``."""
-    value = F.col(column)
+def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Add ``doc``, the parsed JSON, and ``line_kind``: ``blank``, ``bad`` or ``ok``."""
+    parsed = evaluate_once(lines, {"doc": F.try_parse_json(column)})
     kind = (
-        F.when(clean.is_blank(value), "blank")
-        .when(~clean.is_json(value), "bad")
+        F.when(clean.is_blank(F.col(column)), "blank")
+        .when(F.col("doc").isNull(), "bad")
         .otherwise("ok")
     )
-    return lines.withColumn("line_kind", kind)
+    return parsed.withColumn("line_kind", kind)
 
 
 def valid_lines(lines: DataFrame, column: str = "value", strict: bool = False) -> DataFrame:
     """Non-blank lines holding JSON; in strict mode a malformed line fails the job."""
-    value = F.col(column)
-    filled = lines.filter(~clean.is_blank(value))
     if strict:
-        return filled.filter(F.parse_json(value).isNotNull())
-    return filled.filter(clean.is_json(value))
+        filled = lines.filter(~clean.is_blank(F.col(column)))
+        return filled.withColumn("doc", F.parse_json(column))
+    return parse_lines(lines, column).filter(F.col("line_kind") == "ok").drop("line_kind")
+
 
+def extract_payload(parsed: DataFrame) -> DataFrame:
+    """Flatten envelopes of parsed lines: one text column per message field.
 
-def extract_payload(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Flatten envelopes: one text column per message field, plus the names present."""
-    document = F.col(column)
-    outer = F.from_json(document, "guid string, notify_type string")
-    outer_keys = clean.keys_of(document)
-    opened = lines.withColumn("payload", clean.payload_of(document))
-    inner_keys = clean.keys_of(F.col("payload"))
+    ``present`` lists the names the message carries, null-valued ones included;
+    ``guid`` and ``notify_type`` come from the envelope when the message lacks them.
+    """
     inherited = ["guid", "notify_type"]
-    present = F.array_union(
-        inner_keys,
-        F.filter(outer_keys, lambda name: name.isin(*inherited)),
-    )
-    parsed = opened.withColumn("_msg", F.from_json("payload", schemas.RAW_MESSAGE)).withColumn(
-        "_outer", outer
-    )
-    fields: list[Column] = []
-    for field in schemas.RAW_MESSAGE.names:
-        own = F.col(f"_msg.{field}")
-        if field in inherited:
-            own = F.when(F.array_contains(inner_keys, field), own).otherwise(
-                F.col(f"_outer.{field}")
+    tops = evaluate_once(parsed, {"_top": clean.members(F.col("doc"))})
+    opened = evaluate_once(tops, {"_body": clean.body_of(F.col("_top"))})
+    body, top = F.col("_body"), F.col("_top")
+    fields: dict[str, Column] = {}
+    for name in schemas.RAW_MESSAGE.names:
+        own = clean.member_text(body, name)
+        if name in inherited:
+            own = F.when(F.map_contains_key(body, name), own).otherwise(
+                clean.member_text(top, name)
             )
-        fields.append(own.alias(field))
-    kept = [F.col(name) for name in lines.columns if name != column]
-    return parsed.select(*kept, F.col("payload"), present.alias("present"), *fields)
+        fields[name] = own
+    outer = F.filter(F.map_keys(top), lambda name: name.isin(*inherited))
+    fields["present"] = F.coalesce(
+        F.array_union(F.map_keys(body), outer), F.array().cast("array<string>")
+    )
+    return evaluate_once(opened.drop("doc"), fields).drop("_top")
 
 
 def clean_fields(df: DataFrame) -> DataFrame:
@@ -87,7 +85,7 @@ def prepare_messages(df: DataFrame) -> DataFrame:
 def coerce_numbers(df: DataFrame) -> DataFrame:
     """Keep rows whose numeric fields hold whole numbers, as numbers."""
     numbers = {name: clean.whole_number(F.col(name)) for name in schemas.NUMERIC_FIELDS}
-    return df.withColumns(numbers).dropna(subset=schemas.NUMERIC_FIELDS)
+    return evaluate_once(df, numbers).dropna(subset=schemas.NUMERIC_FIELDS)
 
 
 def with_day(df: DataFrame, column: str = "create_time") -> DataFrame:
@@ -117,48 +115,44 @@ def conform(df: DataFrame, schema: T.StructType = schemas.MESSAGES) -> DataFrame
     return df.select(*columns)
 
 
-def keep_unknown(df: DataFrame) -> DataFrame:
-    """Unknown payload fields, kept as one JSON text in ``extra``."""
+def keep_unknown(extracted: DataFrame) -> DataFrame:
+    """Unknown payload fields of extracted rows, kept as one JSON text in ``extra``."""
     known = F.array(*[F.lit(name) for name in schemas.RAW_MESSAGE.names])
-    everything = F.from_json("payload", "map<string,string>")
-    unknown = F.map_filter(everything, lambda name, _: ~F.array_contains(known, name))
-    return df.withColumn("extra", F.when(F.size(unknown) > 0, F.to_json(unknown)))
+    unknown = F.map_filter("_body", lambda name, _: ~F.array_contains(known, name))
+    return extracted.withColumn("extra", F.when(F.size(unknown) > 0, F.to_json(unknown)))
 
 
 def messages_from_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """The whole cleaning chain, from JSON text to rows of the message table."""
-    raw = extract_payload(valid_lines(lines, column), column)
-    typed = coerce_numbers(prepare_messages(raw))
+    return messages_from_parsed(valid_lines(lines, column))
+
+
+def messages_from_parsed(parsed: DataFrame) -> DataFrame:
+    typed = coerce_numbers(prepare_messages(extract_payload(parsed)))
     return conform(times_to_timestamp(typed))
 
 
 def quarantine(lines: DataFrame, column: str = "value") -> DataFrame:
     """Dead-letter rows of one pass: bad JSON, missing fields, unusable values."""
-    tagged = classify_lines(lines, column).filter(F.col("line_kind") != "blank")
-    bad = F.col("line_kind") == "bad"
-    document = F.when(~bad, F.col(column))
-    opened = extract_payload(
-        tagged.withColumn("_raw", F.col(column)).withColumn(column, document), column
-    )
+    tagged = parse_lines(lines, column).filter(F.col("line_kind") != "blank")
+    opened = extract_payload(tagged)
     missing = clean.lacks(F.col("present"), schemas.REQUIRED_FIELDS)
-    unusable = F.lit(False)
+    unusable = F.coalesce("msg_id", F.lit("")) == ""
     for name in schemas.NUMERIC_FIELDS:
         unusable = unusable | clean.whole_number(F.col(name)).isNull()
-    unusable = unusable | (F.coalesce("msg_id", F.lit("")) == "")
+    judged = evaluate_once(opened, {"_missing": missing, "_unusable": unusable})
     kind = (
         F.when(F.col("line_kind") == "bad", "parse_error")
-        .when(F.size(missing) > 0, "schema_error")
-        .when(unusable, "validation_error")
+        .when(F.size("_missing") > 0, "schema_error")
+        .when(F.col("_unusable"), "validation_error")
     )
+    names = F.when(F.col("error_type") == "schema_error", F.array_join("_missing", ","))
     return (
-        opened.withColumn("error_type", kind)
+        judged.withColumn("error_type", kind)
         .filter(F.col("error_type").isNotNull())
-        .withColumn(
-            "missing_fields",
-            F.when(F.col("error_type") == "schema_error", F.array_join(missing, ",")).otherwise(""),
-        )
-        .withColumn("raw", F.left("_raw", F.lit(RAW_PREVIEW)))
-        .drop("_raw")
+        .withColumn("missing_fields", F.coalesce(names, F.lit("")))
+        .withColumn("raw", F.left(column, F.lit(RAW_PREVIEW)))
+        .drop("_missing", "_unusable", "_body", "present", "line_kind", column)
     )
 
 

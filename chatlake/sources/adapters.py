@@ -147,6 +147,53 @@ from customer
 select c_custkey, cast(c_custkey % 5 - 1 as int) as contacttype, cast(c_custkey % 3 as int) as deleteflag,
        0 as verifyflag, cast(c_custkey % 4 as int) as sex, 1200 as notify_type
 from customer
+""",
+    "fx_raw_files": """
+select distinct case when user_id % 50 = 0 then concat('notes_', user_id) else concat('', cast(ts as date)) end as stem
+from events
+""",
+    "fx_landed_days": """
+select distinct concat('', cast(ts as date)) as day_key from events where day(ts) % 3 > 0
+""",
+    "fx_ranges": """
+select user_id, cast(min(ts) as date) as first_day, cast(max(ts) as date) as last_day from events group by user_id
+""",
+    "fx_checkpoint_log": """
+select concat('file_', user_id % 40) as source_file, event_id as log_no, event_id * 3 as last_processed_line,
+       concat('evt_', event_id) as last_processed_msg_id, event_id + 1 as processed_record_count,
+       case event_type when 'purchase' then 'completed' when 'error' then 'failed' else 'processing' end as status
+from events
+""",
+    "fx_extraction_log": """
+select concat('day_', cast(ts as date)) as parquet_file, concat('user_', user_id % 3) as from_username, event_id as log_no,
+       case when event_type in ('click', 'view') then 'completed' when event_type = 'error' then 'failed' else 'processing' end as status,
+       user_id as total_images_extracted
+from events
+""",
+    "fx_registry": """
+select event_type as schema_name, event_id as version, concat('k bigint, u', user_id % 9, ' string') as fields, concat('v', event_id) as description
+from events
+""",
+    "fx_image_events": """
+select concat('a', user_id) as image_id, event_id as event_no,
+       case event_type when 'click' then 'pending' when 'view' then 'downloading' when 'purchase' then 'completed' when 'error' then 'failed' end as status,
+       case when event_type = 'purchase' then concat('http://i/', event_id) end as download_url,
+       case when event_type = 'error' then concat('Error code: ', event_id) end as error_message,
+       case when event_type = 'signup' then event_id % 2 = 0 end as has_text,
+       case when event_type = 'signup' and event_id % 2 = 0 then concat('ocr ', event_id) end as ocr_content
+from events
+""",
+    "fx_download_responses": """
+select i.image_id,
+       case length(i.image_id) % 4 when 0 then concat('{"errcode":0,"data":{"url":"http://d/', i.image_id, '"}}')
+            when 1 then concat('{"errcode":0,"data":{"download_url":"http://e/', i.image_id, '"}}')
+            when 2 then '{"errcode":0,"data":{}}'
+            else case when i.msg_id > 'c5' then '{"errcode":7,"errmsg":"busy"}' else '{"errcode":9}' end end as response
+from fx_images i
+""",
+    "fx_ocr_responses": """
+select image_id, case when length(image_id) % 2 = 0 then concat('{"content":"t ', image_id, '","prism_wnum":3}') else '{"content":"","prism_wnum":0}' end as response
+from fx_images where status = 'completed'
 """,
 }
 

@@ -194,6 +194,34 @@ from fx_images i
     "fx_ocr_responses": """
 select image_id, case when length(image_id) % 2 = 0 then concat('{"content":"t ', image_id, '","prism_wnum":3}') else '{"content":"","prism_wnum":0}' end as response
 from fx_images where status = 'completed'
+""",
+    "fx_term_chat": """
+select msg_id, chatroom, chatroom_sender, from_username, create_epoch, conv_id, turn,
+       case when conv_id % 5 = 0 then concat('byd ', content) when conv_id % 9 = 4 and turn % 2 = 0 then concat(content, ' 大盘 etf')
+            when turn % 4 = 3 then concat(content, ' 迪链') else content end as content
+from fx_chat
+""",
+    "fx_term_topics": """
+select chatroom, topic_no, case when topic_no % 7 = 0 then array_append(keywords, '迪链') else keywords end as keywords,
+       participants, message_ids, message_count, confidence, category, concat('t', topic_no) as title,
+       case when topic_no % 11 = 0 then '比亚迪新车' when topic_no % 11 = 1 then '看看大盘' else '' end as summary,
+       concat('n', topic_no % 3) as notes, '' as time_range
+from fx_topics
+""",
+    "fx_room_topics": """
+select chatroom, conv_id % 3 as topic_no, split(concat('r', conv_id % 3, ',s,t,u,v,w'), ',') as keywords,
+       array_sort(array_agg(distinct chatroom_sender)) as participants,
+       array_sort(array_agg(msg_id)) as message_ids, count(*) as message_count,
+       cast(0.5 as double) as confidence, '其他' as category, concat('title ', conv_id % 3) as title,
+       concat(' summary ', conv_id % 3, ' ') as summary, 'note' as notes,
+       case when conv_id % 3 = 0 then '' else '2024-01-05 10:00-2024-01-06 11:30' end as time_range
+from fx_chat group by chatroom, conv_id % 3
+""",
+    "fx_chunk_summaries": """
+select chatroom, conv_id as topic_no, turn + 1 as chunk_index,
+       case when turn % 3 = 2 then '' else concat('s', conv_id, '.', turn) end as summary,
+       case when turn % 2 = 0 then concat('n', turn) else '' end as notes
+from fx_chat
 """,
 }
 

@@ -610,7 +610,7 @@ def trace_export(t: Tables) -> DataFrame:
     _POPULAR + """
     , r as (select *, row_number() over (partition by chatroom order by popularity desc, message_count desc, topic_no) as rank from s where popularity > 5.0),
     rooms as (select distinct chatroom from fx_chat union all select 'quiet_room')
-    select rooms.chatroom, cast(coalesce(rank, 0) as int) as rank, coalesce(concat('## ', title), '无热门话题。') as heading,
+    select rooms.chatroom, cast(coalesce(rank, 0) as int) as rank, case when rank is null then '无热门话题。' else concat('## ', title) end as heading,
       case when rank is null then '' else concat('🏷️ ', category, ' 🔥 ', printf('%.2f', popularity), ' 💬 ', message_count, ' 👥 ', len(participants)) end as label,
       case when rank is null then '' when time_range = '' then '🕒 -' else '🕒 10:00-11:30' end as times,
       case when rank is null then '' else concat('📝 ', trim(summary)) end as body
@@ -666,10 +666,14 @@ def counting_model() -> Callable[[str], str]:
     """A stand-in model: one topic per prompt over its first messages, plus one on senders."""
 
     def answer(prompt: str) -> str:
-        total = int(re.search(r"消息总数: (\d+)", prompt).group(1))
         room = re.search(r"群聊 ID: (\S+)", prompt).group(1)
+        people = sorted(set(re.findall(r"^[-\d]+ [:\d]+ (\S+): ", prompt, re.MULTILINE)))
+        listed = "".join(f"- {name}\n" for name in people)
+        if "消息总数" not in prompt:
+            return "<<<RESULT_START>>>\n<<<TOPIC>>>\nsummary: talk\nnotes: seen\n<<<RESULT_END>>>"
+        total = int(re.search(r"消息总数: (\d+)", prompt).group(1))
         return (
-            f"<<<RESULT_START>>>\n<<<TOPIC>>>\nkeywords:\n- {room}\n- all\n- chat\nmessage_indices:\n- 1-{total}\n"
+            f"<<<RESULT_START>>>\n<<<TOPIC>>>\nkeywords:\n- {room}\n- all\n- chat\nparticipants:\n{listed}message_indices:\n- 1-{total}\n"
             f"message_count: {total}\nconfidence: 0.9\nnotes: whole batch\n"
             f"<<<TOPIC>>>\nkeywords: odd, few\nmessage_indices: 1, 3, 999999\nconfidence: 0.5\n<<<RESULT_END>>>"
         )

@@ -16,7 +16,7 @@ from chatlake.operators.skew import keep_first
 from chatlake.operators.state import append_log, completed_files
 from chatlake.session import cut_lineage, scratch_path
 from chatlake.sources import files
-from chatlake.sources.lake import read_lake, write_days
+from chatlake.sources.lake import read_if_there, read_lake, write_days
 
 STATUSES = ["pending", "downloading", "completed", "failed"]
 
@@ -90,15 +90,11 @@ def rewrite_days(spark: SparkSession, root: str, mapping: DataFrame) -> DataFram
     staged = scratch_path(spark, "rewrite")
     changed = rewrite_content(lake.join(touched, day, "left_semi"), mapping)
     write_days(changed.drop(*day), staged, "overwrite")
-    if not read_lake_empty(spark, staged):
-        write_days(read_lake(spark, staged).drop(*day), root, "overwrite")
-        return read_lake(spark, staged).select(*day).distinct()
-    return spark.createDataFrame([], "year int, month int, day int")
-
-
-def read_lake_empty(spark: SparkSession, root: str) -> bool:
-    """Whether a written table has no data files."""
-    return files.list_files(spark, root).isEmpty()
+    rewritten = read_if_there(spark, staged)
+    if rewritten is None:
+        return spark.createDataFrame([], "year int, month int, day int")
+    write_days(rewritten.drop(*day), root, "overwrite")
+    return rewritten.select(*day).distinct()
 
 
 def extract_all(
@@ -112,19 +108,10 @@ def extract_all(
     """
     lake = read_lake(spark, root)
     listed = files.list_files(spark, root).select(F.col("file_path").alias("parquet_file"))
-    try:
-        log = spark.read.parquet(checkpoint_log)
-        done = completed_files(log, from_username)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        done = spark.createDataFrame([], "parquet_file string")
-    try:
-        known = current_images(spark.read.parquet(image_log))
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        known = spark.createDataFrame([], "image_id string, msg_id string")
+    marks, log = read_if_there(spark, checkpoint_log), read_if_there(spark, image_log)
+    nothing = spark.createDataFrame([], "image_id string, msg_id string, parquet_file string")
+    done = nothing.select("parquet_file") if marks is None else completed_files(marks, from_username)
+    known = nothing if log is None else current_images(log)
     # the list is needed again after the files themselves have been replaced
     todo = cut_lineage(listed.join(done, "parquet_file", "left_anti"))
     scanned = todo.count()

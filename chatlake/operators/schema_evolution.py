@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chatlake.sources.lake import read_if_there
+
 
 def fields_of(spark: SparkSession, schema: T.StructType) -> DataFrame:
     """A schema as rows of position, name and type."""
@@ -120,13 +122,9 @@ def register_schema(
     spark: SparkSession, path: str, name: str, schema: T.StructType, description: str = ""
 ) -> int:
     """Append a new version of a schema; types are kept as DDL, so nothing is lost."""
-    try:
-        known = spark.read.parquet(path)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        version = 1
-    else:
+    known = read_if_there(spark, path)
+    version = 1
+    if known is not None:
         row = next_versions(known, spark.createDataFrame([(name,)], "schema_name string")).first()
         version = int(row["version"])
     ddl = [(f.name, f.dataType.simpleString(), f.nullable) for f in schema.fields]

@@ -76,35 +76,93 @@ def topics_from_responses(
     return top.popular(merged, settings.popularity_threshold).drop("popularity")
 
 
+Model = Callable[[], Callable[[str], str]]
+
+_TEXTS = ["title", "category", "summary", "notes"]
+
+
+def _first_topic(responses: DataFrame, key: list[str]) -> DataFrame:
+    """Texts of the first topic in each response; the parser's stand-ins count as empty."""
+    parsed = top.parse_responses(responses)
+    first = parsed.groupBy(*key).agg(F.min_by(F.struct(*_TEXTS), "block_no").alias("_t"))
+    texts = first.select(*key, "_t.*")
+    return texts.withColumns(
+        {
+            "title": F.when(F.col("title") != top.UNTITLED, F.col("title")).otherwise(""),
+            "category": F.when(F.col("category") != top.OTHER, F.col("category")).otherwise(""),
+        }
+    )
+
+
+def summarize(
+    topics: DataFrame, batched: DataFrame, make_model: Model, settings: Settings = Settings()
+) -> DataFrame:
+    """Texts of each topic from two rounds of prompts: its chunks, then their summaries."""
+    time = line.local_time(F.col("create_time"), settings.lines.tz)
+    ranges = batched.groupBy("chatroom").agg(line.date_range(F.min(time), F.max(time)).alias("date_range"))
+    chunks = prompts.summary_chunks(
+        topics, batched, settings.lines, settings.summary_max_messages,
+        settings.summary_max_tokens, settings.tokens,
+    )
+    asked = prompts.summary_prompts(chunks, topics, ranges)
+    key = [*top.TOPIC, "chunk_index"]
+    answers = cut_lineage(_first_topic(prompts.invoke(asked, make_model, key), key))
+    combined = prompts.with_merge_prompt(prompts.merged_summary_prompts(answers), topics, ranges)
+    merged = _first_topic(prompts.invoke(combined, make_model, top.TOPIC), top.TOPIC)
+
+    def ordered(name: str) -> Column:
+        items = F.array_sort(F.collect_list(F.when(F.col(name) != "", F.struct("chunk_index", name))))
+        return F.transform(items, lambda e: e[name])
+
+    lists = answers.groupBy(*top.TOPIC).agg(
+        ordered("summary").alias("chunk_summaries"), ordered("notes").alias("chunk_notes")
+    )
+    return lists.join(merged, top.TOPIC, "left")
+
+
 def finish_topics(
-    topics: DataFrame, batched: DataFrame, settings: Settings = Settings()
+    topics: DataFrame, batched: DataFrame, make_model: Model | None = None,
+    settings: Settings = Settings(),
 ) -> DataFrame:
-    """Collapse the watched subject, take facts from the messages and settle categories.
+    """Collapse the watched subject, take facts from the messages, write texts, settle categories.
 
-    Texts a summary model would write are filled from the topic itself.
+    Without a model, or where it gives nothing, texts fall back to the topic's keywords.
     """
     collapsed = cut_lineage(top.collapse_watch_topics(topics, batched, settings.lines.tz))
     facts = top.topic_facts(collapsed, batched, settings.lines.tz).select(
         *top.TOPIC, F.col("participants").alias("_people"), F.col("time_range").alias("_times"), "found"
     )
+    empty = F.array().cast("array<string>")
     joined = collapsed.join(facts, top.TOPIC, "left").withColumns(
         {
-            "participants": F.coalesce("_people", F.array().cast("array<string>")),
+            "participants": F.coalesce("_people", empty),
             "time_range": F.coalesce("_times", F.lit("")),
             "message_count": F.coalesce("found", "message_count"),
         }
     )
-    empty = F.array().cast("array<string>")
-    filled = report.with_fallbacks(
-        joined.drop("_people", "_times", "found")
-        .withColumns({"chunk_summaries": empty, "chunk_notes": empty, "topic_index": F.col("topic_no")})
-    ).drop("chunk_summaries", "chunk_notes", "topic_index")
-    return top.with_categories(filled, batched)
+    bare = joined.drop("_people", "_times", "found", "title", "category", "summary").withColumnRenamed(
+        "notes", "_notes"
+    )
+    if make_model is None:
+        written = bare.withColumns(
+            {name: F.lit("") for name in _TEXTS} | {"chunk_summaries": empty, "chunk_notes": empty}
+        )
+    else:
+        texts = summarize(collapsed, batched, make_model, settings)
+        written = bare.join(texts, top.TOPIC, "left").withColumns(
+            {name: F.coalesce(name, F.lit("")) for name in _TEXTS}
+            | {name: F.coalesce(name, empty) for name in ("chunk_summaries", "chunk_notes")}
+        )
+    filled = report.with_fallbacks(written.withColumn("topic_index", F.col("topic_no")))
+    noted = filled.withColumn("notes", F.coalesce(F.nullif("notes", F.lit("")), "_notes"))
+    return top.with_categories(
+        noted.drop("chunk_summaries", "chunk_notes", "topic_index", "_notes"), batched
+    )
 
 
 def analyze(
     messages: DataFrame,
-    make_model: Callable[[], Callable[[str], str]],
+    make_model: Model,
     images: DataFrame | None = None,
     settings: Settings = Settings(),
 ) -> dict[str, DataFrame]:
@@ -114,7 +172,9 @@ def analyze(
     asked = batch_prompts(batched, settings)
     responses = cut_lineage(prompts.invoke(asked, make_model, BATCH))
     topics = cut_lineage(
-        finish_topics(topics_from_responses(responses, batched, settings), batched, settings)
+        finish_topics(
+            topics_from_responses(responses, batched, settings), batched, make_model, settings
+        )
     )
     known = images if images is not None else spark.createDataFrame(
         [], "image_id string, ocr_content string, has_text boolean, status string, download_url string"

@@ -162,6 +162,17 @@ def merged_summary_prompts(summaries: DataFrame) -> DataFrame:
     )
 
 
+def with_merge_prompt(merged: DataFrame, topics: DataFrame, date_ranges: DataFrame) -> DataFrame:
+    """The prompt that asks for one summary of a topic's chunk summaries."""
+    words = topics.select("chatroom", "topic_no", F.array_join("keywords", ", ").alias("keyword_text"))
+    full = (
+        merged.join(words, ["chatroom", "topic_no"])
+        .join(date_ranges.select("chatroom", "date_range"), "chatroom")
+        .withColumn("chatroom_name", F.lit(""))
+    )
+    return full.withColumn("prompt", F.concat(render(MERGE_HEAD), "chunk_summaries"))
+
+
 def invoke(
     prompts: DataFrame, make_model: Callable[[], Callable[[str], str]], keep: list[str]
 ) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +57,16 @@ def read_lake(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(root)
 
 
+def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """A written table, or None where nothing has been written yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def read_union(spark: SparkSession, roots: list[str]) -> DataFrame:
     """All rows of several tables whose columns may differ."""
     first, *others = [spark.read.option("mergeSchema", "true").parquet(root) for root in roots]

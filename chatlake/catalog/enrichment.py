@@ -294,14 +294,25 @@ def _image_lake(t: Tables) -> str:
     return root
 
 
-@query("I02_processed_files")
+@query(
+    "I02_processed_files",
+    f"with x as (select *, sha256(msg_id) as h from fx_xml where chatroom_sender = 'assistant_1' and contains(content, 'encryver=\"1\"')) "
+    f"select msg_id, concat('image#', {_ID}) as content from x",
+)
 def processed_files(t: Tables) -> DataFrame:
     root, log, marks = _image_lake(t), scratch_path(t.spark, "images"), scratch_path(t.spark, "marks")
     images.extract_all(t.spark, root, log, marks, "assistant_1")
     return read_lake(t.spark, root).filter(F.col("content").startswith("image#")).select("msg_id", "content")
 
 
-@query("I03_extraction_run")
+@query(
+    "I03_extraction_run",
+    """
+    with d as (select count(distinct make_timestamp(create_epoch * 1000000)::date) as n, count(*) filter (where chatroom_sender = 'assistant_1' and contains(content, 'encryver="1"')) as images from fx_xml)
+    select n as files_scanned, images as images_extracted, 0 as files_skipped, 0 as files_failed, 1 as run from d
+    union all select 0, 0, n, 0, 2 from d
+    """,
+)
 def extraction_run(t: Tables) -> DataFrame:
     root, log, marks = _image_lake(t), scratch_path(t.spark, "images"), scratch_path(t.spark, "marks")
     first = images.extract_all(t.spark, root, log, marks, "assistant_1")

@@ -81,12 +81,16 @@ def stream_unique(t: Tables) -> DataFrame:
     return t.spark.read.parquet(out).select("msg_id")
 
 
-@query("R04_directory_run")
+@query(
+    "R04_directory_run",
+    _CLEAN_LINES + "select count(distinct msg_id) as stored, (select count(*) + count(*) filter (where line_no % 10 = 3) from fx_raw_lines) as lines "
+    "from m where coalesce(msg_id, '') <> '' and coalesce(create_time, '') <> ''",
+)
 def directory_run(t: Tables) -> DataFrame:
     raw, root, mark = _landing(t, "dir"), scratch_path(t.spark, "dumped"), scratch_path(t.spark, "mark")
     totals = ingest.run_to_end(ingest.ingest_stream(t.spark, raw, root, mark))
     stored = lake.read_lake(t.spark, root)
-    return stored.agg(F.count(F.lit(1)).alias("stored"), F.lit(totals["lines"]).alias("lines"))
+    return stored.agg(F.count(F.lit(1)).alias("stored"), F.lit(totals["lines"]).cast("long").alias("lines"))
 
 
 _HOURLY = """
@@ -112,12 +116,15 @@ def streamed_activity(t: Tables) -> DataFrame:
     return stored.select(F.unix_timestamp("window_start").alias("window_epoch"), "chatroom", "messages")
 
 
-@query("D07_write_lineage")
+@query(
+    "D07_write_lineage",
+    "select 'events' as source_path, 'parquet' as target_type, 'ingest' as operation, count(*) as record_count from fx_messages",
+)
 def write_lineage(t: Tables) -> DataFrame:
     log, out = scratch_path(t.spark, "lineage"), scratch_path(t.spark, "copied")
     rows = t.fx_messages.withColumnRenamed("descr", "desc")
     lineage.write_with_lineage(rows, out, log, "events", "parquet", "ingest")
-    return t.spark.read.parquet(log)
+    return t.spark.read.parquet(log).select("source_path", "target_type", "operation", "record_count")
 
 
 @query(

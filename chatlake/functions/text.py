@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatlake.functions import xml
 
@@ -128,7 +129,7 @@ def estimate_tokens(text: Column) -> Column:
 def token_counter(make_encoder: Callable[[], Callable[[str], list]]) -> Callable[[Column], Column]:
     """Exact token counts with an encoder that each Python worker builds once."""
 
-    @F.pandas_udf("int")
+    @F.pandas_udf(T.IntegerType())
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = make_encoder()
         for texts in batches:

@@ -9,6 +9,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatlake.functions.text import strip
 
@@ -208,7 +209,7 @@ def plain_keywords(words: Sequence[str]) -> list[str]:
     return [word for word in cleaned if word]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _similarity(first: pd.Series, second: pd.Series) -> pd.Series:
     return pd.Series([matched_share(a, b) for a, b in zip(first, second, strict=True)])
 

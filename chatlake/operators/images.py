@@ -147,7 +147,7 @@ def extract_all(
 
 # -- events -------------------------------------------------------------------------------
 
-EVENTS = (
+EVENTS = schemas.table_of(
     "image_id string, event_no long, kind string, msg_id string, from_username string, "
     "status string, download_url string, error_message string, has_text boolean, "
     "ocr_content string, at timestamp"
@@ -155,12 +155,10 @@ EVENTS = (
 
 
 def _event(df: DataFrame, kind: str, **fields: Column) -> DataFrame:
-    from pyspark.sql import types as T
-
     now = F.current_timestamp()
     given = {"kind": F.lit(kind), "event_no": F.unix_micros(now), "at": now, **fields}
     columns = []
-    for field in T.StructType.fromDDL(EVENTS).fields:
+    for field in EVENTS.fields:
         if field.name in given:
             value = given[field.name]
         elif field.name in ("image_id", "msg_id", "from_username") and field.name in df.columns:

@@ -4,7 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-MESSAGES = T.StructType.fromDDL(
+_SIMPLE = {
+    "string": T.StringType(),
+    "tinyint": T.ByteType(),
+    "int": T.IntegerType(),
+    "long": T.LongType(),
+    "boolean": T.BooleanType(),
+    "timestamp": T.TimestampType(),
+}
+
+
+def table_of(columns: str) -> T.StructType:
+    """A schema from ``name type`` pairs of simple types; needs no running session."""
+    pairs = (column.split() for column in columns.split(","))
+    return T.StructType([T.StructField(name, _SIMPLE[kind]) for name, kind in pairs])
+
+
+MESSAGES = table_of(
     "msg_id string, from_username string, to_username string, chatroom string, "
     "chatroom_sender string, msg_type int, create_time timestamp, is_chatroom_msg tinyint, "
     "content string, desc string, source string, guid string, notify_type int, "
@@ -13,21 +29,21 @@ MESSAGES = T.StructType.fromDDL(
 
 # Every scalar as text: ids, numbers and flags arrive with unstable types, and a nested
 # object read as string keeps its JSON text.
-RAW_MESSAGE = T.StructType.fromDDL(
+RAW_MESSAGE = table_of(
     "msg_id string, from_username string, to_username string, chatroom string, "
     "chatroom_sender string, msg_type string, create_time string, is_chatroom_msg string, "
     "content string, desc string, source string, guid string, notify_type string, "
     "ingestion_time string"
 )
 
-CONTACTS = T.StructType.fromDDL(
+CONTACTS = table_of(
     "username string, alias string, encryptUserName string, contactType int, "
     "deleteFlag tinyint, verifyFlag int, sex tinyint, country string, province string, "
     "city string, mobile string, nickName string, remark string, snsUserInfo string, "
     "customInfo string, guid string, notify_type int, ingestion_time timestamp"
 )
 
-IMAGES = T.StructType.fromDDL(
+IMAGES = table_of(
     "image_id string, msg_id string, from_username string, create_time timestamp, "
     "aes_key string, cdn_mid_img_url string, status string, download_url string, "
     "error_message string, extracted_at timestamp, downloaded_at timestamp, "

@@ -41,13 +41,12 @@ def ordered_messages(lines: DataFrame) -> DataFrame:
     return cleaning.with_day(cleaning.conform(typed, schema))
 
 
-def unseen(spark: SparkSession, batch: DataFrame, root: str) -> DataFrame:
-    """Rows whose id is not yet in the table, looking only into the days the batch touches.
+def unseen(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """Rows whose id is not yet stored, looking only into the days the batch touches.
 
     The touched days prune the folders to read. They go to the scan as literals up to a
     fixed number; a batch over more days than that reads the ids of all days.
     """
-    stored = lake.read_if_there(spark, root)
     if stored is None:
         return batch
     touched = batch.select(F.make_date(*DAY).alias("d")).distinct().limit(LISTED_DAYS + 1).collect()
@@ -64,6 +63,7 @@ def ingest_batch(
     The clean rows are staged once, since the days they touch are needed before the write.
     A batch repeated after a failure adds nothing twice. Rows are counted in passing.
     """
+    stored = lake.read_if_there(spark, root) if deduplicate else None
     read, added = Observation("read"), Observation("added")
     staged = scratch_path(spark, "batch")
     count = F.count(F.lit(1)).alias("rows")
@@ -73,7 +73,7 @@ def ingest_batch(
     rows.write.parquet(staged)
     kept = spark.read.parquet(staged)
     if deduplicate:
-        kept = unseen(spark, kept, root)
+        kept = unseen(kept, stored)
     lake.write_days(cleaning.conform(kept).observe(added, count), root, "append")
     total, new = int(read.get["rows"]), int(added.get["rows"])
     return {"total_processed": total, "new_records": new, "duplicates_skipped": total - new}

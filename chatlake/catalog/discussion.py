@@ -370,7 +370,7 @@ def participants(t: Tables) -> DataFrame:
 
 @query("A17_primary_dates", _FOUND + "select * from prime")
 def primary_dates(t: Tables) -> DataFrame:
-    return top.primary_dates(t.fx_term_topics, term_chat(t))
+    return top.primary_dates(enrichment.topic_members(t.fx_term_topics), term_chat(t))
 
 
 _POPULAR = """
@@ -400,13 +400,13 @@ def report_order(t: Tables) -> DataFrame:
 
 @query("K08_watched_topics", _FOUND + "select chatroom, topic_no, is_watch from judged")
 def watched_topics(t: Tables) -> DataFrame:
-    joined = t.fx_term_topics.join(top.term_facts(t.fx_term_topics, term_chat(t)), TOPIC, "left")
+    joined = t.fx_term_topics.join(top.term_facts(enrichment.topic_members(t.fx_term_topics), term_chat(t)), TOPIC, "left")
     return joined.select(*TOPIC, top.is_watch_topic().alias("is_watch"))
 
 
 @query("K09_investment_topics", _FOUND + "select chatroom, topic_no, is_invest from judged")
 def investment_topics(t: Tables) -> DataFrame:
-    joined = t.fx_term_topics.join(top.term_facts(t.fx_term_topics, term_chat(t)), TOPIC, "left")
+    joined = t.fx_term_topics.join(top.term_facts(enrichment.topic_members(t.fx_term_topics), term_chat(t)), TOPIC, "left")
     return joined.select(*TOPIC, top.looks_like_investment().alias("is_invest"))
 
 
@@ -418,7 +418,7 @@ def investment_topics(t: Tables) -> DataFrame:
     """,
 )
 def final_categories(t: Tables) -> DataFrame:
-    return top.with_categories(t.fx_term_topics, term_chat(t)).select(*TOPIC, "category")
+    return top.with_categories(t.fx_term_topics, enrichment.topic_members(t.fx_term_topics), term_chat(t)).select(*TOPIC, "category")
 
 
 @query(
@@ -436,7 +436,8 @@ def final_categories(t: Tables) -> DataFrame:
     """,
 )
 def collapsed_topics(t: Tables) -> DataFrame:
-    rows = top.collapse_watch_topics(t.fx_term_topics, term_chat(t))
+    members = enrichment.topic_members(t.fx_term_topics)
+    rows, _ = top.collapse_watch_topics(t.fx_term_topics, members, term_chat(t))
     return rows.select(
         *TOPIC, "title", "message_count", F.round("confidence", 6).alias("confidence"), "notes",
         F.array_join("keywords", ",").alias("keywords"),
@@ -451,7 +452,7 @@ def collapsed_topics(t: Tables) -> DataFrame:
     """,
 )
 def topic_facts(t: Tables) -> DataFrame:
-    rows = top.topic_facts(t.fx_term_topics, term_chat(t))
+    rows = top.topic_facts(enrichment.topic_members(t.fx_term_topics), term_chat(t))
     return rows.select(*TOPIC, "found", F.array_join("participants", ",").alias("participants"), "time_range")
 
 
@@ -472,7 +473,7 @@ def topic_facts(t: Tables) -> DataFrame:
     """,
 )
 def summary_prompts(t: Tables) -> DataFrame:
-    chunks = prompts.summary_chunks(t.fx_topics, chat(t), max_messages=3, budget=150)
+    chunks = prompts.summary_chunks(enrichment.topic_members(t.fx_topics), chat(t), max_messages=3, budget=150)
     rows = prompts.summary_prompts(chunks, t.fx_topics, room_ranges(t))
     return rows.select(*TOPIC, "chunk_index", "chunk_total", "total_messages", "prompt")
 
@@ -560,7 +561,7 @@ def trace_messages(t: Tables) -> DataFrame:
 )
 def trace_topics(t: Tables) -> DataFrame:
     trace = report.trace_messages(batched_xml(t), t.fx_images, OPTIONS)
-    rows = report.trace_topic_messages(t.fx_topics, trace, 60)
+    rows = report.trace_topic_messages(enrichment.topic_members(t.fx_topics), trace, 60)
     return rows.select(*TOPIC, "msg_id", "seq_id", "batch_index")
 
 
@@ -583,7 +584,7 @@ def trace_rooms(t: Tables) -> DataFrame:
 def topic_message_order(t: Tables) -> DataFrame:
     from chatlake.operators.skew import number_rows
 
-    rows = enrichment.topic_messages(t.fx_topics, batched_xml(t))
+    rows = enrichment.topic_messages(enrichment.topic_members(t.fx_topics), batched_xml(t))
     return number_rows(rows, TOPIC, ["seq_id"], "place").select(*TOPIC, "msg_id", "place")
 
 
@@ -601,7 +602,7 @@ def topic_message_order(t: Tables) -> DataFrame:
 )
 def trace_export(t: Tables) -> DataFrame:
     trace = report.trace_messages(batched_xml(t), t.fx_images, OPTIONS)
-    rows = report.trace_topic_messages(t.fx_room_topics, trace, None)
+    rows = report.trace_topic_messages(enrichment.topic_members(t.fx_room_topics), trace, None)
     return report.trace_export(rows, t.fx_room_topics, 10)
 
 

@@ -207,7 +207,7 @@ _SEQUENCED = ENRICHED + """
     "left join seq b on a.chatroom = b.chatroom and nullif(a.svrid, '') = b.msg_id",
 )
 def quote_links(t: Tables) -> DataFrame:
-    rows = enrichment.resolve_quotes(assign_sequence(enrichment.enrich(xml_messages(t))))
+    rows = enrichment.resolve_quotes(enrichment.enrich(assign_sequence(xml_messages(t))))
     return rows.select("msg_id", "seq_id", F.coalesce("refers_to_seq_id", F.lit(0)).alias("refers_to"))
 
 
@@ -220,7 +220,7 @@ def quote_links(t: Tables) -> DataFrame:
 def quote_links_earlier_batch(t: Tables) -> DataFrame:
     from chatlake.operators.sequence import batches_by_count
 
-    rows = batches_by_count(assign_sequence(enrichment.enrich(xml_messages(t))), 4)
+    rows = batches_by_count(enrichment.enrich(assign_sequence(xml_messages(t))), 4)
     linked = enrichment.resolve_quotes(rows, earlier_only=True)
     return linked.select("msg_id", F.coalesce("refers_to_seq_id", F.lit(0)).alias("refers_to"))
 
@@ -231,7 +231,7 @@ def quote_links_earlier_batch(t: Tables) -> DataFrame:
     "join fx_chat c on c.chatroom = t.chatroom and c.msg_id = t.msg_id",
 )
 def topic_messages(t: Tables) -> DataFrame:
-    rows = enrichment.topic_messages(t.fx_topics, t.fx_chat)
+    rows = enrichment.topic_messages(enrichment.topic_members(t.fx_topics), t.fx_chat)
     return rows.select("chatroom", "topic_no", "msg_id", "content")
 
 

@@ -22,12 +22,13 @@ where coalesce(msg_id, '') <> '' and coalesce(create_time, '') <> '' group by 1
 
 
 def _landing(t: Tables, part: str, condition: str = "true") -> str:
-    """Rolled landing files: the lines of a part of the day files, some of them twice."""
+    """Six rolled landing files; some lines come again in the next file."""
     path = scratch_path(t.spark, f"landing_{part}")
     lines = t.fx_raw_lines.filter(condition)
     again = lines.filter("line_no % 10 = 3")
-    roll = F.floor(F.col("line_no") / 1500).alias("roll")
-    both = lines.unionByName(again).select("value", roll)
+    both = lines.select("value", (F.col("line_no") % 6).alias("roll")).unionByName(
+        again.select("value", ((F.col("line_no") + 1) % 6).alias("roll"))
+    )
     both.repartition("roll").write.partitionBy("roll").text(path)
     return path
 

@@ -160,7 +160,7 @@ OPTIONS = line.LineFormat(max_content_length=120)
 
 
 def sequenced_xml(t: Tables) -> DataFrame:
-    return sequence.assign_sequence(enrichment.enrich(xml_messages(t)))
+    return enrichment.enrich(sequence.assign_sequence(xml_messages(t)))
 
 
 @query("F10_message_line", LINES + "select msg_id, line from lines")
@@ -181,7 +181,7 @@ def message_line_v2(t: Tables) -> DataFrame:
         {"create_time": F.timestamp_seconds("create_epoch"), "from_username": F.lit(""),
          "chatroom_sender": F.lit(""), "msg_type": F.lit(3)}
     )
-    images = sequence.assign_sequence(enrichment.enrich(refs)).withColumn("msg_id", F.concat("msg_id", F.lit("_ref")))
+    images = enrichment.enrich(sequence.assign_sequence(refs)).withColumn("msg_id", F.concat("msg_id", F.lit("_ref")))
     rows = sequenced_xml(t).select("msg_id", line.message_line(options).alias("line"))
     return rows.unionByName(images.select("msg_id", line.message_line(options).alias("line")))
 
@@ -343,20 +343,22 @@ CHUNKS = _MEMBERS + f"""
     CHUNKS + "select chatroom, topic_no, c.msg_id, chunk_index from walk join costed c using (chatroom, topic_no, place)",
 )
 def summary_chunks(t: Tables) -> DataFrame:
-    rows = prompts.summary_chunks(t.fx_topics, chat(t), max_messages=3, budget=150)
+    rows = prompts.summary_chunks(enrichment.topic_members(t.fx_topics), chat(t), max_messages=3, budget=150)
     return rows.select("chatroom", "topic_no", "msg_id", "chunk_index")
 
 
 @query(
     "W06_stride_sample",
-    _MEMBERS + "select chatroom, topic_no, msg_id from found where n <= 3 or (place - 1) % greatest(1, n // 3) = 0",
+    _MEMBERS + "select chatroom, topic_no, msg_id, row_number() over (partition by chatroom, topic_no order by pos) as place from found where n <= 3 or (place - 1) % greatest(1, n // 3) = 0",
 )
 def stride_sample(t: Tables) -> DataFrame:
     from chatlake.operators.skew import number_rows
 
     topic = ["chatroom", "topic_no"]
-    found = number_rows(enrichment.topic_messages(t.fx_topics, chat(t)), topic, ["pos"], "place")
-    return sequence.stride_sample(found, topic, "place", 3).select(*topic, "msg_id")
+    found = number_rows(
+        enrichment.topic_messages(enrichment.topic_members(t.fx_topics), chat(t)), topic, ["pos", "msg_id"], "place"
+    )
+    return sequence.stride_sample(found, topic, "place", 3).select(*topic, "msg_id", "place")
 
 
 BATCHED = LINES + """

@@ -91,11 +91,13 @@ def resolve_quotes(messages: DataFrame, earlier_only: bool = False) -> DataFrame
 
     With ``earlier_only`` the quoted message must be in the same batch or an earlier one.
     """
-    targets = messages.select(
-        "chatroom",
-        F.col("msg_id").alias("_svrid"),
-        F.col("seq_id").alias("refers_to_seq_id"),
-        *([F.col("batch_index").alias("_batch")] if earlier_only else []),
+    places = ["seq_id", "batch_index"] if earlier_only else ["seq_id"]
+    # of messages that share an id the last one counts
+    targets = (
+        messages.groupBy("chatroom", F.col("msg_id").alias("_svrid"))
+        .agg(F.max(F.struct(*places)).alias("_p"))
+        .select("chatroom", "_svrid", F.col("_p.seq_id").alias("refers_to_seq_id"),
+                *([F.col("_p.batch_index").alias("_batch")] if earlier_only else []))
     )
     quoting = messages.withColumn("_svrid", F.nullif("refermsg.svrid", F.lit("")))
     joined = look_up(quoting, targets, ["chatroom", "_svrid"], "msg_id")
@@ -106,10 +108,17 @@ def resolve_quotes(messages: DataFrame, earlier_only: bool = False) -> DataFrame
 
 
 def topic_members(topics: DataFrame) -> DataFrame:
-    """One row per topic and message id, with the place of the id in the list."""
+    """One row per topic and message id, with the place of the id in the list.
+
+    This long form is what the topic operators work on, so a topic may have any size.
+    Members are in the order of ``pos`` and ``msg_id``.
+    """
     return topics.select("chatroom", "topic_no", F.posexplode("message_ids").alias("pos", "msg_id"))
 
 
-def topic_messages(topics: DataFrame, messages: DataFrame) -> DataFrame:
-    """Messages of each topic; ids without a message are dropped."""
-    return topic_members(topics).join(messages, ["chatroom", "msg_id"])
+def topic_messages(members: DataFrame, messages: DataFrame) -> DataFrame:
+    """Messages of each topic; ids without a message are dropped.
+
+    ``messages`` is unique by chatroom and id.
+    """
+    return members.join(messages, ["chatroom", "msg_id"])

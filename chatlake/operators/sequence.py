@@ -35,11 +35,15 @@ def batches_by_count(sequenced: DataFrame, size: int, position: str = "seq_id")
 
 
 def stride_sample(df: DataFrame, group: Sequence[str], position: str, limit: int) -> DataFrame:
-    """Every k-th row from the first where a group has more than ``limit`` rows."""
+    """Every k-th row from the first where a group has more than ``limit`` rows.
+
+    ``position`` counts the rows of a group from 1; the kept rows are counted anew.
+    """
     counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     step = F.when(F.col("_n") > limit, F.greatest(F.lit(1), F.floor(F.col("_n") / limit))).otherwise(1)
-    sampled = df.join(counts, list(group)).filter((F.col(position) - 1) % step == 0)
-    return sampled.drop("_n")
+    skipped = F.col(position) - 1
+    sampled = df.join(counts, list(group)).filter(skipped % step == 0)
+    return sampled.withColumn(position, F.floor(skipped / step) + 1).drop("_n")
 
 
 # -- greedy batches -----------------------------------------------------------------------

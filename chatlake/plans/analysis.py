@@ -13,7 +13,7 @@ from chatlake.functions import topics as fn
 from chatlake.operators import enrichment, sequence
 from chatlake.operators import topics as top
 from chatlake.operators.selection import group_messages, in_days
-from chatlake.operators.skew import number_rows
+from chatlake.operators.skew import keep_last, number_rows
 from chatlake.plans import prompts, report
 from chatlake.session import cut_lineage
 
@@ -46,7 +46,8 @@ def prepare_rooms(messages: DataFrame, settings: Settings = Settings()) -> DataF
 
     The result is materialised, since prompts, id resolution and trace all start from it.
     """
-    ordered = sequence.ensure_ids(sequence.assign_sequence(enrichment.enrich(messages)))
+    # numbering samples its input, so the row-wise parsing comes after it
+    ordered = enrichment.enrich(sequence.ensure_ids(sequence.assign_sequence(messages)))
     batched = prompts.with_batches(
         ordered, settings.lines, settings.max_input_tokens, settings.max_messages_per_batch,
         settings.tokens,
@@ -58,22 +59,32 @@ def batch_prompts(batched: DataFrame, settings: Settings = Settings()) -> DataFr
     return prompts.batch_prompts(batched, settings.lines)
 
 
+def message_lookup(batched: DataFrame) -> DataFrame:
+    """One message per room and id, the last where several share an id.
+
+    The aggregation leaves the rows partitioned as the joins on room and id want them.
+    """
+    return keep_last(batched, ["chatroom", "msg_id"], ["seq_id"])
+
+
 def topics_from_responses(
     responses: DataFrame, batched: DataFrame, settings: Settings = Settings()
-) -> DataFrame:
-    """Merged, popular topics of each room, from ``chatroom, batch_index, response`` rows."""
+) -> tuple[DataFrame, DataFrame]:
+    """Merged, popular topics of each room, from ``chatroom, batch_index, response`` rows.
+
+    Returns the topics and their members.
+    """
     key = [*BATCH, "block_no"]
     parsed = cut_lineage(top.parse_responses(responses))
-    members = cut_lineage(top.resolve_members(parsed, batched, key))
-    valid = top.valid_topics(parsed, members, key)
-    numbered = number_rows(valid, ["chatroom"], ["batch_index", "block_no"], "topic_no")
-    lists = members.groupBy(*key).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "msg_id"))).alias("_m")
+    resolved = cut_lineage(top.resolve_members(parsed, batched, key))
+    valid = top.valid_topics(parsed, resolved, key)
+    topics = number_rows(valid, ["chatroom"], ["batch_index", "block_no"], "topic_no")
+    members = resolved.join(topics.select(*key, "topic_no"), key).select(*top.TOPIC, "pos", "msg_id")
+    merged, members = top.merge_topics_and_members(
+        topics.drop("message_ids"), members, settings.merge_threshold
     )
-    topics = numbered.drop("message_ids", "resolved").join(lists, key)
-    whole = topics.withColumn("message_ids", F.transform("_m", lambda m: m["msg_id"])).drop("_m")
-    merged = top.merge_topics(whole, settings.merge_threshold)
-    return top.popular(merged, settings.popularity_threshold).drop("popularity")
+    popular = cut_lineage(top.popular(merged, settings.popularity_threshold).drop("popularity"))
+    return popular, members.join(popular.select(*top.TOPIC), top.TOPIC, "left_semi")
 
 
 Model = Callable[[], Callable[[str], str]]
@@ -95,13 +106,13 @@ def _first_topic(responses: DataFrame, key: list[str]) -> DataFrame:
 
 
 def summarize(
-    topics: DataFrame, batched: DataFrame, make_model: Model, settings: Settings = Settings()
+    topics: DataFrame, members: DataFrame, batched: DataFrame, make_model: Model, settings: Settings = Settings()
 ) -> DataFrame:
     """Texts of each topic from two rounds of prompts: its chunks, then their summaries."""
     time = line.local_time(F.col("create_time"), settings.lines.tz)
     ranges = batched.groupBy("chatroom").agg(line.date_range(F.min(time), F.max(time)).alias("date_range"))
     chunks = prompts.summary_chunks(
-        topics, batched, settings.lines, settings.summary_max_messages,
+        members, message_lookup(batched), settings.lines, settings.summary_max_messages,
         settings.summary_max_tokens, settings.tokens,
     )
     asked = prompts.summary_prompts(chunks, topics, ranges)
@@ -121,15 +132,18 @@ def summarize(
 
 
 def finish_topics(
-    topics: DataFrame, batched: DataFrame, make_model: Model | None = None,
+    topics: DataFrame, members: DataFrame, batched: DataFrame, make_model: Model | None = None,
     settings: Settings = Settings(),
-) -> DataFrame:
+) -> tuple[DataFrame, DataFrame]:
     """Collapse the watched subject, take facts from the messages, write texts, settle categories.
 
     Without a model, or where it gives nothing, texts fall back to the topic's keywords.
+    Returns the topics and their members.
     """
-    collapsed = cut_lineage(top.collapse_watch_topics(topics, batched, settings.lines.tz))
-    facts = top.topic_facts(collapsed, batched, settings.lines.tz).select(
+    lookup = message_lookup(batched)
+    collapsed, members = top.collapse_watch_topics(topics, members, lookup, settings.lines.tz)
+    collapsed, members = cut_lineage(collapsed), cut_lineage(members)
+    facts = top.topic_facts(members, lookup, settings.lines.tz).select(
         *top.TOPIC, F.col("participants").alias("_people"), F.col("time_range").alias("_times"), "found"
     )
     empty = F.array().cast("array<string>")
@@ -148,16 +162,15 @@ def finish_topics(
             {name: F.lit("") for name in _TEXTS} | {"chunk_summaries": empty, "chunk_notes": empty}
         )
     else:
-        texts = summarize(collapsed, batched, make_model, settings)
+        texts = summarize(collapsed, members, batched, make_model, settings)
         written = bare.join(texts, top.TOPIC, "left").withColumns(
             {name: F.coalesce(name, F.lit("")) for name in _TEXTS}
             | {name: F.coalesce(name, empty) for name in ("chunk_summaries", "chunk_notes")}
         )
     filled = report.with_fallbacks(written.withColumn("topic_index", F.col("topic_no")))
     noted = filled.withColumn("notes", F.coalesce(F.nullif("notes", F.lit("")), "_notes"))
-    return top.with_categories(
-        noted.drop("chunk_summaries", "chunk_notes", "topic_index", "_notes"), batched
-    )
+    bare = noted.drop("chunk_summaries", "chunk_notes", "topic_index", "_notes")
+    return top.with_categories(bare, members, lookup), members
 
 
 def analyze(
@@ -166,16 +179,14 @@ def analyze(
     images: DataFrame | None = None,
     settings: Settings = Settings(),
 ) -> dict[str, DataFrame]:
-    """The whole run for all rooms: prompts, responses, topics, report rows and trace rows."""
+    """The whole run for all rooms: prompts, responses, topics, members, report and trace."""
     spark: SparkSession = messages.sparkSession
     batched = prepare_rooms(messages, settings)
     asked = batch_prompts(batched, settings)
     responses = cut_lineage(prompts.invoke(asked, make_model, BATCH))
-    topics = cut_lineage(
-        finish_topics(
-            topics_from_responses(responses, batched, settings), batched, make_model, settings
-        )
-    )
+    found, members = topics_from_responses(responses, batched, settings)
+    topics, members = finish_topics(found, members, batched, make_model, settings)
+    topics = cut_lineage(topics)
     known = images if images is not None else spark.createDataFrame(
         [], "image_id string, ocr_content string, has_text boolean, status string, download_url string"
     )
@@ -184,6 +195,7 @@ def analyze(
         "prompts": asked,
         "responses": responses,
         "topics": topics,
+        "members": members,
         "report": report.report_rows(topics, batched),
         "trace": trace,
     }

@@ -97,19 +97,15 @@ def debug_header() -> Column:
 
 
 def summary_chunks(
-    topics: DataFrame, messages: DataFrame, options: line.LineFormat = line.LineFormat(),
+    members: DataFrame, messages: DataFrame, options: line.LineFormat = line.LineFormat(),
     max_messages: int | None = 200, budget: int | None = 60_000,
     tokens: Callable[[Column], Column] = line.estimate_tokens,
 ) -> DataFrame:
     """Sampled messages of each topic with their line and ``chunk_index``."""
     topic = ["chatroom", "topic_no"]
-    found = number_rows(topic_messages(topics, messages), topic, ["pos"], "place")
-    if max_messages:
-        sampled = stride_sample(found, topic, "place", max_messages)
-        step_order = number_rows(sampled.drop("place"), topic, ["pos"], "place")
-    else:
-        step_order = found
-    lined = step_order.withColumn("line", line.summary_line(options))
+    found = number_rows(topic_messages(members, messages), topic, ["pos", "msg_id"], "place")
+    chosen = stride_sample(found, topic, "place", max_messages) if max_messages else found
+    lined = chosen.withColumn("line", line.summary_line(options))
     if not budget:
         return lined.withColumn("chunk_index", F.lit(1).cast("long"))
     costed = lined.withColumn("_cost", tokens(F.col("line")) + 1)

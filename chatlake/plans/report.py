@@ -10,7 +10,6 @@ from chatlake.operators import topics as top
 from chatlake.operators.enrichment import (
     message_class,
     resolve_quotes,
-    topic_members,
     with_images,
 )
 from chatlake.operators.sequence import greedy_batches
@@ -109,11 +108,10 @@ def trace_messages(
 
 
 def trace_topic_messages(
-    topics: DataFrame, trace: DataFrame, chunk_budget: int | None = 60_000
+    members: DataFrame, trace: DataFrame, chunk_budget: int | None = 60_000
 ) -> DataFrame:
     """Messages of each topic in sequence; with a budget the batch becomes the summary chunk."""
-    members = topic_members(topics).select(*top.TOPIC, "msg_id").distinct()
-    joined = members.join(trace, ["chatroom", "msg_id"])
+    joined = members.select(*top.TOPIC, "msg_id").join(trace, ["chatroom", "msg_id"])
     if not chunk_budget:
         return joined
     placed = number_rows(joined, top.TOPIC, ["seq_id"], "place")

@@ -54,12 +54,28 @@ def shared_dir(spark: SparkSession) -> str:
     return named or current
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/chatlake/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for an intermediate table below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/chatlake/{name}-{uuid.uuid4().hex}"
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise rows in the shared folder, so later stages all see the same ones."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write rows to a table in the shared folder and go on from there.
+
+    All later stages see the same rows, also when executors are lost; they read only the
+    columns they need, and the planner knows the real size.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(spark: SparkSession) -> bool:
+    """Delete this application's intermediate tables, once no result needs them any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(system.delete(path, True))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from chatlake import schemas
 from chatlake.sources import files
+from chatlake.sources.files import file_system_of
 from chatlake.sources.lake import read_lake, write_days
 
 DAY = schemas.PARTITION_COLUMNS
@@ -82,16 +83,11 @@ def delete_files(plan: DataFrame) -> DataFrame:
     """The explicit second step: remove the planned files and report each one."""
 
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
         for batch in batches:
             done = []
             for path in batch["file_path"]:
                 try:
-                    if "://" in path:
-                        system, inside = fs.FileSystem.from_uri(path)
-                    else:
-                        system, inside = fs.LocalFileSystem(), path.removeprefix("file:")
+                    system, inside = file_system_of(path)
                     system.delete_file(inside)
                     done.append(True)
                 except OSError:

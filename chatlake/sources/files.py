@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -96,14 +97,50 @@ FOOTER_SCHEMA = (
 )
 
 
-def _local(path: str) -> str:
-    return path[5:] if path.startswith("file:") else path
+def file_system_of(path: str):
+    """The file system of a path, and the path inside it."""
+    from pyarrow import fs
+
+    if "://" in path and not path.startswith("file:"):
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), re.sub("^file:/*", "/", path)
+
+
+def _entries(path: str, recursive: bool = False) -> list[tuple[str, bool, int]]:
+    """Path, folder flag and size of what lies in a folder."""
+    from pyarrow import fs
+
+    system, inside = file_system_of(path)
+    prefix = path[: path.index(inside)] if inside in path else ""
+    found = system.get_file_info(fs.FileSelector(inside, recursive=recursive))
+    return [(prefix + e.path, e.type == fs.FileType.Directory, e.size or 0) for e in found]
+
+
+def walk_files(spark: SparkSession, root: str, suffix: str = ".parquet") -> DataFrame:
+    """Every file below a folder with its size, empty ones included.
+
+    Spark's own listing leaves out empty files, and these are what a validation looks for.
+    The two upper levels (year and month) are listed here, the rest in the tasks.
+    """
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found: list[tuple] = []
+            for path, is_dir, size in batch.itertuples(index=False):
+                found += _entries(path, recursive=True) if is_dir else [(path, False, size)]
+            files = [(p, s) for p, is_dir, s in found if not is_dir and p.endswith(suffix)]
+            yield pd.DataFrame(files, columns=["file_path", "file_size"])
+
+    upper = _entries(root)
+    second = [entry for path, is_dir, _ in upper if is_dir for entry in _entries(path)]
+    start = [entry for entry in upper if not entry[1]] + second
+    rows = spark.createDataFrame(start, "path string, is_dir boolean, size long")
+    return rows.repartition("path").mapInPandas(walk, "file_path string, file_size long")
 
 
 def _read_footer(path: str, size: int) -> dict:
     """What the last bytes of a Parquet file say about it."""
     import pyarrow.parquet as pq
-    from pyarrow import fs
 
     blank = dict.fromkeys(
         ("row_count", "column_count", "row_groups", "compressed", "uncompressed", "codec",
@@ -112,10 +149,7 @@ def _read_footer(path: str, size: int) -> dict:
     try:
         if size == 0:
             raise ValueError("empty file")
-        if "://" in path:
-            system, inside = fs.FileSystem.from_uri(path)
-        else:
-            system, inside = fs.LocalFileSystem(), _local(path)
+        system, inside = file_system_of(path)
         with system.open_input_file(inside) as handle:
             reader = pq.ParquetFile(handle)
             meta, schema = reader.metadata, reader.schema_arrow
@@ -144,7 +178,7 @@ def _read_footer(path: str, size: int) -> dict:
     }
 
 
-def footers(spark: SparkSession, root: str, pattern: str = "*.parquet") -> DataFrame:
+def footers(spark: SparkSession, root: str) -> DataFrame:
     """Footer facts of every Parquet file, read where the tasks run.
 
     The listing is split over tasks by path, and only footers are read, so the cost follows
@@ -156,5 +190,4 @@ def footers(spark: SparkSession, root: str, pattern: str = "*.parquet") -> DataF
             rows = [_read_footer(p, int(s)) for p, s in zip(batch["file_path"], batch["file_size"], strict=True)]
             yield pd.DataFrame(rows)
 
-    listed = list_files(spark, root, pattern).select("file_path", "file_size")
-    return listed.repartition("file_path").mapInPandas(read, FOOTER_SCHEMA)
+    return walk_files(spark, root).repartition("file_path").mapInPandas(read, FOOTER_SCHEMA)

@@ -12,6 +12,8 @@ from urllib.parse import urlparse
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from chatlake.sources.files import file_system_of
+
 
 class _Page(InputPartition):
     def __init__(self, path: str) -> None:
@@ -26,13 +28,8 @@ class _RecordedReader(DataSourceReader):
         return [_Page(page) for page in self.pages]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        from pyarrow import fs
-
         path = partition.value
-        if "://" in path:
-            system, inside = fs.FileSystem.from_uri(path)
-        else:
-            system, inside = fs.LocalFileSystem(), path.removeprefix("file:")
+        system, inside = file_system_of(path)
         name = urlparse(path).path.rsplit("/", 1)[-1]
         with system.open_input_stream(inside) as handle:
             records = json.loads(handle.read().decode("utf-8"))

@@ -261,9 +261,19 @@ def merged_same_keywords(t: Tables) -> DataFrame:
     )
 
 
-@query("K07_merge_log")
+# The topics of this table share five of six words, so each room ends up with one topic.
+@query(
+    "K07_merge_log",
+    """
+    with o as (select chatroom, topic_no, row_number() over (partition by chatroom order by message_count desc, topic_no) as p from fx_room_topics),
+    w as (select c.chatroom, c.topic_no, a.topic_no as kept_no, c.p, b.topic_no as mid from o c join o a on a.chatroom = c.chatroom and a.p = 1
+          left join o b on b.chatroom = c.chatroom and b.p = 2 where c.p > 1)
+    select chatroom, topic_no, kept_no, case when p = 2 then concat('merge=[r', kept_no, ', s, t, u, v, ...] <- [r', topic_no, ', s, t, u, v, ...]; keyword_sim=0.83; reason=keyword_similarity')
+      else concat('merge=[r', least(kept_no, mid), ', r', greatest(kept_no, mid), ', s, t, u, ...] <- [r', topic_no, ', s, t, u, v, ...]; keyword_sim=0.71; reason=keyword_similarity') end as log from w
+    """,
+)
 def merge_log(t: Tables) -> DataFrame:
-    return report.merge_report(top.assign_merges(t.fx_topics))
+    return report.merge_report(top.assign_merges(t.fx_room_topics))
 
 
 @query(

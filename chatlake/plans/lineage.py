@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chatlake.operators.shaping import counted, rows_seen
 from chatlake.sources.lake import write_days
 
 
@@ -13,9 +14,9 @@ def write_with_lineage(
     source_type: str = "parquet",
 ) -> int:
     """Write rows by day and append a lineage row; rows are counted while they are written."""
-    seen = Observation("written")
-    write_days(df.observe(seen, F.count(F.lit(1)).alias("rows")), target, "append")
-    count = int(seen.get["rows"])
+    rows, seen = counted(df)
+    write_days(rows, target, "append")
+    count = rows_seen(seen)
     spark = df.sparkSession
     entry = spark.createDataFrame(
         [(source_type, source, target_type, target, operation, count)],

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from chatlake import schemas
 from chatlake.operators import cleaning
+from chatlake.operators.shaping import counted, rows_seen
 from chatlake.operators.skew import keep_first
 from chatlake.session import scratch_path
 from chatlake.sources import jsonl, lake
@@ -64,18 +65,17 @@ def ingest_batch(
     A batch repeated after a failure adds nothing twice. Rows are counted in passing.
     """
     stored = lake.read_if_there(spark, root) if deduplicate else None
-    read, added = Observation("read"), Observation("added")
     staged = scratch_path(spark, "batch")
-    count = F.count(F.lit(1)).alias("rows")
-    rows = ordered_messages(lines).observe(read, count)
+    rows, read = counted(ordered_messages(lines))
     if deduplicate:
         rows = keep_first(rows, ["msg_id"], ["source_file", "_order"])
     rows.write.parquet(staged)
     kept = spark.read.parquet(staged)
     if deduplicate:
         kept = unseen(kept, stored)
-    lake.write_days(cleaning.conform(kept).observe(added, count), root, "append")
-    total, new = int(read.get["rows"]), int(added.get["rows"])
+    new_rows, added = counted(cleaning.conform(kept))
+    lake.write_days(new_rows, root, "append")
+    total, new = rows_seen(read), rows_seen(added)
     return {"total_processed": total, "new_records": new, "duplicates_skipped": total - new}
 
 

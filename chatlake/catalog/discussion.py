@@ -14,6 +14,7 @@ from chatlake.functions import topics as fn
 from chatlake.operators import enrichment
 from chatlake.operators import topics as top
 from chatlake.plans import analysis, prompts, report
+from chatlake.session import cut_lineage
 from chatlake.sources.adapters import Tables
 
 TOPIC = ["chatroom", "topic_no"]
@@ -532,8 +533,9 @@ def fallback_texts(t: Tables) -> DataFrame:
 # -- trace and report ---------------------------------------------------------------------
 
 
-def _no_images(t: Tables) -> DataFrame:
-    return t.fx_images
+def _batched(t: Tables) -> DataFrame:
+    """Batched messages, written once because a trace reads them several times."""
+    return cut_lineage(batched_xml(t))
 
 
 _TRACED = BATCHED + """
@@ -550,7 +552,7 @@ _TRACED = BATCHED + """
     _TRACED + "select msg_id, seq_id, batch_index, stamp as time_str, sender, display_content, message_type, coalesce(refers_to, 0) as refers_to, coalesce(share_url, '') as share_url from traced",
 )
 def trace_messages(t: Tables) -> DataFrame:
-    rows = report.trace_messages(batched_xml(t), t.fx_images, OPTIONS)
+    rows = report.trace_messages(_batched(t), t.fx_images, OPTIONS)
     return rows.select(
         "msg_id", "seq_id", "batch_index", "time_str", "sender", "display_content", "message_type",
         F.coalesce("refers_to_seq_id", F.lit(0)).alias("refers_to"), F.coalesce("share_url", F.lit("")).alias("share_url"),
@@ -570,7 +572,7 @@ def trace_messages(t: Tables) -> DataFrame:
     """,
 )
 def trace_topics(t: Tables) -> DataFrame:
-    trace = report.trace_messages(batched_xml(t), t.fx_images, OPTIONS)
+    trace = report.trace_messages(_batched(t), t.fx_images, OPTIONS)
     rows = report.trace_topic_messages(enrichment.topic_members(t.fx_topics), trace, 60)
     return rows.select(*TOPIC, "msg_id", "seq_id", "batch_index")
 
@@ -581,7 +583,7 @@ def trace_topics(t: Tables) -> DataFrame:
     "min(create_epoch) as first_epoch, max(create_epoch) as last_epoch from traced group by chatroom",
 )
 def trace_rooms(t: Tables) -> DataFrame:
-    return report.trace_rooms(report.trace_messages(batched_xml(t), t.fx_images, OPTIONS), t.fx_topics)
+    return report.trace_rooms(report.trace_messages(_batched(t), t.fx_images, OPTIONS), t.fx_topics)
 
 
 @query(
@@ -611,7 +613,7 @@ def topic_message_order(t: Tables) -> DataFrame:
     """,
 )
 def trace_export(t: Tables) -> DataFrame:
-    trace = report.trace_messages(batched_xml(t), t.fx_images, OPTIONS)
+    trace = report.trace_messages(_batched(t), t.fx_images, OPTIONS)
     rows = report.trace_topic_messages(enrichment.topic_members(t.fx_room_topics), trace, None)
     return report.trace_export(rows, t.fx_room_topics, 10)
 

@@ -207,7 +207,8 @@ _SEQUENCED = ENRICHED + """
     "left join seq b on a.chatroom = b.chatroom and nullif(a.svrid, '') = b.msg_id",
 )
 def quote_links(t: Tables) -> DataFrame:
-    rows = enrichment.resolve_quotes(enrichment.enrich(assign_sequence(xml_messages(t))))
+    sequenced = assign_sequence(xml_messages(t))
+    rows = enrichment.resolve_quotes(enrichment.enrich(sequenced), targets=sequenced)
     return rows.select("msg_id", "seq_id", F.coalesce("refers_to_seq_id", F.lit(0)).alias("refers_to"))
 
 
@@ -220,8 +221,8 @@ def quote_links(t: Tables) -> DataFrame:
 def quote_links_earlier_batch(t: Tables) -> DataFrame:
     from chatlake.operators.sequence import batches_by_count
 
-    rows = batches_by_count(enrichment.enrich(assign_sequence(xml_messages(t))), 4)
-    linked = enrichment.resolve_quotes(rows, earlier_only=True)
+    rows = batches_by_count(assign_sequence(xml_messages(t)), 4)
+    linked = enrichment.resolve_quotes(enrichment.enrich(rows), earlier_only=True, targets=rows)
     return linked.select("msg_id", F.coalesce("refers_to_seq_id", F.lit(0)).alias("refers_to"))
 
 

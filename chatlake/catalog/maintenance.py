@@ -83,13 +83,23 @@ def dedup_per_day(t: Tables) -> DataFrame:
     return partitions.day_counts(lake.read_lake(t.spark, out))
 
 
-@query(
-    "A08_partition_scan",
+_SCANNED = (
     f"select {_DAY}, count(*) as row_count, cast(epoch(min(create_time)) as bigint) as first_epoch, "
-    "cast(epoch(max(create_time)) as bigint) as last_epoch from fx_messages group by year(create_time), month(create_time), day(create_time)",
+    "cast(epoch(max(create_time)) as bigint) as last_epoch from fx_messages group by year(create_time), month(create_time), day(create_time)"
 )
+
+
+@query("A08_partition_scan", _SCANNED)
 def partition_scan(t: Tables) -> DataFrame:
-    scanned = partitions.scan_partitions(_lake(t))
+    return _scanned(partitions.scan_partitions(_lake(t)))
+
+
+@query("A08_partition_scan_by_footers", _SCANNED)
+def partition_scan_by_footers(t: Tables) -> DataFrame:
+    return _scanned(partitions.scan_footers(files.footers(t.spark, message_lake(t))))
+
+
+def _scanned(scanned: DataFrame) -> DataFrame:
     return scanned.select(
         *schemas.PARTITION_COLUMNS, "row_count",
         F.unix_timestamp("first_time").alias("first_epoch"),

@@ -28,7 +28,7 @@ def members(document: Column) -> Column:
 
 def member_text(object_members: Column, name: str) -> Column:
     """A member as text; a nested object or list keeps its JSON form."""
-    return F.try_element_at(object_members, F.lit(name)).cast("string")
+    return F.try_variant_get(F.try_element_at(object_members, F.lit(name)), "$", "string")
 
 
 def body_of(top: Column) -> Column:

@@ -50,7 +50,7 @@ def extract_payload(parsed: DataFrame) -> DataFrame:
                 clean.member_text(top, name)
             )
         fields[name] = own
-    outer = F.filter(F.map_keys(top), lambda name: name.isin(*inherited))
+    outer = F.array_intersect(F.map_keys(top), F.array(*[F.lit(name) for name in inherited]))
     fields["present"] = F.coalesce(
         F.array_union(F.map_keys(body), outer), F.array().cast("array<string>")
     )

@@ -86,21 +86,25 @@ def with_images(messages: DataFrame, images: DataFrame) -> DataFrame:
     return look_up(referring, facts, ["image_id"], "msg_id")
 
 
-def resolve_quotes(messages: DataFrame, earlier_only: bool = False) -> DataFrame:
+def resolve_quotes(
+    messages: DataFrame, earlier_only: bool = False, targets: DataFrame | None = None
+) -> DataFrame:
     """Sequence number of the quoted message in the same room, null when it is not there.
 
     With ``earlier_only`` the quoted message must be in the same batch or an earlier one.
+    ``targets`` may give the messages before enrichment, so that they are not parsed twice.
     """
     places = ["seq_id", "batch_index"] if earlier_only else ["seq_id"]
     # of messages that share an id the last one counts
-    targets = (
-        messages.groupBy("chatroom", F.col("msg_id").alias("_svrid"))
+    numbered = messages if targets is None else targets
+    places_of = (
+        numbered.groupBy("chatroom", F.col("msg_id").alias("_svrid"))
         .agg(F.max(F.struct(*places)).alias("_p"))
         .select("chatroom", "_svrid", F.col("_p.seq_id").alias("refers_to_seq_id"),
                 *([F.col("_p.batch_index").alias("_batch")] if earlier_only else []))
     )
     quoting = messages.withColumn("_svrid", F.nullif("refermsg.svrid", F.lit("")))
-    joined = look_up(quoting, targets, ["chatroom", "_svrid"], "msg_id")
+    joined = look_up(quoting, places_of, ["chatroom", "_svrid"], "msg_id")
     if earlier_only:
         seen = F.col("_batch") <= F.col("batch_index")
         joined = joined.withColumn("refers_to_seq_id", F.when(seen, F.col("refers_to_seq_id")))

@@ -53,6 +53,21 @@ def scan_partitions(lake: DataFrame, time_column: str = "create_time") -> DataFr
     )
 
 
+def scan_footers(footers: DataFrame) -> DataFrame:
+    """The same facts from file footers alone, for tables too large to be read for this.
+
+    Times are null where a file has no statistics on the time column.
+    """
+    placed = footers.filter("readable").withColumn("_p", files.parse_path(F.col("file_path")))
+    return placed.select("*", "_p.*").groupBy(*DAY).agg(
+        F.count(F.lit(1)).alias("file_count"),
+        F.sum("file_size").alias("total_size"),
+        F.sum("row_count").alias("row_count"),
+        F.min("first_time").alias("first_time"),
+        F.max("last_time").alias("last_time"),
+    )
+
+
 def with_labels(partitions: DataFrame) -> DataFrame:
     """Key text and size in megabytes of each partition row."""
     return partitions.withColumns(

@@ -76,5 +76,6 @@ def look_up(df: DataFrame, lookup: DataFrame, key: Sequence[str], spread: str) -
         missing = missing | F.col(column).isNull()
     salt = F.when(missing, F.pmod(F.hash(spread), F.lit(_SALTS)) + 1).otherwise(0)
     salted = df.withColumn("_salt", salt)
-    matched = lookup.withColumn("_salt", F.lit(0))
+    # always 0, but a literal would be folded away and with it the salt as a join key
+    matched = lookup.withColumn("_salt", F.pmod(F.hash(*key), F.lit(1)))
     return salted.join(matched, [*key, "_salt"], "left").drop("_salt")

@@ -14,6 +14,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # unlike the default form, this one has statistics and takes pushed-down filters
+    "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
     # of a repeated JSON key the last value counts
     "spark.sql.variant.allowDuplicateKeys": "true",
 }

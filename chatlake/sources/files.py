@@ -92,7 +92,7 @@ def write_csv(df: DataFrame, path: str) -> None:
 FOOTER_SCHEMA = (
     "file_path string, file_size long, readable boolean, error string, row_count long, "
     "column_count int, row_groups int, compressed long, uncompressed long, codec string, "
-    "writer string, schema_text string, "
+    "writer string, schema_text string, first_time timestamp, last_time timestamp, "
     "fields array<struct<name:string,type:string,nullable:boolean>>"
 )
 
@@ -138,13 +138,25 @@ def walk_files(spark: SparkSession, root: str, suffix: str = ".parquet") -> Data
     return rows.repartition("path").mapInPandas(walk, "file_path string, file_size long")
 
 
-def _read_footer(path: str, size: int) -> dict:
+def _time_bounds(meta, names: list[str], column: str) -> dict:
+    """Least and greatest value of a timestamp column, where all row groups know theirs."""
+    if column not in names:
+        return {"first_time": None, "last_time": None}
+    groups = [meta.row_group(group) for group in range(meta.num_row_groups)]
+    chunks = [group.column(i) for group in groups for i in range(group.num_columns)]
+    stats = [chunk.statistics for chunk in chunks if chunk.path_in_schema == column]
+    if not stats or not all(s is not None and s.has_min_max for s in stats):
+        return {"first_time": None, "last_time": None}
+    return {"first_time": min(s.min for s in stats), "last_time": max(s.max for s in stats)}
+
+
+def _read_footer(path: str, size: int, time_column: str) -> dict:
     """What the last bytes of a Parquet file say about it."""
     import pyarrow.parquet as pq
 
     blank = dict.fromkeys(
         ("row_count", "column_count", "row_groups", "compressed", "uncompressed", "codec",
-         "writer", "schema_text", "fields")
+         "writer", "schema_text", "first_time", "last_time", "fields")
     )
     try:
         if size == 0:
@@ -174,11 +186,12 @@ def _read_footer(path: str, size: int) -> dict:
         "codec": ",".join(sorted({chunk.compression for chunk in chunks})),
         "writer": str(meta.created_by),
         "schema_text": "; ".join(f"{f['name']} {f['type']}" for f in fields),
+        **_time_bounds(meta, schema.names, time_column),
         "fields": fields,
     }
 
 
-def footers(spark: SparkSession, root: str) -> DataFrame:
+def footers(spark: SparkSession, root: str, time_column: str = "create_time") -> DataFrame:
     """Footer facts of every Parquet file, read where the tasks run.
 
     The listing is split over tasks by path, and only footers are read, so the cost follows
@@ -187,7 +200,10 @@ def footers(spark: SparkSession, root: str) -> DataFrame:
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [_read_footer(p, int(s)) for p, s in zip(batch["file_path"], batch["file_size"], strict=True)]
-            yield pd.DataFrame(rows)
+            named = zip(batch["file_path"], batch["file_size"], strict=True)
+            frame = pd.DataFrame([_read_footer(path, int(size), time_column) for path, size in named])
+            for name in ("first_time", "last_time"):
+                frame[name] = pd.to_datetime(frame[name], utc=True)
+            yield frame
 
     return walk_files(spark, root).repartition("file_path").mapInPandas(read, FOOTER_SCHEMA)

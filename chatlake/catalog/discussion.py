@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatlake.catalog.registry import query
-from chatlake.catalog.rooms import BATCHED, CHUNKS, OPTIONS, batched_xml, chat, sequenced_chat
+from chatlake.catalog.rooms import BATCHED, CHUNKS, OPTIONS, batched_xml, chat, chat_members, sequenced_chat
 from chatlake.functions import topics as fn
 from chatlake.operators import enrichment
 from chatlake.operators import topics as top
@@ -20,6 +20,11 @@ from chatlake.sources.adapters import Tables
 TOPIC = ["chatroom", "topic_no"]
 
 
+def room_members(t: Tables) -> DataFrame:
+    """Members of the adapter with three topics per room."""
+    return chat_members(t).withColumn("topic_no", F.col("topic_no") % 3)
+
+
 def _holds(text: str, terms: list[str]) -> list[str]:
     return [f"contains(lower({text}), '{t.lower()}')" if t.isascii() else f"contains({text}, '{t}')" for t in terms]
 
@@ -235,10 +240,12 @@ def valid_topics(t: Tables) -> DataFrame:
 
 @query("K05_merged_topics")
 def merged_topics(t: Tables) -> DataFrame:
-    rows = top.merge_topics(t.fx_term_topics)
-    return rows.select(
+    heads = t.fx_term_topics.drop("message_ids")
+    rows, members = top.merge_topics_and_members(heads, chat_members(t))
+    sizes = members.groupBy(*TOPIC).agg(F.count(F.lit(1)).alias("ids"))
+    return rows.join(sizes, TOPIC).select(
         *TOPIC, "title", "message_count", F.round("confidence", 6).alias("confidence"), "notes",
-        F.array_join("keywords", ",").alias("keywords"), F.size("message_ids").alias("ids"),
+        F.array_join("keywords", ",").alias("keywords"), "ids",
     )
 
 
@@ -381,7 +388,7 @@ def participants(t: Tables) -> DataFrame:
 
 @query("A17_primary_dates", _FOUND + "select * from prime")
 def primary_dates(t: Tables) -> DataFrame:
-    return top.primary_dates(enrichment.topic_members(t.fx_term_topics), term_chat(t))
+    return top.primary_dates(chat_members(t), term_chat(t))
 
 
 _POPULAR = """
@@ -411,13 +418,13 @@ def report_order(t: Tables) -> DataFrame:
 
 @query("K08_watched_topics", _FOUND + "select chatroom, topic_no, is_watch from judged")
 def watched_topics(t: Tables) -> DataFrame:
-    joined = t.fx_term_topics.join(top.term_facts(enrichment.topic_members(t.fx_term_topics), term_chat(t)), TOPIC, "left")
+    joined = t.fx_term_topics.join(top.term_facts(chat_members(t), term_chat(t)), TOPIC, "left")
     return joined.select(*TOPIC, top.is_watch_topic().alias("is_watch"))
 
 
 @query("K09_investment_topics", _FOUND + "select chatroom, topic_no, is_invest from judged")
 def investment_topics(t: Tables) -> DataFrame:
-    joined = t.fx_term_topics.join(top.term_facts(enrichment.topic_members(t.fx_term_topics), term_chat(t)), TOPIC, "left")
+    joined = t.fx_term_topics.join(top.term_facts(chat_members(t), term_chat(t)), TOPIC, "left")
     return joined.select(*TOPIC, top.looks_like_investment().alias("is_invest"))
 
 
@@ -429,7 +436,7 @@ def investment_topics(t: Tables) -> DataFrame:
     """,
 )
 def final_categories(t: Tables) -> DataFrame:
-    return top.with_categories(t.fx_term_topics, enrichment.topic_members(t.fx_term_topics), term_chat(t)).select(*TOPIC, "category")
+    return top.with_categories(t.fx_term_topics, chat_members(t), term_chat(t)).select(*TOPIC, "category")
 
 
 @query(
@@ -447,7 +454,7 @@ def final_categories(t: Tables) -> DataFrame:
     """,
 )
 def collapsed_topics(t: Tables) -> DataFrame:
-    members = enrichment.topic_members(t.fx_term_topics)
+    members = chat_members(t)
     rows, _ = top.collapse_watch_topics(t.fx_term_topics, members, term_chat(t))
     return rows.select(
         *TOPIC, "title", "message_count", F.round("confidence", 6).alias("confidence"), "notes",
@@ -463,7 +470,7 @@ def collapsed_topics(t: Tables) -> DataFrame:
     """,
 )
 def topic_facts(t: Tables) -> DataFrame:
-    rows = top.topic_facts(enrichment.topic_members(t.fx_term_topics), term_chat(t))
+    rows = top.topic_facts(chat_members(t), term_chat(t))
     return rows.select(*TOPIC, "found", F.array_join("participants", ",").alias("participants"), "time_range")
 
 
@@ -484,7 +491,7 @@ def topic_facts(t: Tables) -> DataFrame:
     """,
 )
 def summary_prompts(t: Tables) -> DataFrame:
-    chunks = prompts.summary_chunks(enrichment.topic_members(t.fx_topics), chat(t), max_messages=3, budget=150)
+    chunks = prompts.summary_chunks(chat_members(t), chat(t), max_messages=3, budget=150)
     rows = prompts.summary_prompts(chunks, t.fx_topics, room_ranges(t))
     return rows.select(*TOPIC, "chunk_index", "chunk_total", "total_messages", "prompt")
 
@@ -573,7 +580,7 @@ def trace_messages(t: Tables) -> DataFrame:
 )
 def trace_topics(t: Tables) -> DataFrame:
     trace = report.trace_messages(_batched(t), t.fx_images, OPTIONS)
-    rows = report.trace_topic_messages(enrichment.topic_members(t.fx_topics), trace, 60)
+    rows = report.trace_topic_messages(chat_members(t), trace, 60)
     return rows.select(*TOPIC, "msg_id", "seq_id", "batch_index")
 
 
@@ -596,7 +603,7 @@ def trace_rooms(t: Tables) -> DataFrame:
 def topic_message_order(t: Tables) -> DataFrame:
     from chatlake.operators.skew import number_rows
 
-    rows = enrichment.topic_messages(enrichment.topic_members(t.fx_topics), batched_xml(t))
+    rows = enrichment.topic_messages(chat_members(t), batched_xml(t))
     return number_rows(rows, TOPIC, ["seq_id"], "place").select(*TOPIC, "msg_id", "place")
 
 
@@ -614,7 +621,7 @@ def topic_message_order(t: Tables) -> DataFrame:
 )
 def trace_export(t: Tables) -> DataFrame:
     trace = report.trace_messages(_batched(t), t.fx_images, OPTIONS)
-    rows = report.trace_topic_messages(enrichment.topic_members(t.fx_room_topics), trace, None)
+    rows = report.trace_topic_messages(room_members(t), trace, None)
     return report.trace_export(rows, t.fx_room_topics, 10)
 
 

@@ -10,7 +10,7 @@ from chatlake.catalog.registry import message_lake, query
 from chatlake.operators import state
 from chatlake.plans import lineage
 from chatlake.session import scratch_path
-from chatlake.sources import files, lake, recorded
+from chatlake.sources import lake, recorded
 from chatlake.sources.adapters import Tables
 from chatlake.streaming import activity, ingest
 
@@ -139,7 +139,6 @@ def recorded_pages(t: Tables) -> DataFrame:
     one = t.table("customer").select(page, F.struct("c_custkey", "c_nationkey").alias("record"))
     pages = one.groupBy("page_key").agg(F.to_json(F.collect_list("record")).alias("value"))
     pages.repartition("page_key").write.partitionBy("page_key").text(out)
-    paths = [row["file_path"] for row in files.list_files(t.spark, out, "*.txt").select("file_path").collect()]
-    rows = recorded.read_pages(t.spark, paths)
+    rows = recorded.read_pages(t.spark, out, ".txt")
     nation = F.get_json_object("record", "$.c_nationkey").cast("int").alias("c_nationkey")
     return rows.groupBy(nation).agg(F.count(F.lit(1)).alias("records"))

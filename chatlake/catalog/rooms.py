@@ -22,6 +22,11 @@ def chat(t: Tables) -> DataFrame:
     return t.fx_chat.withColumn("create_time", F.timestamp_seconds("create_epoch"))
 
 
+def chat_members(t: Tables) -> DataFrame:
+    """Members of the topic adapters in long form: one topic per conversation, ids in order."""
+    return t.fx_chat.select("chatroom", F.col("conv_id").alias("topic_no"), F.lit(0).alias("pos"), "msg_id")
+
+
 def sequenced_chat(t: Tables) -> DataFrame:
     return sequence.assign_sequence(chat(t))
 
@@ -343,7 +348,7 @@ CHUNKS = _MEMBERS + f"""
     CHUNKS + "select chatroom, topic_no, c.msg_id, chunk_index from walk join costed c using (chatroom, topic_no, place)",
 )
 def summary_chunks(t: Tables) -> DataFrame:
-    rows = prompts.summary_chunks(enrichment.topic_members(t.fx_topics), chat(t), max_messages=3, budget=150)
+    rows = prompts.summary_chunks(chat_members(t), chat(t), max_messages=3, budget=150)
     return rows.select("chatroom", "topic_no", "msg_id", "chunk_index")
 
 
@@ -356,7 +361,7 @@ def stride_sample(t: Tables) -> DataFrame:
 
     topic = ["chatroom", "topic_no"]
     found = number_rows(
-        enrichment.topic_messages(enrichment.topic_members(t.fx_topics), chat(t)), topic, ["pos", "msg_id"], "place"
+        enrichment.topic_messages(chat_members(t), chat(t)), topic, ["pos", "msg_id"], "place"
     )
     return sequence.stride_sample(found, topic, "place", 3).select(*topic, "msg_id", "place")
 

@@ -106,7 +106,7 @@ def file_system_of(path: str):
     return fs.LocalFileSystem(), re.sub("^file:/*", "/", path)
 
 
-def _entries(path: str, recursive: bool = False) -> list[tuple[str, bool, int]]:
+def entries_of(path: str, recursive: bool = False) -> list[tuple[str, bool, int]]:
     """Path, folder flag and size of what lies in a folder."""
     from pyarrow import fs
 
@@ -127,12 +127,12 @@ def walk_files(spark: SparkSession, root: str, suffix: str = ".parquet") -> Data
         for batch in batches:
             found: list[tuple] = []
             for path, is_dir, size in batch.itertuples(index=False):
-                found += _entries(path, recursive=True) if is_dir else [(path, False, size)]
+                found += entries_of(path, recursive=True) if is_dir else [(path, False, size)]
             files = [(p, s) for p, is_dir, s in found if not is_dir and p.endswith(suffix)]
             yield pd.DataFrame(files, columns=["file_path", "file_size"])
 
-    upper = _entries(root)
-    second = [entry for path, is_dir, _ in upper if is_dir for entry in _entries(path)]
+    upper = entries_of(root)
+    second = [entry for path, is_dir, _ in upper if is_dir for entry in entries_of(path)]
     start = [entry for entry in upper if not entry[1]] + second
     rows = spark.createDataFrame(start, "path string, is_dir boolean, size long")
     return rows.repartition("path").mapInPandas(walk, "file_path string, file_size long")

@@ -48,6 +48,28 @@ def deduplicate_per_day(df: DataFrame, order: Sequence[str]) -> DataFrame:
     return keep_first(df, [*schemas.PARTITION_COLUMNS, "msg_id"], order)
 
 
+def deduplicate_day(
+    spark: SparkSession, root: str, year: int, month: int, day: int, in_place: bool = True
+) -> str:
+    """Keep the first row per id over all files of one day; returns where the result lies.
+
+    The result is staged. In place it then replaces the day, otherwise it is written to a
+    table next to the root with the suffix ``_dedup``.
+    """
+    source = read_lake(spark, root)
+    wanted = (F.col("year") == year) & (F.col("month") == month) & (F.col("day") == day)
+    rows = with_file_order(source).filter(wanted)
+    kept = keep_first(rows, ["msg_id"], FILE_ORDER).select(*source.columns)
+    if not in_place:
+        target = f"{root.rstrip('/')}_dedup"
+        write_days(kept.drop(*schemas.PARTITION_COLUMNS), target, "overwrite")
+        return target
+    staged = scratch_path(spark, "day")
+    write_days(kept.drop(*schemas.PARTITION_COLUMNS), staged, "overwrite")
+    write_days(read_lake(spark, staged).drop(*schemas.PARTITION_COLUMNS), root, "overwrite")
+    return root
+
+
 def compact_lake(spark: SparkSession, root: str, out: str | None = None) -> DataFrame:
     """Deduplicate every day and rewrite it compactly; returns the row counts.
 

@@ -99,7 +99,7 @@ def rewrite_days(spark: SparkSession, root: str, mapping: DataFrame) -> DataFram
 
 def extract_all(
     spark: SparkSession, root: str, image_log: str, checkpoint_log: str, from_username: str,
-    dry_run: bool = False,
+    update_content: bool = True, dry_run: bool = False,
 ) -> DataFrame:
     """Extract images from every file this sender has not completed; returns the counters.
 
@@ -124,7 +124,8 @@ def extract_all(
     extracted = found.filter("is_new").count()
     if not dry_run:
         append_log(creation_events(found.filter("is_new")), image_log)
-        days = rewrite_days(spark, root, found.select("msg_id", F.col("image_id").alias("value")))
+        mapping = found.select("msg_id", F.col("image_id").alias("value"))
+        days = rewrite_days(spark, root, mapping if update_content else mapping.limit(0))
         now = files.list_files(spark, root).withColumn("_p", files.parse_path(F.col("file_path")))
         fresh = now.select(F.col("file_path").alias("parquet_file"), "_p.*").join(
             days, schemas.PARTITION_COLUMNS, "left_semi"

@@ -96,3 +96,10 @@ def delete_files(plan: DataFrame) -> DataFrame:
 
     chosen = plan.filter(F.col("decision") == "delete").select("file_path")
     return chosen.mapInPandas(remove, "file_path string, deleted boolean")
+
+
+def delete_days(spark: SparkSession, root: str, days: DataFrame) -> DataFrame:
+    """Remove the files of whole days, such as those an archive run has verified."""
+    listed = files.list_files(spark, root).withColumn("_p", files.parse_path(F.col("file_path")))
+    placed = listed.select("file_path", "_p.*").join(days.select(*DAY), DAY, "left_semi")
+    return delete_files(placed.withColumn("decision", F.lit("delete")))

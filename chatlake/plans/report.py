@@ -15,7 +15,10 @@ from chatlake.operators.enrichment import (
 from chatlake.operators.sequence import greedy_batches
 from chatlake.operators.skew import number_rows
 
+# Wording of the report.
 NO_TOPICS = "无热门话题。"
+NO_MESSAGES = "未找到可分析的群聊消息。"
+DEFAULT_TITLE = "群聊消息分析报告"
 EXPORT_ROWS = 10_000
 
 
@@ -71,9 +74,24 @@ def report_text(rows: DataFrame) -> DataFrame:
     return rows.select("chatroom", "rank", F.concat_ws("\n", F.lit(""), *parts).alias("markdown"))
 
 
-def write_report(rows: DataFrame, path: str) -> None:
-    text = report_text(rows).select("chatroom", F.col("markdown").alias("value"))
-    text.write.partitionBy("chatroom").text(path)
+def report_head(date: str, title: str | None = None, empty: bool = False) -> str:
+    """Title and date of a report, and the note that takes the place of missing rooms."""
+    one_line = " ".join((title or "").split("\n")).strip() or DEFAULT_TITLE
+    return f"# {one_line}\n\n- 日期: {date}\n" + (f"\n{NO_MESSAGES}" if empty else "")
+
+
+def report_document(rows: DataFrame, date: str, title: str | None = None) -> DataFrame:
+    """The report as ordered text parts: the head first, then the rooms with their topics."""
+    head = report_head(date, title, rows.isEmpty())
+    first = rows.sparkSession.range(1).select(
+        F.lit("").alias("chatroom"), F.lit(-1).alias("rank"), F.lit(head).alias("markdown")
+    )
+    return first.unionByName(report_text(rows)).orderBy("chatroom", "rank")
+
+
+def write_report(rows: DataFrame, path: str, date: str, title: str | None = None) -> None:
+    """Write the parts in order, as one or more text files."""
+    report_document(rows, date, title).select(F.col("markdown").alias("value")).write.text(path)
 
 
 # -- trace --------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from chatlake import schemas
+from chatlake.functions import clean
 from chatlake.operators import cleaning
 from chatlake.operators.shaping import counted, rows_seen
 from chatlake.operators.skew import keep_first
@@ -111,6 +112,28 @@ def run_to_end(query: StreamingQuery) -> dict[str, int]:
     }
 
 
+def ingest_objects(
+    spark: SparkSession, objects: DataFrame, root: str, raw_dir: str | None = None,
+    checkpoint: str | None = None,
+) -> dict[str, int]:
+    """Ingest given JSON texts (column ``value``); anything but objects is refused.
+
+    With ``raw_dir`` the objects are first landed as a file of the current day and then
+    ingested with everything else that waits there.
+    """
+    parsed = cleaning.parse_lines(objects)
+    is_object = clean.members(F.col("doc")).isNotNull()
+    refused = parsed.filter(~is_object | F.col("doc").isNull()).count()
+    accepted = parsed.filter(is_object).select("value")
+    if raw_dir is None:
+        return ingest_batch(spark, accepted.withColumn("source_file", F.lit("")), root) | {"refused": refused}
+    day = F.date_format(F.current_timestamp(), "yyyy-MM-dd").alias("arrival_date")
+    accepted.select("value", day).write.mode("append").partitionBy("arrival_date").text(raw_dir)
+    if checkpoint is None:
+        raise ValueError("a checkpoint folder is needed to ingest from a landing folder")
+    return run_to_end(ingest_stream(spark, raw_dir, root, checkpoint)) | {"refused": refused}
+
+
 def resume_lines(
     spark: SparkSession, path: str, log: DataFrame | None, batch_size: int = 1000
 ) -> DataFrame:

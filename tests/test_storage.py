@@ -217,3 +217,74 @@ def test_image_events_fold(spark) -> None:
     failed = images.status_events(made, F.lit("failed"), error_message=F.lit("e")).withColumn("event_no", F.lit(9).cast("long"))
     after = images.current_images(log.unionByName(failed)).first()
     assert (after.status, after.download_url, after.error_message, after.downloaded_at) == ("failed", None, "e", None)
+
+
+def test_one_day_deduplicated(spark, tmp_path) -> None:
+    root = str(tmp_path / "lake")
+    messages = cleaning.messages_from_lines(
+        spark.createDataFrame([(_line(i % 3, 1 + i % 2),) for i in range(12)], "value string")
+    )
+    lake.append_messages(messages, root)
+    other = dedup.deduplicate_day(spark, root, 2024, 1, 1, in_place=False)
+    assert lake.read_lake(spark, other).count() == 3
+    assert lake.read_lake(spark, root).count() == 12
+    dedup.deduplicate_day(spark, root, 2024, 1, 2)
+    counts = {r.day: r.row_count for r in partitions.day_counts(lake.read_lake(spark, root)).collect()}
+    assert counts == {1: 6, 2: 3}
+
+
+def test_delete_archived_days(spark, tmp_path) -> None:
+    root, cold = str(tmp_path / "lake"), str(tmp_path / "cold")
+    lake.convert_lines(spark.createDataFrame([(_line(i, i),) for i in range(1, 6)], "value string"), root)
+    done = retention.archive_days(spark, root, cold, date(2024, 1, 20), 17)
+    assert all(r.deleted for r in retention.delete_days(spark, root, done).collect())
+    assert sorted(r.day for r in lake.read_lake(spark, root).collect()) == [3, 4, 5]
+    assert sorted(r.day for r in lake.read_lake(spark, cold).collect()) == [1, 2]
+
+
+def test_checksums_match(spark, tmp_path) -> None:
+    import hashlib
+    import zlib
+
+    (tmp_path / "a.bin").write_bytes(b"some bytes" * 100)
+    row = files.checksums(spark, str(tmp_path), "*.bin").first()
+    content = b"some bytes" * 100
+    assert (row.md5, row.crc32, row.file_size) == (hashlib.md5(content).hexdigest(), zlib.crc32(content), 1000)
+
+
+def test_given_objects(spark, tmp_path) -> None:
+    root, raw, mark = str(tmp_path / "lake"), str(tmp_path / "raw"), str(tmp_path / "mark")
+    given = spark.createDataFrame([(_line(1),), ("[1]",), ("{bad",), ("5",)], "value string")
+    assert ingest.ingest_objects(spark, given, root)["refused"] == 3
+    more = spark.createDataFrame([(_line(2),)], "value string")
+    assert ingest.ingest_objects(spark, more, root, raw, mark)["lines"] == 1
+    assert {r.msg_id for r in lake.read_lake(spark, root).collect()} == {"m1", "m2"}
+
+
+def test_extraction_runs_once_per_file(spark, tmp_path) -> None:
+    root, log, marks = (str(tmp_path / name) for name in ("lake", "images", "marks"))
+    picture = '<msg><img aeskey="k" cdnmidimgurl="u" encryver="1"/></msg>'
+    rows = [_line(1, 1, content=picture), _line(2, 1), _line(3, 2, content=picture)]
+    lake.convert_lines(spark.createDataFrame([(r,) for r in rows], "value string"), root)
+    assert images.extract_all(spark, root, log, marks, "u", dry_run=True).first().images_extracted == 2
+    assert images.extract_all(spark, root, log, marks, "u").first().images_extracted == 2
+    stored = {r.msg_id: r.content for r in lake.read_lake(spark, root).collect()}
+    ids = {r.msg_id: r.image_id for r in images.current_images(spark.read.parquet(log)).collect()}
+    assert stored == {"m1": f"image#{ids['m1']}", "m2": "c2", "m3": f"image#{ids['m3']}"}
+    again = images.extract_all(spark, root, log, marks, "u").first()
+    assert (again.files_scanned, again.images_extracted) == (0, 0)
+    lake.append_messages(
+        cleaning.messages_from_lines(spark.createDataFrame([(_line(4, 2, content=picture),)], "value string")), root
+    )
+    assert images.extract_all(spark, root, log, marks, "u").first().images_extracted == 1
+
+
+def test_pages_are_grouped_into_tasks(spark, tmp_path) -> None:
+    from chatlake.sources import recorded
+
+    for number in range(7):
+        (tmp_path / f"p{number}.json").write_text(f'[{{"n": {number}}}, {{"n": -1}}]')
+    recorded.register(spark)
+    pages = spark.read.format("recorded_pages").option("pages_per_task", "3").load(str(tmp_path))
+    assert pages.rdd.getNumPartitions() == 3
+    assert sorted(r.page for r in pages.filter("record_no = 0").collect()) == [f"p{n}.json" for n in range(7)]

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatlake.session import cut_lineage
 
@@ -21,11 +22,17 @@ def number_rows(
     range-partitioned on group and order together, so a large group spans many tasks; each
     (group, task) slice then only needs the number of rows in the slices before it. The
     sorted rows are materialised once, since both steps must see the same slices.
+
+    Rows with equal order are ordered by their content, and even full copies differ in
+    ``_copy``, so that a heap of equal rows is spread as well.
     """
-    keys = [*group, *order]
+    plain = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    keys = [*group, *order, "_tie", "_copy"]
     slices = cut_lineage(
-        df.repartitionByRange(*keys)
+        df.withColumns({"_tie": F.xxhash64(*plain), "_copy": F.monotonically_increasing_id()})
+        .repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
+        .drop("_tie", "_copy")
         .withColumn("_row", F.monotonically_increasing_id())
         .withColumn("_slice", F.shiftright("_row", 33))
     )

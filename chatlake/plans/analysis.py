@@ -59,12 +59,18 @@ def batch_prompts(batched: DataFrame, settings: Settings = Settings()) -> DataFr
     return prompts.batch_prompts(batched, settings.lines)
 
 
+LOOKUP = [
+    "chatroom", "msg_id", "seq_id", "create_time", "chatroom_sender", "from_username", "content",
+    "appmsg_title",
+]
+
+
 def message_lookup(batched: DataFrame) -> DataFrame:
     """One message per room and id, the last where several share an id.
 
-    The aggregation leaves the rows partitioned as the joins on room and id want them.
+    It is written once, since facts, terms, dates and summaries all join it.
     """
-    return keep_last(batched, ["chatroom", "msg_id"], ["seq_id"])
+    return cut_lineage(keep_last(batched.select(*LOOKUP), ["chatroom", "msg_id"], ["seq_id"]))
 
 
 def topics_from_responses(
@@ -106,13 +112,13 @@ def _first_topic(responses: DataFrame, key: list[str]) -> DataFrame:
 
 
 def summarize(
-    topics: DataFrame, members: DataFrame, batched: DataFrame, make_model: Model, settings: Settings = Settings()
+    topics: DataFrame, members: DataFrame, lookup: DataFrame, make_model: Model, settings: Settings = Settings()
 ) -> DataFrame:
     """Texts of each topic from two rounds of prompts: its chunks, then their summaries."""
     time = line.local_time(F.col("create_time"), settings.lines.tz)
-    ranges = batched.groupBy("chatroom").agg(line.date_range(F.min(time), F.max(time)).alias("date_range"))
+    ranges = lookup.groupBy("chatroom").agg(line.date_range(F.min(time), F.max(time)).alias("date_range"))
     chunks = prompts.summary_chunks(
-        members, message_lookup(batched), settings.lines, settings.summary_max_messages,
+        members, lookup, settings.lines, settings.summary_max_messages,
         settings.summary_max_tokens, settings.tokens,
     )
     asked = prompts.summary_prompts(chunks, topics, ranges)
@@ -162,7 +168,7 @@ def finish_topics(
             {name: F.lit("") for name in _TEXTS} | {"chunk_summaries": empty, "chunk_notes": empty}
         )
     else:
-        texts = summarize(collapsed, members, batched, make_model, settings)
+        texts = summarize(collapsed, members, lookup, make_model, settings)
         written = bare.join(texts, top.TOPIC, "left").withColumns(
             {name: F.coalesce(name, F.lit("")) for name in _TEXTS}
             | {name: F.coalesce(name, empty) for name in ("chunk_summaries", "chunk_notes")}

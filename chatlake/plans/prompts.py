@@ -101,11 +101,15 @@ def summary_chunks(
     max_messages: int | None = 200, budget: int | None = 60_000,
     tokens: Callable[[Column], Column] = line.estimate_tokens,
 ) -> DataFrame:
-    """Sampled messages of each topic with their line and ``chunk_index``."""
-    topic = ["chatroom", "topic_no"]
-    found = number_rows(topic_messages(members, messages), topic, ["pos", "msg_id"], "place")
+    """Sampled messages of each topic with their line and ``chunk_index``.
+
+    Only ids are numbered and sampled; the messages are joined to what is left.
+    """
+    topic, ids = ["chatroom", "topic_no"], ["chatroom", "msg_id"]
+    present = members.select(*topic, "pos", "msg_id").join(messages.select(*ids), ids, "left_semi")
+    found = number_rows(present, topic, ["pos", "msg_id"], "place")
     chosen = stride_sample(found, topic, "place", max_messages) if max_messages else found
-    lined = chosen.withColumn("line", line.summary_line(options))
+    lined = topic_messages(chosen, messages).withColumn("line", line.summary_line(options))
     if not budget:
         return lined.withColumn("chunk_index", F.lit(1).cast("long"))
     costed = lined.withColumn("_cost", tokens(F.col("line")) + 1)

@@ -34,6 +34,29 @@ def test_number_rows_with_a_hot_group_and_equal_times(spark) -> None:
         assert [found[room, name] for _, name in ordered] == list(range(1, len(ordered) + 1))
 
 
+def test_number_rows_spreads_copies(spark) -> None:
+    from chatlake.operators import skew
+
+    seen = {}
+    real = skew.cut_lineage
+
+    def spy(df):
+        seen["slices"] = real(df)
+        return seen["slices"]
+
+    skew.cut_lineage = spy
+    # otherwise so few rows would be put together again
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(60_000).select(F.lit("hot").alias("room"), F.lit(1).alias("at"), F.lit("same").alias("v"))
+        rows = number_rows(df, ["room"], ["at"])
+        assert rows.agg(F.count_distinct("seq"), F.max("seq")).first()[:] == (60_000, 60_000)
+        assert seen["slices"].groupBy("_slice").count().agg(F.max("count")).first()[0] < 30_000
+    finally:
+        skew.cut_lineage = real
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_number_rows_keeps_null_groups(spark) -> None:
     df = spark.createDataFrame([(None, 1), (None, 2), ("a", 1)], "room string, at int")
     assert sorted(r.seq for r in number_rows(df, ["room"], ["at"]).collect()) == [1, 1, 2]

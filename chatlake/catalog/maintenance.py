@@ -368,7 +368,7 @@ def file_statistics(t: Tables) -> DataFrame:
 )
 def scan_estimate(t: Tables) -> DataFrame:
     known = partitions.day_counts(_lake(t)).count()
-    estimate = partitions.scan_estimate(t.fx_ranges, F.lit(known).cast("long"), "first_day", "last_day")
+    estimate = partitions.scan_estimate(t.fx_ranges, "first_day", "last_day", F.lit(known).cast("long"))
     return estimate.drop("first_day", "last_day")
 
 

@@ -143,10 +143,12 @@ def conversion_report(messages: DataFrame, batch_size: int = 10_000) -> DataFram
     )
 
 
-def scan_estimate(ranges: DataFrame, known: Column, first: str, last: str) -> DataFrame:
-    """Estimated cost of reading each date range, given the number of known partitions."""
+def scan_estimate(
+    ranges: DataFrame, first: str, last: str, known: Column | None = None
+) -> DataFrame:
+    """Estimated cost of reading each date range, at most the known number of partitions."""
     days = F.date_diff(last, first) + 1
-    touched = F.least(days, known)
+    touched = days if known is None else F.least(days, known)
     return ranges.withColumns(
         {
             "days": days,

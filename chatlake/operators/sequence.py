@@ -49,18 +49,12 @@ def stride_sample(df: DataFrame, group: Sequence[str], position: str, limit: int
 # -- greedy batches -----------------------------------------------------------------------
 #
 # A batch takes rows in order until the next row would exceed the budget. Where a batch
-# starts depends on all rows before it, yet a group may be too large for one task. The
-# group is therefore cut into chunks of bounded size, and each chunk is first summarised as
-# a function: from the total of the batch still open when the chunk begins, to the total
-# open at its end and the number of batches it starts. The summaries are chained in order,
-# which gives every chunk its true starting point, and the chunks are then split for good.
-
-
-def _next_starts(before: np.ndarray, budget: int) -> np.ndarray:
-    """For a batch starting at each row, the row that starts the following batch."""
-    rows = len(before) - 1
-    following = np.searchsorted(before, before[:-1] + budget, side="right") - 1
-    return np.maximum(following, np.arange(1, rows + 1))
+# starts depends on all rows before it, yet a group may be too large for one task. Groups
+# are therefore cut into chunks of bounded size. Each chunk of a group with several chunks
+# is summarised as a function: from the total of the batch still open when the chunk begins,
+# to the total open at its end and the number of batches it starts. The summaries are
+# chained in order, which gives every chunk its true starting point. Then all chunks are
+# numbered in parallel; a group of one chunk needs only this last step.
 
 
 def _chunk_effect(costs: np.ndarray, budget: int, opening: bool) -> pd.DataFrame:
@@ -68,9 +62,11 @@ def _chunk_effect(costs: np.ndarray, budget: int, opening: bool) -> pd.DataFrame
 
     ``opening`` marks the first chunk of a group, where the first row always starts a batch.
     """
-    before = np.concatenate(([0], np.cumsum(costs)))
     rows = len(costs)
-    following = _next_starts(before, budget)
+    before = np.concatenate(([0], np.cumsum(costs)))
+    # the row that starts the following batch, for a batch starting at each row
+    following = np.searchsorted(before, before[:-1] + budget, side="right") - 1
+    following = np.maximum(following, np.arange(1, rows + 1))
     end_total = np.zeros(rows, dtype=np.int64)
     started = np.zeros(rows, dtype=np.int64)
     for row in range(rows - 1, -1, -1):
@@ -109,8 +105,8 @@ def greedy_batches(
 ) -> DataFrame:
     """Number the greedy batches of each group from 1.
 
-    ``position`` counts the rows of a group from 1 without gaps. A row costlier than the
-    budget gets a batch of its own.
+    ``position`` counts the rows of a group from 1 without gaps, and the group columns are
+    never null. A row costlier than the budget gets a batch of its own.
     """
     keys = list(group)
     typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keys)
@@ -145,26 +141,25 @@ def greedy_batches(
                     settled = True
             yield pd.DataFrame(out, columns=[*keys, "_chunk", "_total", "_opened"])
 
-    def split(rows: pd.DataFrame) -> pd.DataFrame:
-        ordered = rows.sort_values("_pos")
-        costs = ordered["_cost"].to_numpy()
-        before = np.concatenate(([0], np.cumsum(costs)))
-        following = _next_starts(before, budget)
-        total, opened = int(ordered["_total"].iat[0]), int(ordered["_opened"].iat[0])
-        numbers = np.full(len(costs), opened, dtype=np.int64)
-        if opened == 0:
-            start = 0
-        else:
-            start = int(np.searchsorted(before, budget - total, side="right")) - 1
-            start = max(start, 0)
-        while start < len(costs):
-            opened += 1
-            after = int(following[start])
-            numbers[start:after] = opened
-            start = after
-        return ordered[keys].assign(_pos=ordered["_pos"], **{name: numbers})
-
-    effects = narrow.groupBy(*keys, "_chunk").applyInPandas(
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Number the rows of each chunk from its starting point; rows arrive in order."""
+        current: tuple | None = None
+        total = opened = 0
+        for batch in batches:
+            numbers = []
+            columns = [batch[c].tolist() for c in [*keys, "_chunk", "_cost", "_total", "_opened"]]
+            for *key, row_cost, start_total, start_opened in zip(*columns, strict=True):
+                if key != current:
+                    current, total, opened = key, start_total, start_opened
+                if opened == 0 or total + row_cost > budget:
+                    total, opened = row_cost, opened + 1
+                else:
+                    total += row_cost
+                numbers.append(opened)
+            yield batch[[*keys, "_pos"]].assign(**{name: np.array(numbers, dtype=np.int64)})
+
+    large = narrow.filter("_chunk > 0").select(*keys).distinct()
+    effects = narrow.join(large, keys, "left_semi").groupBy(*keys, "_chunk").applyInPandas(
         summarise, f"{typed}, _chunk long, limit long, carry long, end_total long, started long"
     )
     entries = (
@@ -172,10 +167,10 @@ def greedy_batches(
         .sortWithinPartitions(*keys, "_chunk", "limit")
         .mapInPandas(chain, f"{typed}, _chunk long, _total long, _opened long")
     )
-    placed = narrow.join(entries, [*keys, "_chunk"])
-    numbered = placed.groupBy(*keys, "_chunk").applyInPandas(
-        split, f"{typed}, _pos long, `{name}` long"
-    )
-    return df.join(
-        numbered.withColumnRenamed("_pos", position), [*keys, position]
+    placed = narrow.join(entries, [*keys, "_chunk"], "left").fillna(0, ["_total", "_opened"])
+    numbered = (
+        placed.repartition(*keys, "_chunk")
+        .sortWithinPartitions(*keys, "_chunk", "_pos")
+        .mapInPandas(number, f"{typed}, _pos long, `{name}` long")
     )
+    return df.join(numbered.withColumnRenamed("_pos", position), [*keys, position])

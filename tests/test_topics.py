@@ -146,6 +146,19 @@ def test_resolve_members_cuts_ranges(spark) -> None:
     assert [r.msg_id for r in rows if r.n == 2] == ["given"]
 
 
+def test_wide_range_is_expanded_in_pieces(spark) -> None:
+    size = 2 * top.SPAN_PIECE + 5
+    topics = spark.createDataFrame(
+        [("r", 1, [], ["1-2000000000"])],
+        "chatroom string, n int, message_ids array<string>, message_indices array<string>",
+    )
+    seq = spark.range(1, size + 1).select(
+        F.lit("r").alias("chatroom"), F.col("id").alias("seq_id"), F.concat(F.lit("m"), "id").alias("msg_id")
+    )
+    rows = top.resolve_members(topics, seq, ["chatroom", "n"])
+    assert rows.agg(F.count_distinct("msg_id"), F.count("msg_id")).first()[:] == (size, size)
+
+
 def _one(spark, **columns):
     return spark.range(1).select(*[c.alias(n) for n, c in columns.items()]).first()
 

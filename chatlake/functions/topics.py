@@ -185,7 +185,10 @@ def words_match(first: str, second: str) -> bool:
     """One word holds the other, or their matching blocks cover enough of both."""
     if first in second or second in first:
         return True
-    return SequenceMatcher(None, first, second).ratio() >= MATCH_RATIO
+    blocks = SequenceMatcher(None, first, second)
+    # the first two are cheap upper bounds of the third
+    bounds = (blocks.real_quick_ratio, blocks.quick_ratio, blocks.ratio)
+    return all(bound() >= MATCH_RATIO for bound in bounds)
 
 
 def matched_share(

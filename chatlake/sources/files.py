@@ -102,7 +102,7 @@ def file_system_of(path: str):
     from pyarrow import fs
 
     if "://" in path and not path.startswith("file:"):
-        return fs.FileSystem.from_uri(path)
+        return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", path))
     return fs.LocalFileSystem(), re.sub("^file:/*", "/", path)
 
 

@@ -12,6 +12,9 @@ from chatlake.operators import cleaning, selection
 from chatlake.session import scratch_path
 from chatlake.sources import files, jsonl, lake
 from chatlake.sources.adapters import Tables
+from chatlake.streaming import ingest
+
+_REQUIRED = "['msg_id','from_username','to_username','msg_type','create_time','is_chatroom_msg','source','guid','notify_type']"
 
 # One landing file per 2500 lines, named like days, so that resuming has files to resume in.
 _LANDED = """
@@ -150,8 +153,8 @@ with j as (
            cast(month(make_timestamp(cast(create_time as bigint) * 1000000)) as int) as month,
            cast(day(make_timestamp(cast(create_time as bigint) * 1000000)) as int) as day,
            coalesce(source, '') as source, cast(msg_type as int) as msg_type
-    from m where coalesce(msg_id, '') <> '' and coalesce(create_time, '') <> ''
-    """,
+    from m where list_has_all(present, REQUIRED) and try_cast(create_time as bigint) is not null
+    """.replace("REQUIRED", _REQUIRED),
 )
 def convert_to_days(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "converted")
@@ -218,14 +221,12 @@ def csv_export(t: Tables) -> DataFrame:
 
 @query(
     "S13_ingest_objects",
-    _CLEAN_LINES + "select m.msg_id, count(*) as copies from m where coalesce(m.msg_id, '') <> '' "
-    "and coalesce(create_time, '') <> '' group by 1",
+    _CLEAN_LINES + "select m.msg_id, count(*) as copies from m "
+    f"where list_has_all(present, {_REQUIRED}) and try_cast(create_time as bigint) is not null group by 1",
 )
 def ingest_objects(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "objects")
-    parsed = cleaning.valid_lines(t.fx_raw_lines)
-    objects = parsed.filter(clean.members(F.col("doc")).isNotNull())
-    lake.append_messages(cleaning.messages_from_parsed(objects), path)
+    ingest.ingest_objects(t.spark, t.fx_raw_lines.select("value"), path)
     stored = lake.read_lake(t.spark, path)
     return stored.groupBy("msg_id").agg(F.count(F.lit(1)).alias("copies"))
 
@@ -269,9 +270,6 @@ def batch_clean(t: Tables) -> DataFrame:
     return rows.select("line_no", *_text("msg_id"), "source", "content", "chatroom")
 
 
-_REQUIRED = "['msg_id','from_username','to_username','msg_type','create_time','is_chatroom_msg','source','guid','notify_type']"
-
-
 @query(
     "P05_required_fields",
     _CLEAN_LINES + f"select line_no, msg_id from m where list_has_all(present, {_REQUIRED})",

@@ -11,6 +11,7 @@ from chatlake.functions import clean
 from chatlake.operators.shaping import evaluate_once
 
 RAW_PREVIEW = 500
+VALID_SECONDS = (-62135596800, 253402300799)  # the years 1 to 9999
 
 
 def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -78,14 +79,21 @@ def prepare_messages(df: DataFrame) -> DataFrame:
     filled = clean_fields(df.filter(usable)).withColumns(
         {name: clean.with_default(name) for name in schemas.INGEST_DEFAULTS}
     )
-    stamp = F.coalesce(F.col("ingestion_time").try_cast("timestamp"), F.current_timestamp())
-    return filled.withColumn("ingestion_time", F.date_trunc("second", stamp))
+    return filled.withColumn("ingestion_time", _stamp())
+
+
+def _stamp() -> Column:
+    given = F.col("ingestion_time").try_cast("timestamp")
+    return F.date_trunc("second", F.coalesce(given, F.current_timestamp()))
+
+
+def _numbers(df: DataFrame) -> DataFrame:
+    return evaluate_once(df, {n: clean.whole_number(F.col(n)) for n in schemas.NUMERIC_FIELDS})
 
 
 def coerce_numbers(df: DataFrame) -> DataFrame:
     """Keep rows whose numeric fields hold whole numbers, as numbers."""
-    numbers = {name: clean.whole_number(F.col(name)) for name in schemas.NUMERIC_FIELDS}
-    return evaluate_once(df, numbers).dropna(subset=schemas.NUMERIC_FIELDS)
+    return _numbers(df).dropna(subset=schemas.NUMERIC_FIELDS)
 
 
 def with_day(df: DataFrame, column: str = "create_time") -> DataFrame:
@@ -123,13 +131,24 @@ def keep_unknown(extracted: DataFrame) -> DataFrame:
 
 
 def messages_from_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """The whole cleaning chain, from JSON text to rows of the message table."""
-    return messages_from_parsed(valid_lines(lines, column))
+    """The incremental chain, from JSON text to rows of the message table: ids and times
+    must be there, other missing fields take their defaults."""
+    typed = coerce_numbers(prepare_messages(extract_payload(valid_lines(lines, column))))
+    return conform(with_valid_time(typed))
 
 
-def messages_from_parsed(parsed: DataFrame) -> DataFrame:
-    typed = coerce_numbers(prepare_messages(extract_payload(parsed)))
-    return conform(times_to_timestamp(typed))
+def with_valid_time(df: DataFrame) -> DataFrame:
+    """Rows whose Unix time lies in the years 1 to 9999, with the time as a timestamp."""
+    return times_to_timestamp(df.filter(F.col("create_time").between(*VALID_SECONDS)))
+
+
+def complete_messages(parsed: DataFrame) -> DataFrame:
+    """The full-conversion chain for parsed lines: every required field must be named.
+
+    A named field may be null; only a row whose time is no valid time is dropped.
+    """
+    rows = _numbers(clean_fields(required_only(extract_payload(parsed))))
+    return conform(with_valid_time(rows.withColumn("ingestion_time", _stamp())))
 
 
 def quarantine(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -140,6 +159,7 @@ def quarantine(lines: DataFrame, column: str = "value") -> DataFrame:
     unusable = F.coalesce("msg_id", F.lit("")) == ""
     for name in schemas.NUMERIC_FIELDS:
         unusable = unusable | clean.whole_number(F.col(name)).isNull()
+    unusable = unusable | ~clean.whole_number(F.col("create_time")).between(*VALID_SECONDS)
     judged = evaluate_once(opened, {"_missing": missing, "_unusable": unusable})
     kind = (
         F.when(F.col("line_kind") == "bad", "parse_error")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatlake import schemas
-from chatlake.operators.cleaning import conform, messages_from_lines
+from chatlake.operators.cleaning import complete_messages, conform, valid_lines
 
 DAY_TEXT = {"year": "yyyy", "month": "MM", "day": "dd"}
 
@@ -54,8 +54,11 @@ def write_days(
 def convert_lines(
     lines: DataFrame, root: str, mode: str = "overwrite", compression: str = "snappy"
 ) -> None:
-    """Clean JSON lines and land them; ``overwrite`` replaces only the days touched."""
-    write_days(messages_from_lines(lines), root, mode, compression)
+    """Clean complete JSON lines and land them.
+
+    ``overwrite`` replaces only the days touched, ``append`` adds files to them.
+    """
+    write_days(complete_messages(valid_lines(lines)), root, mode, compression)
 
 
 def append_messages(messages: DataFrame, root: str, compression: str = "snappy") -> None:

@@ -35,9 +35,7 @@ def ordered_messages(lines: DataFrame) -> DataFrame:
     """Clean rows of a batch of lines, with file and line order for keep-first."""
     placed = lines.withColumn("_order", F.monotonically_increasing_id())
     parsed = cleaning.extract_payload(cleaning.valid_lines(placed))
-    typed = cleaning.times_to_timestamp(
-        cleaning.coerce_numbers(cleaning.prepare_messages(parsed))
-    )
+    typed = cleaning.with_valid_time(cleaning.coerce_numbers(cleaning.prepare_messages(parsed)))
     schema = T.StructType([*schemas.MESSAGES.fields, T.StructField("source_file", T.StringType()),
                            T.StructField("_order", T.LongType())])
     return cleaning.with_day(cleaning.conform(typed, schema))
@@ -118,15 +116,18 @@ def ingest_objects(
 ) -> dict[str, int]:
     """Ingest given JSON texts (column ``value``); anything but objects is refused.
 
-    With ``raw_dir`` the objects are first landed as a file of the current day and then
-    ingested with everything else that waits there.
+    Complete objects are appended as they are. With ``raw_dir`` the objects are first landed
+    as a file of the current day and then ingested with everything else that waits there.
     """
     parsed = cleaning.parse_lines(objects)
     is_object = clean.members(F.col("doc")).isNotNull()
     refused = parsed.filter(~is_object | F.col("doc").isNull()).count()
-    accepted = parsed.filter(is_object).select("value")
     if raw_dir is None:
-        return ingest_batch(spark, accepted.withColumn("source_file", F.lit("")), root) | {"refused": refused}
+        complete = cleaning.complete_messages(parsed.filter(is_object).drop("line_kind"))
+        rows, seen = counted(complete)
+        lake.write_days(rows, root, "append")
+        return {"new_records": rows_seen(seen), "refused": refused}
+    accepted = parsed.filter(is_object).select("value")
     day = F.date_format(F.current_timestamp(), "yyyy-MM-dd").alias("arrival_date")
     accepted.select("value", day).write.mode("append").partitionBy("arrival_date").text(raw_dir)
     if checkpoint is None:

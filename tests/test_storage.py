@@ -85,6 +85,27 @@ def test_request_forms(spark) -> None:
     assert found[3].parsed_json is None and found[3].parse_error is None
 
 
+def test_complete_rows_only(spark) -> None:
+    import json
+
+    flat = json.loads(_line(1))["data"] | {"guid": "g", "notify_type": 1010}
+    rows = [
+        json.dumps(flat), json.dumps(flat | {"msg_id": "null type", "msg_type": None}),
+        json.dumps({k: v for k, v in flat.items() if k != "source"}),
+        json.dumps(flat | {"msg_id": "bad time", "create_time": "soon"}),
+        json.dumps(flat | {"msg_id": "late", "create_time": 10**13}),
+    ]
+    lines = spark.createDataFrame([(r,) for r in rows], "value string")
+    found = cleaning.complete_messages(cleaning.valid_lines(lines)).collect()
+    assert {(r.msg_id, r.msg_type, r.source) for r in found} == {("m1", 1, "3"), ("null type", None, "3")}
+    defaulted = cleaning.messages_from_lines(lines).collect()
+    assert sorted((r.msg_id, r.msg_type, r.source) for r in defaulted) == [
+        ("m1", 1, ""), ("m1", 1, "3"), ("null type", 0, "3"),
+    ]
+    reasons = [r.error_type for r in cleaning.quarantine(lines).collect()]
+    assert sorted(reasons) == ["schema_error", "validation_error", "validation_error", "validation_error"]
+
+
 def test_overwrite_replaces_only_touched_days(spark, tmp_path) -> None:
     root = str(tmp_path / "lake")
     first = spark.createDataFrame([(_line(1, 1),), (_line(2, 2),)], "value string")

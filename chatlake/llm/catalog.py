@@ -5,14 +5,38 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chatlake.llm import rules
+from chatlake.llm import bpe, packing, rules
 from chatlake.llm.common import read_table
 from chatlake.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(read_table(prepare(spark), sf_dir, "documents"))
+    return pieces.select(
+        "doc_id",
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = bpe.decode(bpe.encode(read_table(prepare(spark), sf_dir, "documents")))
+    return tokens.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("data", 256).alias("decoded_sha256"),
+    )
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(read_table(prepare(spark), sf_dir, "documents"))
 
@@ -83,6 +107,8 @@ from shares s left join chosen c on s.lang is not distinct from c.lang and s.sou
 
 
 QUERIES: dict[str, Query] = {
+    "op3_packing": op3_packing,
+    "op8_byte_bpe": op8_byte_bpe,
     "op10_quality_rules": op10_quality_rules,
 }
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.llm import bpe, packing, rules
+from chatlake.llm import bpe, packing, rules, simhash
 from chatlake.llm.common import read_table
 from chatlake.session import prepare
 
@@ -27,6 +27,15 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read_table(prepare(spark), sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        "component_id",
+    )
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = bpe.decode(bpe.encode(read_table(prepare(spark), sf_dir, "documents")))
     return tokens.select(
@@ -108,6 +117,7 @@ from shares s left join chosen c on s.lang is not distinct from c.lang and s.sou
 
 QUERIES: dict[str, Query] = {
     "op3_packing": op3_packing,
+    "op7_simhash": op7_simhash,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_quality_rules": op10_quality_rules,
 }

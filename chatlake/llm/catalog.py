@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.llm import bpe, packing, rules, simhash
+from chatlake.llm import bpe, packing, repeats, rules, simhash
 from chatlake.llm.common import read_table
 from chatlake.session import prepare
 
@@ -27,6 +27,17 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.remove_repeats(read_table(prepare(spark), sf_dir, "documents"))
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(prepare(spark), sf_dir, "documents"))
     return found.select(
@@ -117,6 +128,7 @@ from shares s left join chosen c on s.lang is not distinct from c.lang and s.sou
 
 QUERIES: dict[str, Query] = {
     "op3_packing": op3_packing,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_simhash": op7_simhash,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_quality_rules": op10_quality_rules,

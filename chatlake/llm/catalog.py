@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.llm import bpe, packing, repeats, rules, simhash
-from chatlake.llm.common import read_table
+from chatlake.llm import bpe, packing, repeats, rules, simhash, toxicity
+from chatlake.llm.common import fold, read_table
 from chatlake.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(prepare(spark), sf_dir, "documents").withColumn("held_out", fold("doc_id", 5) == 0)
+    model = toxicity.train(docs.where("not held_out"), read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, "doc_id", "held_out")
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = repeats.remove_repeats(read_table(prepare(spark), sf_dir, "documents"))
     return cut.select(
@@ -128,6 +134,7 @@ from shares s left join chosen c on s.lang is not distinct from c.lang and s.sou
 
 QUERIES: dict[str, Query] = {
     "op3_packing": op3_packing,
+    "op5_toxicity": op5_toxicity,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_simhash": op7_simhash,
     "op8_byte_bpe": op8_byte_bpe,

@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.llm import bpe, packing, repeats, rules, simhash, toxicity
+from chatlake.llm import bpe, langid, packing, quality, repeats, rules, simhash, toxicity
 from chatlake.llm.common import fold, read_table
 from chatlake.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(prepare(spark), sf_dir, "documents").withColumn("held_out", fold("doc_id", 3) == 1)
+    model = quality.train(docs, docs.where("not held_out"), read_table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, "doc_id", "held_out")
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(prepare(spark), sf_dir, "documents").withColumn("held_out", fold("doc_id", 5) == 0)
+    model = langid.train(docs.where("not held_out"))
+    return langid.predict(docs, model, "doc_id", "held_out")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(read_table(prepare(spark), sf_dir, "documents"))
     return pieces.select(
@@ -133,6 +145,8 @@ from shares s left join chosen c on s.lang is not distinct from c.lang and s.sou
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quality": op1_quality,
+    "op2_language": op2_language,
     "op3_packing": op3_packing,
     "op5_toxicity": op5_toxicity,
     "op6_suffix_dedup": op6_suffix_dedup,

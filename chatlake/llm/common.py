@@ -30,12 +30,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
     """doc_id, text, label of at most ``rows`` labelled documents.
 
     Only the bounded sample of ids is broadcast. A document labelled twice counts by its
-    largest label; rows without id or label do not count.
+    largest label, of rows with one id one counts, and rows without id or label do not count.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     known = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("_label"))
     bounded = F.broadcast(sample_rows(known, "doc_id", rows))
-    return docs.select("doc_id", "text").join(bounded, "doc_id")
+    return docs.select("doc_id", "text").join(bounded, "doc_id").dropDuplicates(["doc_id"])
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -85,7 +85,8 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str = TOKENIZER) -> DataFr
     totals = tokens.groupBy("part").agg(F.sum("doc_tokens").alias("total"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))
-    placed = tokens.join(bases, "part").select(
+    # one row of two numbers per partition of the first pass, so ids need not move to meet it
+    placed = tokens.join(F.broadcast(bases), "part").select(
         "doc_id", "ids", "doc_tokens", (F.col("base") + F.col("before")).alias("place")
     )
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.llm import bpe, langid, packing, quality, repeats, rules, simhash, toxicity
+from chatlake.llm import ann, bpe, langid, packing, quality, repeats, rules, simhash, toxicity
 from chatlake.llm.common import fold, read_table
 from chatlake.session import prepare
 
@@ -39,6 +39,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(prepare(spark), sf_dir, "embeddings")
+    return ann.search(rows, F.col("id") % 20 == 0)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(prepare(spark), sf_dir, "documents").withColumn("held_out", fold("doc_id", 5) == 0)
     model = toxicity.train(docs.where("not held_out"), read_table(spark, sf_dir, "labels"))
@@ -148,6 +153,7 @@ QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
     "op3_packing": op3_packing,
+    "op4_neighbours": op4_neighbours,
     "op5_toxicity": op5_toxicity,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_simhash": op7_simhash,

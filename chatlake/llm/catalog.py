@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.llm import ann, bpe, langid, packing, quality, repeats, rules, simhash, toxicity
+from chatlake.llm import ann, bpe, langid, licenses, packing, quality, repeats, rules, simhash, toxicity
 from chatlake.llm.common import fold, read_table
 from chatlake.session import prepare
 
@@ -80,6 +80,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(read_table(prepare(spark), sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(read_table(prepare(spark), sf_dir, "documents"))
 
@@ -158,6 +162,7 @@ QUERIES: dict[str, Query] = {
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_simhash": op7_simhash,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_licenses": op9_licenses,
     "op10_quality_rules": op10_quality_rules,
 }
 

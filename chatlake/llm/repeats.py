@@ -260,8 +260,8 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return merged
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, spans (array of first and last byte of each removed run), kept (the other bytes)."""
+def _with_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """row (all columns of docs), text, found: spans of each document, not yet united."""
     texts = with_key(docs)
     whole = (
         texts.select("rid", F.octet_length("text").cast("long").alias("n"))
@@ -272,22 +272,63 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     )
     found = repeated_spans(texts, length, gram).select("rid", "first", "last")
     spans = found.union(whole).groupBy("rid").agg(F.collect_set(F.struct("first", "last")).alias("found"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), text.alias("text"), F.xxhash64(text).alias("rid"))
+    return rows.join(spans, "rid", "left").select("row", "text", "found")
+
+
+def _cuts(batch: pa.RecordBatch) -> Iterator[tuple[bytes, list[tuple[int, int]], bytes]]:
+    """Bytes, removed runs and remaining bytes of each text."""
+    for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True):
+        data = text.encode()
+        gone = _union([(x["first"], x["last"]) for x in found or []])
+        edges = [0, *(x for span in gone for x in span), len(data)]
+        yield data, gone, b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """doc_id, n_bytes, spans (array of first and last byte of each removed run), kept (the other bytes)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
         for batch in slices(batches):
-            sizes, removed, kept = [], [], []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True):
-                data = text.encode()
-                gone = _union([(x["first"], x["last"]) for x in found or []])
-                edges = [0, *(x for span in gone for x in span), len(data)]
-                sizes.append(len(data))
-                removed.append([{"first": a, "last": b} for a, b in gone])
-                kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.binary())]
+            data, gone, kept = zip(*_cuts(batch), strict=True)
+            columns = [
+                batch.column("doc_id"),
+                pa.array([len(x) for x in data], pa.int64()),
+                pa.array([[{"first": a, "last": b} for a, b in spans] for spans in gone], kind),
+                pa.array(kept, pa.binary()),
+            ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "spans", "kept"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    return texts.join(spans, "rid", "left").select("doc_id", "text", "found").mapInArrow(
+    return _with_spans(docs.select("doc_id", "text"), length, gram).select("row.doc_id", "text", "found").mapInArrow(
         cut, f"doc_id {key}, n_bytes long, spans array<struct<first: long, last: long>>, kept binary"
     )
+
+
+def shortened(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """All documents with their repeats cut out of text; n_chars, if there is one, follows the new text.
+
+    A code point of which only some bytes are left goes as a whole. Null text stays null; a document of which
+    nothing is left stays with empty text.
+    """
+    counted = "n_chars" in docs.columns
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = batch.column("row")
+            old = rows.field("text")
+            texts = [kept.decode(errors="ignore") if gone else None for _, gone, kept in _cuts(batch)]
+            columns = {f.name: rows.field(i) for i, f in enumerate(rows.type)}
+            columns["text"] = pa.array(
+                [b if a is None else a for a, b in zip(texts, old.to_pylist(), strict=True)], old.type
+            )
+            if counted:
+                kind = rows.field("n_chars").type
+                columns["n_chars"] = pa.array(
+                    [b if a is None else len(a) for a, b in zip(texts, rows.field("n_chars").to_pylist(), strict=True)], kind
+                )
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return _with_spans(docs, length, gram).mapInArrow(cut, docs.schema)

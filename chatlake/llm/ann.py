@@ -176,6 +176,8 @@ def search(
     if index is None:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     total = int(index.sizes.sum())
+    # enough for a full result, the query itself not counted
+    wanted = max(share * total, k + 1)
     blocks = max(LEAST_BLOCKS, -(-total // BLOCK))
     # a cell may fill this much of a block; what is beyond goes to other blocks
     room = max(1, total // blocks // 2)
@@ -207,7 +209,7 @@ def search(
                 batch = whole.slice(start, 200)
                 out: tuple[list, list, list, list] = ([], [], [], [])
                 for query, raw in zip(batch.column("id").to_pylist(), batch.column("v").to_pylist(), strict=True):
-                    found = np.array(index.walk(np.frombuffer(raw, "<f8"), share * total), np.int64)
+                    found = np.array(index.walk(np.frombuffer(raw, "<f8"), wanted), np.int64)
                     n = parts[found]
                     cell = np.repeat(found, n)
                     part = np.arange(len(cell)) - np.repeat(np.cumsum(n) - n, n)

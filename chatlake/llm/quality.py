@@ -153,7 +153,15 @@ class Model:
         if not self.layers:
             return np.full(len(texts), self.share)
         rows = (pooled(texts, self.vectors) - self.mean) / self.scale
-        return 1 / (1 + np.exp(-_forward(rows, self.layers)[1].astype(np.float64) / self.temperature))
+        w1, b1, w2, b2 = (x.astype(np.float64) for x in self.layers)
+        # added up in one order for every row, so that equal texts score equal in any company
+        hidden = np.broadcast_to(b1, (len(rows), len(b1))).copy()
+        for d, weights in enumerate(w1):
+            hidden += rows[:, d, None] * weights
+        raw = np.full(len(rows), b2[0])
+        for unit, weight in zip(np.tanh(hidden).T, w2, strict=True):
+            raw += unit * weight
+        return 1 / (1 + np.exp(-raw / self.temperature))
 
 
 def _forward(rows: np.ndarray, layers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

@@ -155,6 +155,8 @@ def text_features(texts: pa.Array, lexicon: Lexicon = NOTHING) -> np.ndarray:
     sign = _SIGN[data]
     spelled = np.zeros(len(data), bool)
     spelled[1:-1] = sign[1:-1] & (word & ~sign)[:-2] & (word & ~sign)[2:]
+    real = np.diff(offsets) > 0
+    spelled[offsets[:-1][real]] = spelled[offsets[1:][real] - 1] = False
     punctuation = ~word & ~SPACE_BYTE[data]
     marks = (data == 33) | (data == 63)
     digits = (data >= 48) & (data <= 57)

@@ -21,10 +21,10 @@ where coalesce(msg_id, '') <> '' and coalesce(create_time, '') <> '' group by 1
 """
 
 
-def _landing(t: Tables, part: str, condition: str = "true") -> str:
+def _landing(t: Tables, part: str, lines: DataFrame | None = None) -> str:
     """Six rolled landing files; some lines come again in the next file."""
     path = scratch_path(t.spark, f"landing_{part}")
-    lines = t.fx_raw_lines.filter(condition)
+    lines = t.fx_raw_lines if lines is None else lines
     again = lines.filter("line_no % 10 = 3")
     both = lines.select("value", (F.col("line_no") % 6).alias("roll")).unionByName(
         again.select("value", ((F.col("line_no") + 1) % 6).alias("roll"))
@@ -55,6 +55,79 @@ def batch_step(t: Tables) -> DataFrame:
     return _stored(t, root)
 
 
+# Each line of the landing files (some come twice) by what becomes of it.
+_ACCOUNTS = _CLEAN_LINES + """
+, f as (
+  select line_no, coalesce(trim(value), '') = '' as blank,
+         case when json_valid(value) then 0 else 1 end as bad,
+         case when line_no % 10 = 3 then 2 else 1 end as times
+  from fx_raw_lines_checked
+), a as (
+  select f.*, msg_id, coalesce(msg_id, '') = '' or coalesce(create_time, '') = '' as lacking,
+         coalesce(try_cast(coalesce(msg_type, '0') as double) = floor(try_cast(coalesce(msg_type, '0') as double)), false) as good
+  from f left join m using (line_no)
+)
+select sum(times)::bigint as total_lines, sum(times) filter (where blank)::bigint as blank_lines,
+       sum(times) filter (where not blank and bad = 1)::bigint as parse_errors,
+       sum(times) filter (where not blank and bad = 0 and lacking)::bigint as schema_errors,
+       sum(times) filter (where not blank and bad = 0 and not lacking and not good)::bigint as validation_errors,
+       sum(times) filter (where not blank and bad = 0 and not lacking and good)::bigint as total_processed,
+       count(distinct msg_id) filter (where not blank and bad = 0 and not lacking and good) as new_records
+from a
+"""
+
+
+@query("R01_ingest_accounts", _ACCOUNTS.replace("fx_raw_lines_checked", "fx_lines").replace("from fx_raw_lines", "from fx_lines"))
+def ingest_accounts(t: Tables) -> DataFrame:
+    """All lines of all batches, and the dead letters by kind."""
+    raw, root, mark = _landing(t, "accounts", lines=t.fx_lines), scratch_path(t.spark, "counted"), scratch_path(t.spark, "mark")
+    totals = ingest.run_to_end(ingest.ingest_stream(t.spark, raw, root, mark, files_per_trigger=2))
+    letters = t.spark.read.parquet(f"{mark}-dead-letters")
+    kinds = letters.agg(
+        *[F.count_if(F.col("error_type") == k).alias(f"{k}s") for k in ("parse_error", "schema_error", "validation_error")]
+    )
+    counted = [F.lit(totals[n]).cast("long").alias(n) for n in ("total_lines", "blank_lines", "total_processed", "new_records")]
+    return kinds.select("*", *counted)
+
+
+@query(
+    "R02_any_batch_cut",
+    _CLEAN_LINES + "select cut, count(distinct msg_id) as stored, count(distinct msg_id) as ids from m, "
+    "(select unnest([1, 3, 7]) as cut) where coalesce(msg_id, '') <> '' and coalesce(create_time, '') <> '' group by 1",
+)
+def any_batch_cut(t: Tables) -> DataFrame:
+    """The same lines, some of them twice, in one, three and seven batches: one table."""
+    found = None
+    lines = t.fx_raw_lines.select("value", "line_no").withColumn("source_file", F.lit("f"))
+    lines = lines.unionByName(lines.filter("line_no % 10 = 3").withColumn("line_no", F.col("line_no") + 5))
+    for cut in (1, 3, 7):
+        root = scratch_path(t.spark, f"cut_{cut}")
+        for part in range(cut):
+            ingest.ingest_batch(t.spark, lines.filter(F.col("line_no") % cut == part).select("value", "source_file"), root)
+        rows = lake.read_lake(t.spark, root).agg(
+            F.lit(cut).alias("cut"), F.count(F.lit(1)).alias("stored"), F.countDistinct("msg_id").alias("ids")
+        )
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+@query(
+    "M09_written_checkpoints",
+    "select 'completed' as status, (select count(*) from fx_raw_lines) + (select count(*) from fx_raw_lines where line_no % 10 = 3) as lines, "
+    "6 as files, 6 as started",
+)
+def written_checkpoints(t: Tables) -> DataFrame:
+    """State of the landing files after a run from checkpoints."""
+    raw, root, log = _landing(t, "marked"), scratch_path(t.spark, "marked"), scratch_path(t.spark, "checkpoints")
+    ingest.ingest_from_checkpoints(t.spark, raw, root, log)
+    rows = t.spark.read.parquet(log)
+    started = rows.filter("status = 'processing'").select("source_file").distinct().count()
+    current = state.latest(rows, ["source_file"], ["log_no"])
+    return current.groupBy("status").agg(
+        F.sum("last_processed_line").alias("lines"), F.count(F.lit(1)).cast("int").alias("files"), F.lit(started).alias("started")
+    )
+
+
 @query("R02_resumed_file", _LANDED_ONCE)
 def resumed_file(t: Tables) -> DataFrame:
     root, raw = scratch_path(t.spark, "resumed"), _landing(t, "resumed")

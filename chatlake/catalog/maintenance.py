@@ -307,6 +307,72 @@ def archive_days(t: Tables) -> DataFrame:
     return retention.archive_days(t.spark, message_lake(t), out, date(2024, 2, 20), 40)
 
 
+@query(
+    "M06_archive_late_rows",
+    f"select {_DAY}, count(*) as rows, count(distinct msg_id) as ids from fx_messages where create_time < timestamp '2024-01-11' group by all",
+)
+def archive_late_rows(t: Tables) -> DataFrame:
+    """Two thirds of the rows are archived, their days deleted, then the rest comes late."""
+    root, cold = scratch_path(t.spark, "lake"), scratch_path(t.spark, "archive")
+    rows = t.fx_messages.withColumnRenamed("descr", "desc")
+    late = F.pmod(F.xxhash64("msg_id"), F.lit(3)) == 0
+    for part in (rows.filter(~late), rows.filter(late)):
+        lake.write_days(part, root)
+        done = retention.archive_days(t.spark, root, cold, date(2024, 2, 20), 40)
+        retention.delete_days(t.spark, root, done).count()
+    stored = lake.read_lake(t.spark, cold)
+    return stored.groupBy(*schemas.PARTITION_COLUMNS).agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("msg_id").alias("ids")
+    )
+
+
+@query(
+    "M06_archive_report",
+    f"select {_DAY}, count(*) as rows, true as sized from fx_messages where create_time < timestamp '2024-01-11' group by all",
+)
+def archive_report(t: Tables) -> DataFrame:
+    out = scratch_path(t.spark, "archive")
+    done = retention.archive_days(t.spark, message_lake(t), out, date(2024, 2, 20), 40)
+    report = retention.archive_report(t.spark, message_lake(t), out, done)
+    sized = (F.col("bytes_before") > 0) & (F.col("bytes_after") > 0) & (
+        F.col("ratio") == F.col("bytes_before") / F.col("bytes_after")
+    )
+    return report.select(*schemas.PARTITION_COLUMNS, "rows", sized.alias("sized"))
+
+
+@query(
+    "M07_own_landing_files",
+    """
+    select strftime(ts, '%Y-%m-%d') as stem, case when cast(ts as date) >= date '2024-01-18' then 'keep'
+           when cast(ts as date) in (select cast(create_time as date) from fx_messages) then 'delete' else 'no_parquet' end as decision
+    from events group by all
+    """,
+)
+def own_landing_files(t: Tables) -> DataFrame:
+    """Events landed by day, the message table beside them, and what retention would do."""
+    raw = scratch_path(t.spark, "raw")
+    jsonl.append_daily(t.table("events").select("event_id", "ts"), raw, F.col("ts"))
+    landed = partitions.day_counts(_lake(t)).select(
+        F.date_format(F.make_date(*schemas.PARTITION_COLUMNS), "yyyy-MM-dd").alias("day_key")
+    )
+    plan = retention.retention_plan(retention.raw_day_files(t.spark, raw), landed, MID_MONTH)
+    return plan.select("stem", "decision").distinct()
+
+
+@query(
+    "A13_conversion_sizes",
+    "select count(distinct cast(create_time as date)) as stored_files, true as sized from fx_messages",
+)
+def conversion_sizes(t: Tables) -> DataFrame:
+    raw = scratch_path(t.spark, "raw")
+    t.fx_messages.select(F.to_json(F.struct("msg_id", "content")).alias("value")).write.text(raw)
+    sizes = partitions.conversion_sizes(
+        files.list_files(t.spark, raw, "*.txt"), files.list_files(t.spark, message_lake(t))
+    )
+    sized = (F.col("bytes_before") > 0) & (F.col("ratio") == F.col("bytes_before") / F.col("bytes_after"))
+    return sizes.select("stored_files", sized.alias("sized"))
+
+
 _FILES = f"select {_DAY}, {{}} from fx_messages group by year(create_time), month(create_time), day(create_time)"
 
 

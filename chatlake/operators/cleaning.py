@@ -10,7 +10,7 @@ from chatlake import schemas
 from chatlake.functions import clean
 from chatlake.operators.shaping import evaluate_once
 
-RAW_PREVIEW = 500
+RAW_PREVIEW = 500  # characters of a refused line that reports show; the whole line is kept beside it
 VALID_SECONDS = (-62135596800, 253402300799)  # the years 1 to 9999
 
 
@@ -142,6 +142,33 @@ def with_valid_time(df: DataFrame) -> DataFrame:
     return times_to_timestamp(df.filter(F.col("create_time").between(*VALID_SECONDS)))
 
 
+def judge_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Every line once, with the typed fields of the incremental chain and ``error_type``.
+
+    ``error_type`` is null for a line that becomes a row, ``blank``, ``parse_error`` (no JSON),
+    ``schema_error`` (no id or no time) or ``validation_error`` (a number that is none, or a time
+    outside the years 1 to 9999). So one parse feeds the table, the quarantine and the counts.
+    """
+    opened = extract_payload(parse_lines(lines, column))
+    lacking = F.array_compact(
+        F.array(*[F.when(F.coalesce(n, F.lit("")) == "", F.lit(n)) for n in ("msg_id", "create_time")])
+    )
+    filled = clean_fields(opened.withColumn("missing_fields", F.array_join(lacking, ","))).withColumns(
+        {name: clean.with_default(name) for name in schemas.INGEST_DEFAULTS}
+    )
+    typed = _numbers(filled.withColumn("ingestion_time", _stamp()))
+    unusable = F.coalesce(~F.col("create_time").between(*VALID_SECONDS), F.lit(True))
+    for name in schemas.NUMERIC_FIELDS:
+        unusable = unusable | F.col(name).isNull()
+    kind = (
+        F.when(F.col("line_kind") == "blank", "blank")
+        .when(F.col("line_kind") == "bad", "parse_error")
+        .when(F.col("missing_fields") != "", "schema_error")
+        .when(unusable, "validation_error")
+    )
+    return typed.withColumn("error_type", kind).drop("line_kind", "_body", "present")
+
+
 def complete_messages(parsed: DataFrame) -> DataFrame:
     """The full-conversion chain for parsed lines: every required field must be named.
 
@@ -171,8 +198,8 @@ def quarantine(lines: DataFrame, column: str = "value") -> DataFrame:
         judged.withColumn("error_type", kind)
         .filter(F.col("error_type").isNotNull())
         .withColumn("missing_fields", F.coalesce(names, F.lit("")))
-        .withColumn("raw", F.left(column, F.lit(RAW_PREVIEW)))
-        .drop("_missing", "_unusable", "_body", "present", "line_kind", column)
+        .withColumns({"line": F.col(column), "raw": F.left(column, F.lit(RAW_PREVIEW))})
+        .drop("_missing", "_unusable", "_body", "present", "line_kind", *({column} - {"line", "raw"}))
     )
 
 

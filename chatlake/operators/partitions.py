@@ -143,6 +143,21 @@ def conversion_report(messages: DataFrame, batch_size: int = 10_000) -> DataFram
     )
 
 
+def conversion_sizes(raw_files: DataFrame, stored_files: DataFrame) -> DataFrame:
+    """Bytes of the raw files, bytes of the table, and how many times smaller it is."""
+    tagged = raw_files.select("file_size", F.lit(True).alias("raw")).unionByName(
+        stored_files.select("file_size", F.lit(False).alias("raw"))
+    )
+    size = F.coalesce("file_size", F.lit(0))
+    both = tagged.agg(
+        F.count_if("raw").alias("raw_files"),
+        F.coalesce(F.sum(F.when(F.col("raw"), size)), F.lit(0)).alias("bytes_before"),
+        F.count_if(~F.col("raw")).alias("stored_files"),
+        F.coalesce(F.sum(F.when(~F.col("raw"), size)), F.lit(0)).alias("bytes_after"),
+    )
+    return both.withColumn("ratio", F.when(F.col("bytes_after") > 0, F.col("bytes_before") / F.col("bytes_after")))
+
+
 def scan_estimate(
     ranges: DataFrame, first: str, last: str, known: Column | None = None
 ) -> DataFrame:

@@ -42,6 +42,10 @@ select event_id as line_no,
             else concat('{"guid":"g', event_id, '","notify_type":1010,"data":{"msg_id":"m', event_id, '","from_username":"u', user_id, '","to_username":"svc","msg_type":', event_id % 4 + 1, ',"create_time":', 1704067200 + event_id * 60, ',"is_chatroom_msg":', event_id % 2, ',"source":"s","content":"c', event_id, '"}}')
        end as value
 from events
+""",
+    "fx_lines": """
+select line_no, case when line_no % 50 = 21 then replace(value, '"msg_type":', '"msg_type":0.5') when line_no % 50 = 23 then '[1]' else value end as value
+from fx_raw_lines
 """,
     "fx_chat": """
 select concat('c', conv_id, '_', turn) as msg_id,

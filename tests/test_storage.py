@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatlake import schemas
-from chatlake.operators import cleaning, dedup, images, partitions, quality, retention, selection
+from chatlake.operators import cleaning, dedup, images, partitions, quality, retention, selection, state
 from chatlake.operators import schema_evolution as evolution
 from chatlake.sources import files, jsonl, lake
 from chatlake.streaming import activity, ingest
@@ -202,7 +202,9 @@ def test_stream_equals_batch_and_repeats_nothing(spark, tmp_path) -> None:
     repeat = ingest.ingest_batch(
         spark, spark.createDataFrame([(_line(3, 2), "f"), (_line(4, 2), "f")], "value string, source_file string"), root
     )
-    assert repeat == {"total_processed": 2, "new_records": 1, "duplicates_skipped": 1}
+    assert repeat == {
+        "total_lines": 2, "blank_lines": 0, "quarantined": 0, "total_processed": 2, "new_records": 1, "duplicates_skipped": 1
+    }
 
 
 def test_resume_counts_physical_lines(spark, tmp_path) -> None:
@@ -309,3 +311,98 @@ def test_pages_are_grouped_into_tasks(spark, tmp_path) -> None:
     pages = spark.read.format("recorded_pages").option("pages_per_task", "3").load(str(tmp_path))
     assert pages.rdd.getNumPartitions() == 3
     assert sorted(r.page for r in pages.filter("record_no = 0").collect()) == [f"p{n}.json" for n in range(7)]
+
+
+def _totals(spark, raw, root, mark, **options) -> dict[str, int]:
+    return ingest.run_to_end(ingest.ingest_stream(spark, str(raw), root, mark, **options))
+
+
+def test_every_line_is_accounted_for(spark, tmp_path) -> None:
+    """More batches than the progress of a query remembers, and refused lines of every kind."""
+    raw, root, mark = tmp_path / "raw", str(tmp_path / "lake"), str(tmp_path / "mark")
+    long = "{bad " + "x" * 2000
+    for i in range(6):
+        _write(raw / f"f{i}.jsonl", [_line(i), _line(0), "", long, '{"content": "no id"}', _line(9, msg_type="x")])
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    totals = _totals(spark, raw, root, mark, files_per_trigger=1)
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "100")
+    assert (totals["batches"], totals["lines"], totals["blank_lines"], totals["quarantined"]) == (6, 36, 6, 18)
+    assert (totals["total_processed"], totals["new_records"], totals["duplicates_skipped"]) == (12, 6, 6)
+    letters = spark.read.parquet(f"{mark}-dead-letters")
+    assert {r.error_type: r["count"] for r in letters.groupBy("error_type").count().collect()} == {
+        "parse_error": 6, "schema_error": 6, "validation_error": 6
+    }
+    assert letters.filter("error_type = 'parse_error'").select("line").distinct().first().line == long
+    assert _totals(spark, raw, root, mark)["lines"] == 0
+
+
+def test_any_cut_gives_one_table(spark, tmp_path) -> None:
+    lines = [_line(1, 1), _line(1, 2), _line(2, 1), _line(1, 1, content="again"), _line(2, 1)]
+    found = []
+    for cut in ([5], [1, 4], [1, 1, 1, 1, 1], [3, 2]):
+        root, at = str(tmp_path / f"lake{'-'.join(map(str, cut))}"), 0
+        for size in cut:
+            rows = [(line, f"f{at + i}") for i, line in enumerate(lines[at : at + size])]
+            ingest.ingest_batch(spark, spark.createDataFrame(rows, "value string, source_file string"), root)
+            at += size
+        found.append(sorted((r.msg_id, r.day, r.content) for r in lake.read_lake(spark, root).collect()))
+    assert all(rows == found[0] for rows in found) and len(found[0]) == 3
+
+
+def test_a_repeated_batch_adds_nothing_without_dedup(spark, tmp_path) -> None:
+    root = str(tmp_path / "lake")
+    rows = spark.createDataFrame([(_line(1), "f"), (_line(1), "f"), (_line(2), "f")], "value string, source_file string")
+    assert ingest.ingest_batch(spark, rows, root, deduplicate=False)["new_records"] == 3
+    assert ingest.ingest_batch(spark, rows, root, deduplicate=False, repeated=True)["new_records"] == 0
+    assert lake.read_lake(spark, root).count() == 3
+
+
+def test_checkpoints_are_written(spark, tmp_path, monkeypatch) -> None:
+    raw, root, log = tmp_path / "raw", str(tmp_path / "lake"), str(tmp_path / "log")
+    path = _write(raw / "a.jsonl", [_line(1), "", "{bad", _line(2)])
+    assert ingest.ingest_from_checkpoints(spark, str(raw), root, log)["new_records"] == 2
+    current = state.latest(spark.read.parquet(log), ["source_file"], ["log_no"]).first()
+    assert (current.status, current.last_processed_line, current.last_processed_msg_id) == ("completed", 4, "m2")
+    with open(path.replace("file://", ""), "a") as more:
+        more.write(_line(3) + "\n")
+    spark.catalog.clearCache()
+    whole = ingest.ingest_batch
+    monkeypatch.setattr(ingest, "ingest_batch", lambda *_, **__: (_ for _ in ()).throw(OSError("disk")))
+    with pytest.raises(OSError):
+        ingest.ingest_from_checkpoints(spark, str(raw), root, log)
+    current = state.latest(spark.read.parquet(log), ["source_file"], ["log_no"]).first()
+    assert (current.status, current.last_processed_line) == ("failed", 4)
+    monkeypatch.setattr(ingest, "ingest_batch", whole)
+    assert ingest.ingest_from_checkpoints(spark, str(raw), root, log)["total_lines"] == 1
+    assert {r.msg_id for r in lake.read_lake(spark, root).collect()} == {"m1", "m2", "m3"}
+
+
+def test_late_rows_join_the_archive(spark, tmp_path) -> None:
+    root, cold = str(tmp_path / "lake"), str(tmp_path / "cold")
+    first = [_line(i, 1) for i in range(5)]
+    lake.convert_lines(spark.createDataFrame([(x,) for x in first], "value string"), root)
+    done = retention.archive_days(spark, root, cold, date(2024, 2, 20), 15)
+    assert [r.rows for r in done.collect()] == [5]
+    report = retention.archive_report(spark, root, cold, done).first()
+    assert report.bytes_before > 0 and report.bytes_after > 0 and report.ratio == report.bytes_before / report.bytes_after
+    # once more without deleting: nothing is doubled
+    retention.archive_days(spark, root, cold, date(2024, 2, 20), 15)
+    assert lake.read_lake(spark, cold).count() == 5
+    assert all(r.deleted for r in retention.delete_days(spark, root, done).collect())
+    late = spark.createDataFrame([(_line(77, 1),)], "value string")
+    lake.convert_lines(late, root, "append")
+    assert [r.rows for r in retention.archive_days(spark, root, cold, date(2024, 2, 20), 15).collect()] == [1]
+    assert {r.msg_id for r in lake.read_lake(spark, cold).collect()} == {f"m{i}" for i in (0, 1, 2, 3, 4, 77)}
+
+
+def test_own_landing_files_are_found(spark, tmp_path) -> None:
+    from chatlake.sources import jsonl
+
+    raw = str(tmp_path / "raw")
+    rows = spark.createDataFrame([("m1", "2024-01-01"), ("m2", "2024-01-19")], "msg_id string, d string")
+    jsonl.append_daily(rows, raw, F.to_timestamp("d"))
+    landed = spark.createDataFrame([("2024-01-01",)], "day_key string")
+    plan = retention.retention_plan(retention.raw_day_files(spark, raw), landed, date(2024, 1, 20))
+    assert {r.stem: r.decision for r in plan.collect()} == {"2024-01-01": "delete", "2024-01-19": "keep"}
+    assert retention.delete_files(plan).count() == 1
+    assert [r.stem for r in retention.raw_day_files(spark, raw).collect()] == ["2024-01-19"]

@@ -340,6 +340,8 @@ for _mark, _text in {
     "ITEXT": _any("concat_ws(' ', array_to_string(keywords, ' '), title, summary)", fn.INVEST_TERMS),
 }.items():
     _FOUND = _FOUND.replace(_mark, _text)
+# the customary form searches the first messages of a topic only
+_LEADING, _FOUND = _FOUND, _FOUND.replace("place <= 200 and ", "")
 
 
 def term_chat(t: Tables) -> DataFrame:
@@ -422,6 +424,17 @@ def watched_topics(t: Tables) -> DataFrame:
     return joined.select(*TOPIC, top.is_watch_topic().alias("is_watch"))
 
 
+@query(
+    "K08_watched_topics_leading", _LEADING + "select chatroom, topic_no, is_watch, coalesce(wm, 0)::bigint as mentions from judged"
+)
+def watched_topics_leading(t: Tables) -> DataFrame:
+    facts = top.term_facts(chat_members(t), term_chat(t), top.LEADING_MESSAGES)
+    joined = t.fx_term_topics.join(facts, TOPIC, "left")
+    return joined.select(
+        *TOPIC, top.is_watch_topic().alias("is_watch"), F.coalesce("watch_mentions", F.lit(0)).alias("mentions")
+    )
+
+
 @query("K09_investment_topics", _FOUND + "select chatroom, topic_no, is_invest from judged")
 def investment_topics(t: Tables) -> DataFrame:
     joined = t.fx_term_topics.join(top.term_facts(chat_members(t), term_chat(t)), TOPIC, "left")
@@ -718,5 +731,6 @@ def room_analysis(t: Tables) -> DataFrame:
 
     messages = xml_messages(t).withColumn("is_chatroom_msg", F.lit(1))
     settings = analysis.Settings(lines=OPTIONS, max_input_tokens=400)
-    picked = analysis.select_messages(messages, "2024-01-01", "2024-01-31")
+    span = messages.agg(*[F.date_format(f("create_time"), "yyyy-MM-dd") for f in (F.min, F.max)]).first()
+    picked = analysis.select_messages(messages, *(day or "2024-01-01" for day in span))
     return analysis.analyze(picked, counting_model, t.fx_images, settings)["report"]

@@ -178,15 +178,12 @@ def hourly_activity(t: Tables) -> DataFrame:
     return rows.select(F.unix_timestamp("window_start").alias("window_epoch"), "chatroom", "messages")
 
 
-@query(
-    "R05_streamed_activity",
-    "select * from (" + _HOURLY.strip() + ") where window_epoch + 3600 <= (select cast(epoch(max(create_time)) as bigint) - 3600 from fx_messages)",
-)
+@query("R05_streamed_activity", _HOURLY)
 def streamed_activity(t: Tables) -> DataFrame:
     out, mark = scratch_path(t.spark, "activity"), scratch_path(t.spark, "mark")
     rows = t.spark.readStream.schema("msg_id string, chatroom string, create_time timestamp").parquet(message_lake(t))
-    activity.stream_activity(rows, out, mark, lateness="1 hour").awaitTermination()
-    stored = t.spark.read.parquet(out)
+    activity.upsert_activity(rows, out, mark, lateness="40 days").awaitTermination()
+    stored = activity.current_activity(t.spark.read.parquet(out))
     return stored.select(F.unix_timestamp("window_start").alias("window_epoch"), "chatroom", "messages")
 
 

@@ -510,12 +510,12 @@ def first_rows(t: Tables) -> DataFrame:
     select chatroom, strftime(create_time, '%Y-%m-%d') as day_key, count(*) as messages,
            count(distinct chatroom_sender) as senders
     from fx_messages
-    where create_time >= timestamp '2024-01-05' and create_time < timestamp '2024-01-08' and is_chatroom_msg = 1 and chatroom <> ''
+    where is_chatroom_msg = 1 and chatroom <> ''
     group by 1, 2
     """,
 )
 def room_day_activity(t: Tables) -> DataFrame:
-    rows = selection.group_messages(selection.in_days(t.fx_messages, "2024-01-05", "2024-01-07"))
+    rows = selection.group_messages(t.fx_messages)
     day = F.date_format("create_time", "yyyy-MM-dd").alias("day_key")
     return rows.groupBy("chatroom", day).agg(
         F.count(F.lit(1)).alias("messages"), F.count_distinct("chatroom_sender").alias("senders")

@@ -121,10 +121,10 @@ def report_times(t: Tables) -> DataFrame:
 
 @query(
     "F07_plain_keywords",
-    "select doc_id, regexp_replace(lower(left(text, 60)), '[^\\p{L}\\p{M}\\p{N}_]+', '', 'g') as word from documents",
+    "select doc_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', '', 'g') as word from documents",
 )
 def plain_keywords(t: Tables) -> DataFrame:
-    return t.table("documents").select("doc_id", line.normalize_keyword(F.left("text", F.lit(60))).alias("word"))
+    return t.table("documents").select("doc_id", line.normalize_keyword(F.col("text")).alias("word"))
 
 
 # The words of this table are equal or far apart, so greedy matching is a multiset intersection.

@@ -117,8 +117,8 @@ def time_range(first: Column, last: Column) -> Column:
 
 
 def normalize_keyword(keyword: Column) -> Column:
-    """Lower case, word characters only."""
-    return F.regexp_replace(F.lower(keyword), r"(?U)[^\w一-鿿]+", "")
+    """Lower case; letters, numbers of all kinds and underscores stay."""
+    return F.regexp_replace(F.lower(keyword), r"[^\p{L}\p{N}_]+", "")
 
 
 def estimate_tokens(text: Column) -> Column:

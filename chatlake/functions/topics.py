@@ -207,8 +207,8 @@ def matched_share(
 
 def plain_keywords(words: Sequence[str]) -> list[str]:
     """Normalised keywords of a list, without those that vanish; the batch-side twin of
-    ``normalize_keyword``."""
-    cleaned = (re.sub(r"[^\w\u4e00-\u9fff]+", "", word.lower()) for word in words if word)
+    ``normalize_keyword``: the word class of Python's patterns holds letters, numbers and underscores."""
+    cleaned = (re.sub(r"[^\w]+", "", word.lower()) for word in words if word)
     return [word for word in cleaned if word]
 
 

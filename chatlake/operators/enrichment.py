@@ -91,26 +91,39 @@ def resolve_quotes(
 ) -> DataFrame:
     """Sequence number of the quoted message in the same room, null when it is not there.
 
-    With ``earlier_only`` the quoted message must be in the same batch or an earlier one.
+    With ``earlier_only`` the quoted message must be in the same batch or an earlier one; of
+    copies of an id the last one that is allowed counts.
     ``targets`` may give the messages before enrichment, so that they are not parsed twice.
     """
-    places = ["seq_id", "batch_index"] if earlier_only else ["seq_id"]
-    # of messages that share an id the last one counts
     numbered = messages if targets is None else targets
+    if earlier_only:
+        return _resolve_earlier(messages, numbered)
+    # of messages that share an id the last one counts
     places_of = (
         numbered.groupBy("chatroom", F.col("msg_id").alias("_svrid"))
-        .agg(F.max(F.struct(*places)).alias("_p"))
-        .select("chatroom", "_svrid", F.col("_p.seq_id").alias("refers_to_seq_id"),
-                *([F.col("_p.batch_index").alias("_batch")] if earlier_only else []))
+        .agg(F.max("seq_id").alias("refers_to_seq_id"))
     )
     quoting = messages.withColumn("_svrid", F.nullif("refermsg.svrid", F.lit("")))
     joined = look_up(quoting, places_of, ["chatroom", "_svrid"], "msg_id")
-    if earlier_only:
-        seen = F.col("_batch") <= F.col("batch_index")
-        joined = joined.withColumn("refers_to_seq_id", F.when(seen, F.col("refers_to_seq_id")))
     return joined.select(*messages.columns, "refers_to_seq_id")
 
 
+def _resolve_earlier(messages: DataFrame, numbered: DataFrame) -> DataFrame:
+    """Quote links to the last copy in the same batch or an earlier one.
+
+    Copies are first reduced to one per id and batch; only quoting rows meet them.
+    """
+    copies = numbered.groupBy("chatroom", F.col("msg_id").alias("_svrid"), F.col("batch_index").alias("_batch")).agg(
+        F.max("seq_id").alias("_place")
+    )
+    quoting = messages.select(
+        "chatroom", "seq_id", "batch_index", F.nullif("refermsg.svrid", F.lit("")).alias("_svrid")
+    ).filter(F.col("_svrid").isNotNull())
+    allowed = quoting.join(copies, ["chatroom", "_svrid"]).filter(F.col("_batch") <= F.col("batch_index"))
+    found = allowed.groupBy("chatroom", "seq_id").agg(F.max("_place").alias("refers_to_seq_id"))
+    return messages.join(found, ["chatroom", "seq_id"], "left").select(*messages.columns, "refers_to_seq_id")
+
+
 def topic_members(topics: DataFrame) -> DataFrame:
     """One row per topic and message id, with the place of the id in the list.
 

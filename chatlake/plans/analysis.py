@@ -30,7 +30,7 @@ class Settings:
     merge_threshold: float = fn.MERGE_THRESHOLD
     popularity_threshold: float = fn.POPULARITY_THRESHOLD
     summary_max_tokens: int | None = 60_000
-    summary_max_messages: int | None = 200
+    summary_max_messages: int | None = None
     tokens: Callable[[Column], Column] = line.estimate_tokens
 
 

@@ -26,14 +26,14 @@ def write_days(
     mode: str = "append",
     compression: str = "snappy",
     time_column: str = "create_time",
-    id_filter: bool = False,
+    id_filter: bool = True,
     **options: str,
 ) -> None:
     """Write rows into ``year=/month=/day=`` folders.
 
     ``rebalance`` gathers a small day into one file and splits a very large one at run time,
-    so neither many tiny files nor one giant task comes out. Use ``id_filter`` for tables
-    with large days that are searched by message id.
+    so neither many tiny files nor one giant task comes out. ``id_filter`` writes Bloom filters,
+    with which a search by message id skips row groups.
     """
     padded = df.withColumns({n: F.date_format(time_column, p) for n, p in DAY_TEXT.items()})
     order = [*schemas.PARTITION_COLUMNS, *[name for name in ROW_ORDER if name in df.columns]]

@@ -18,6 +18,32 @@ def activity(messages: DataFrame, length: str = "1 hour") -> DataFrame:
     )
 
 
+def upsert_activity(
+    messages: DataFrame, log: str, checkpoint: str, length: str = "1 hour", lateness: str = "1 day"
+) -> StreamingQuery:
+    """Write every window whenever it changes, the open ones included; a repeated batch replaces its rows."""
+
+    def land(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
+        (
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("batch_id").parquet(log)
+        )
+
+    return (
+        activity(messages.withWatermark("create_time", lateness), length)
+        .writeStream.outputMode("update").foreachBatch(land)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def current_activity(log: DataFrame) -> DataFrame:
+    """The latest count of each window and chatroom."""
+    return log.groupBy("window_start", "window_end", "chatroom").agg(F.max_by("messages", "batch_id").alias("messages"))
+
+
 def stream_activity(
     messages: DataFrame, out: str, checkpoint: str, length: str = "1 hour", lateness: str = "1 day"
 ) -> StreamingQuery:

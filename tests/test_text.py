@@ -92,3 +92,14 @@ def test_report_file_and_scratch(spark, tmp_path) -> None:
     assert os.path.isdir(mine)
     assert drop_scratch(spark) and not os.path.isdir(mine)
     registry._LAKES.clear()
+
+
+def test_keywords_alike_in_both_forms(spark) -> None:
+    from chatlake.functions import text as line
+    from chatlake.functions import topics as fn
+
+    words = ["x²", "नि", "a‿b", "a_b", "Ⅷ-ⅸ", "Ünïc ôde!", "消息，通知", "١٢٣", "½ cup"]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", line.normalize_keyword(F.col("w")).alias("k"))
+    found = {r.w: r.k for r in rows.collect()}
+    assert [found[w] for w in words] == fn.plain_keywords(words)
+    assert found["x²"] == "x²" and found["नि"] == "न" and found["a‿b"] == "ab"

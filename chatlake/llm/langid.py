@@ -161,14 +161,14 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
             counts, some = gram_counts(texts[at : at + ROWS])
             for row, real in zip(_weights(counts, idf), some, strict=True):
                 used = np.flatnonzero(row) if real else np.zeros(0, np.int64)
-                places.append(used.astype(np.int32))
-                values.append(row[used].astype(np.float32))
-        columns = [batch.column("doc_id"), batch.column("lang"), pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))]
+                places.append(used.astype("<i4").tobytes())
+                values.append(row[used].astype("<f4").tobytes())
+        columns = [batch.column("doc_id"), batch.column("lang"), pa.array(places, pa.binary()), pa.array(values, pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "lang", "places", "values"])
 
     ids = F.broadcast(sample_rows(known.select("doc_id").where("doc_id is not null").distinct(), "doc_id", sample))
     key = docs.schema["doc_id"].dataType.simpleString()
-    rows = map_texts(known.join(ids, "doc_id"), count, f"doc_id {key}, lang string, places array<int>, values array<float>")
+    rows = map_texts(known.join(ids, "doc_id"), count, f"doc_id {key}, lang string, places binary, values binary")
     frame = rows.dropDuplicates(["doc_id"]).toPandas()
     frame = frame[frame["places"].map(len) > 0].sort_values("doc_id").sample(frac=1.0, random_state=7)
     languages = sorted(set(frame["lang"]))
@@ -176,7 +176,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
         return Model([], idf, np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0)
     labels = frame["lang"].map({name: i for i, name in enumerate(languages)}).to_numpy()
     sparse = [
-        (np.asarray(at, np.int64), np.asarray(x, np.float32))
+        (np.frombuffer(at, "<i4").astype(np.int64), np.frombuffer(x, "<f4"))
         for at, x in zip(frame["places"], frame["values"], strict=True)
     ]
     held = np.arange(len(labels)) % 10 == 9

@@ -236,9 +236,11 @@ def _scan(suffixes: DataFrame, length: int, gram: int) -> DataFrame:
 def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """rid, first, last, h: every maximal repeat at every place, in bytes; texts that occur twice are one."""
     seen = anchors(texts, length, gram)
-    more = seen.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    places = cut_lineage(seen.join(more, "h", "left_semi").distinct())
-    classes = places.groupBy("h", "c").agg(
+    # written, so that both sides of the next join come straight from a shuffle: with nothing above it that
+    # needs the rows of an anchor together, a hot anchor can then be split
+    more = cut_lineage(seen.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
+    places = cut_lineage(seen.join(more, "h", "left_semi"))
+    classes = places.distinct().groupBy("h", "c").agg(
         F.count(F.lit(1)).alias("m"), F.min(F.struct("rid", "pos")).alias("one")
     )
     chosen = classes.select("h", "c", "m", "one.rid", "one.pos")

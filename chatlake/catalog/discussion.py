@@ -187,10 +187,10 @@ def united_lists(t: Tables) -> DataFrame:
 @query(
     "K03_parsed_responses",
     """
-    select conv_id as batch_no, concat('room_', conv_id % 7) as chatroom, concat('k', conv_id % 4, ',k', conv_id % 6) as keywords,
+    select conv_id * 1000 + turn as batch_no, concat('room_', conv_id % 7) as chatroom, concat('k', conv_id % 4, ',k', conv_id % 6) as keywords,
            concat('1-', conv_id % 3 + 1) as indices, cast(conv_id % 3 + 1 as int) as message_count, round((conv_id % 9 + 1) / 10.0, 6) as confidence,
            concat('n', conv_id) as notes, '未命名话题' as title, '其他' as category
-    from conversations where turn = 0
+    from conversations
     """,
 )
 def parsed_responses(t: Tables) -> DataFrame:
@@ -212,7 +212,7 @@ def parse_warnings(t: Tables) -> DataFrame:
 
 _RESOLVED = """
 with seq as (select chatroom, msg_id, row_number() over (partition by chatroom order by create_epoch, msg_id) as seq_id from fx_chat),
-r as (select conv_id as batch_no, concat('room_', conv_id % 7) as chatroom, conv_id % 3 + 1 as hi, conv_id from conversations where turn = 0),
+r as (select conv_id * 1000 + turn as batch_no, concat('room_', conv_id % 7) as chatroom, conv_id % 3 + 1 as hi, conv_id from conversations),
 hit as (select r.batch_no, r.chatroom, s.msg_id, s.seq_id, hi, conv_id from r join seq s on s.chatroom = r.chatroom and s.seq_id between 1 and r.hi)
 """
 

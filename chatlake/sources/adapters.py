@@ -98,13 +98,13 @@ select chatroom, conv_id as topic_no,
 from fx_chat group by chatroom, conv_id
 """,
     "fx_responses": """
-select conv_id as batch_no, concat('room_', conv_id % 7) as chatroom,
+select conv_id * 1000 + turn as batch_no, concat('room_', conv_id % 7) as chatroom,
        concat('noise', chr(10), '<<<RESULT_START>>>', chr(10), '<<<TOPIC>>>', chr(10),
               'keywords:', chr(10), '- k', conv_id % 4, chr(10), '- k', conv_id % 6, chr(10),
               'message_indices:', chr(10), '- 1-', conv_id % 3 + 1, chr(10),
               'message_count: ', conv_id % 3 + 1, chr(10), 'confidence: 0.', conv_id % 9 + 1, chr(10),
-              'notes: n', conv_id, chr(10), '<<<RESULT_END>>>', chr(10), 'tail') as response
-from conversations where turn = 0
+              'notes: n', conv_id, chr(10), '<<<RESULT_END>>>', chr(10), 'tail ', text) as response
+from conversations
 """,
     "fx_contacts": """
 select concat('wx_', c_custkey) as username, c_name as alias,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatlake import schemas
-from chatlake.operators.skew import keep_first
+from chatlake.operators.skew import keep_first, keep_first_by_place
 from chatlake.session import scratch_path
 from chatlake.sources.lake import read_lake, write_days
 
@@ -44,8 +44,11 @@ def deduplicate(df: DataFrame, order: Sequence[str], key: Sequence[str] = ("msg_
 
 
 def deduplicate_per_day(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Keep the first row per id within each day; the same id may stay on two days."""
-    return keep_first(df, [*schemas.PARTITION_COLUMNS, "msg_id"], order)
+    """Keep the first row per id within each day; the same id may stay on two days.
+
+    No two rows may share a place in ``order``.
+    """
+    return keep_first_by_place(df, [*schemas.PARTITION_COLUMNS, "msg_id"], order)
 
 
 def deduplicate_day(
@@ -59,7 +62,7 @@ def deduplicate_day(
     source = read_lake(spark, root)
     wanted = (F.col("year") == year) & (F.col("month") == month) & (F.col("day") == day)
     rows = with_file_order(source).filter(wanted)
-    kept = keep_first(rows, ["msg_id"], FILE_ORDER).select(*source.columns)
+    kept = keep_first_by_place(rows, ["msg_id"], FILE_ORDER).select(*source.columns)
     if not in_place:
         target = f"{root.rstrip('/')}_dedup"
         write_days(kept.drop(*schemas.PARTITION_COLUMNS), target, "overwrite")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,6 +63,23 @@ def keep_first(df: DataFrame, key: Sequence[str], order: Sequence[str | Column])
     return kept.select(*df.columns)
 
 
+def keep_first_by_place(df: DataFrame, key: Sequence[str], place: Sequence[str]) -> DataFrame:
+    """The first row per key, where no two rows share a place, without moving rows that are alone.
+
+    Keys are counted and the places of repeated keys compared on narrow rows; whole rows only meet the
+    list of repeated keys, which Spark broadcasts where it measures it to be small.
+    """
+    def same(left: str, right: str) -> Column:
+        return reduce(lambda a, b: a & b, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in key])
+
+    often = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*key)
+    narrow = df.select(*dict.fromkeys([*key, *place])).alias("l").join(often.alias("r"), same("l", "r"), "left_semi")
+    firsts = narrow.groupBy(*key).agg(F.min(F.struct(*place)).alias("_first"))
+    joined = df.alias("l").join(firsts.alias("r"), same("l", "r"), "left")
+    first = F.col("r._first").isNull() | (F.struct(*[F.col(f"l.{c}") for c in place]) == F.col("r._first"))
+    return joined.filter(first).select(*[F.col(f"l.{c}") for c in df.columns])
+
+
 def keep_last(df: DataFrame, key: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """The last row per key by a total order, as an aggregate with map-side combine."""
     others = [column for column in df.columns if column not in key]

@@ -14,7 +14,7 @@ from chatlake import schemas
 from chatlake.functions import clean
 from chatlake.operators import cleaning, state
 from chatlake.operators.shaping import counted, rows_seen
-from chatlake.operators.skew import keep_first
+from chatlake.operators.skew import keep_first_by_place
 from chatlake.session import cut_lineage, scratch_path
 from chatlake.sources import jsonl, lake
 
@@ -104,7 +104,7 @@ def ingest_batch(
     new = 0
     if total:
         if deduplicate:
-            good = unseen(keep_first(good, [*DAY, "msg_id"], ["source_file", "_order"]), stored)
+            good = unseen(keep_first_by_place(good, [*DAY, "msg_id"], ["source_file", "_order"]), stored)
         elif repeated:
             good = not_written(good, stored)
         new_rows, added = counted(cleaning.conform(good))

@@ -11,6 +11,7 @@ from chatlake.operators import enrichment, images, state
 from chatlake.operators.sequence import assign_sequence
 from chatlake.operators.shaping import evaluate_once
 from chatlake.session import scratch_path
+from chatlake.sources import files
 from chatlake.sources.adapters import Tables
 from chatlake.sources.lake import read_lake, write_days
 
@@ -321,6 +322,48 @@ def extraction_run(t: Tables) -> DataFrame:
     return first.withColumn("run", F.lit(1)).unionByName(second.withColumn("run", F.lit(2)))
 
 
+_IMAGE_DAYS = """
+with d as (select make_timestamp(create_epoch * 1000000)::date as d,
+                  count(*) filter (where chatroom_sender = 'assistant_1' and contains(content, 'encryver="1"')) as images
+           from fx_xml group by 1)
+"""
+
+
+@query(
+    "I02_file_counts",
+    _IMAGE_DAYS + "select strftime(d, '%Y-%m-%d') as day_key, 'completed' as status, images::bigint as images from d",
+)
+def image_file_counts(t: Tables) -> DataFrame:
+    """Images that the first run found in each file."""
+    root, log, marks = _image_lake(t), scratch_path(t.spark, "images"), scratch_path(t.spark, "marks")
+    images.extract_all(t.spark, root, log, marks, "assistant_1", update_content=False)
+    rows = t.spark.read.parquet(marks).withColumn("_p", files.parse_path(F.col("parquet_file")))
+    day = F.format_string("%04d-%02d-%02d", "_p.year", "_p.month", "_p.day").alias("day_key")
+    return rows.groupBy(day, "status").agg(F.sum("total_images_extracted").alias("images"))
+
+
+@query(
+    "I03_failed_file",
+    _IMAGE_DAYS + """
+    select count(*) as files_scanned, sum(images)::bigint as images_extracted, 1 as files_failed, 'failed' as broken_status from d
+    """,
+)
+def failed_file(t: Tables) -> DataFrame:
+    """A run over the same files and one that is no Parquet file."""
+    root, log, marks = _image_lake(t), scratch_path(t.spark, "images"), scratch_path(t.spark, "marks")
+    broken = f"{root}/year=1999/month=01/day=01"
+    t.table("customer").select(F.col("c_name").alias("value")).coalesce(1).write.text(scratch := scratch_path(t.spark, "text"))
+    hadoop = t.spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = t.spark.sparkContext._jsc.hadoopConfiguration()
+    source = hadoop.Path(files.list_files(t.spark, scratch, "*.txt").first()["file_path"])
+    target = hadoop.Path(f"{broken}/part-0.parquet")
+    hadoop.FileUtil.copy(source.getFileSystem(conf), source, target.getFileSystem(conf), target, False, conf)
+    run = images.extract_all(t.spark, root, log, marks, "assistant_1")
+    status = t.spark.read.parquet(marks).filter(F.col("parquet_file").contains("year=1999")).select(F.col("status").alias("broken_status"))
+    found = [row["broken_status"] for row in status.collect()]
+    return run.select("files_scanned", "images_extracted", F.col("files_failed").cast("int"), F.lit(",".join(found)).alias("broken_status"))
+
+
 def _event_log(t: Tables) -> DataFrame:
     kind = F.when(F.col("status").isNotNull(), "status").otherwise("ocr")
     return t.fx_image_events.withColumns(

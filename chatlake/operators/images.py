@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatlake import schemas
 from chatlake.functions import xml
@@ -79,22 +80,50 @@ def rewrite_content(
     return joined.withColumn(content_column, content).select(*messages.columns)
 
 
-def rewrite_days(spark: SparkSession, root: str, mapping: DataFrame) -> DataFrame:
+def _files_of(spark: SparkSession, root: str, days: DataFrame) -> DataFrame:
+    """Files of the given days, with their day and size."""
+    listed = files.list_files(spark, root).withColumn("_p", files.parse_path(F.col("file_path")))
+    placed = listed.select("file_path", "file_size", "_p.*")
+    return placed.join(days, schemas.PARTITION_COLUMNS, "left_semi")
+
+
+def rewrite_days(
+    spark: SparkSession, root: str, mapping: DataFrame, days: DataFrame | None = None,
+    layout: T.StructType | None = None,
+) -> DataFrame:
     """Rewrite mapped content in place, in the days that hold a mapped row.
 
-    The new rows are staged in full before they replace the days read. Returns the days.
+    ``days`` (year, month, day) names these days where they are known, so that only they are read.
+    The new rows are staged in full before they replace the days read; if files of these days have
+    come or gone meanwhile, nothing is replaced and the job fails. Returns the days whose rows are
+    afterwards exactly those written, and the number of their rows.
     """
-    lake = read_lake(spark, root)
     day = schemas.PARTITION_COLUMNS
-    touched = lake.join(mapping.select("msg_id"), "msg_id", "left_semi").select(*day).distinct()
+    layout = layout or read_lake(spark, root).schema
+    lake = spark.read.schema(layout).parquet(root)
+    if days is None:
+        days = lake.join(mapping.select("msg_id"), "msg_id", "left_semi").select(*day).distinct()
+    touched = cut_lineage(days.select(*day).distinct())
+    nothing = spark.createDataFrame([], "year int, month int, day int, rows long")
+    date = F.make_date(*day)
+    span = touched.agg(F.min(date).alias("first"), F.max(date).alias("last")).first()
+    if span["first"] is None:
+        return nothing
+    before = cut_lineage(_files_of(spark, root, touched).select("file_path", "file_size"))
+    near = lake.filter(date.between(F.lit(span["first"]), F.lit(span["last"])))
     staged = scratch_path(spark, "rewrite")
-    changed = rewrite_content(lake.join(touched, day, "left_semi"), mapping)
-    write_days(changed.drop(*day), staged, "overwrite")
+    write_days(rewrite_content(near.join(touched, day, "left_semi"), mapping).drop(*day), staged, "overwrite")
     rewritten = read_if_there(spark, staged)
     if rewritten is None:
-        return spark.createDataFrame([], "year int, month int, day int")
+        return nothing
+    now = _files_of(spark, root, touched).select("file_path", "file_size")
+    if now.exceptAll(before).unionByName(before.exceptAll(now)).take(1):
+        raise RuntimeError("files of the days to rewrite have changed; nothing was replaced")
     write_days(rewritten.drop(*day), root, "overwrite")
-    return rewritten.select(*day).distinct()
+    wanted = rewritten.groupBy(*day).agg(F.count(F.lit(1)).alias("rows"))
+    found = spark.read.schema(layout).parquet(root).filter(date.between(F.lit(span["first"]), F.lit(span["last"])))
+    stored = found.groupBy(*day).agg(F.count(F.lit(1)).alias("rows"))
+    return cut_lineage(wanted.join(stored, [*day, "rows"], "left_semi"))
 
 
 def extract_all(
@@ -103,45 +132,75 @@ def extract_all(
 ) -> DataFrame:
     """Extract images from every file this sender has not completed; returns the counters.
 
-    One distributed pass: pick files, extract, register new images, rewrite content, and
-    mark the files of the rewritten days as done.
+    One distributed pass: pick files, extract, register new images, rewrite content, and mark files.
+    Only the days of open files are read. A file whose footer cannot be read is marked ``failed``
+    with the error and tried again in the next run; the others are ``completed`` with their number of
+    images. Files that the rewrite wrote are completed as well, unless rows came to their day meanwhile.
     """
-    lake = read_lake(spark, root)
-    listed = files.list_files(spark, root).select(F.col("file_path").alias("parquet_file"))
+    day = schemas.PARTITION_COLUMNS
+    listed = files.list_files(spark, root).select(F.col("file_path").alias("parquet_file"), "file_size")
     marks, log = read_if_there(spark, checkpoint_log), read_if_there(spark, image_log)
     nothing = spark.createDataFrame([], "image_id string, msg_id string, parquet_file string")
     done = nothing.select("parquet_file") if marks is None else completed_files(marks, from_username)
     known = nothing if log is None else current_images(log)
     # the list is needed again after the files themselves have been replaced
     todo = cut_lineage(listed.join(done, "parquet_file", "left_anti"))
-    scanned = todo.count()
-    total = listed.count()
-    rows = lake.select("*", F.col("_metadata.file_path").alias("parquet_file"))
-    found_path = scratch_path(spark, "found")
-    open_rows = rows.join(todo, "parquet_file", "left_semi").drop("parquet_file")
-    extract_images(open_rows, from_username, known).write.parquet(found_path)
-    found = spark.read.parquet(found_path)
+    facts = files.read_footers(todo.withColumnRenamed("parquet_file", "file_path"))
+    judged = cut_lineage(facts.select(F.col("file_path").alias("parquet_file"), "readable", "error"))
+    good, bad = judged.filter("readable").select("parquet_file"), judged.filter("not readable")
+    total, scanned, failed = listed.count(), good.count(), bad.count()
+    opened = good.select(files.parse_path(F.col("parquet_file")).alias("_p")).select("_p.*")
+    date = F.make_date(*day)
+    span = opened.agg(F.min(date).alias("first"), F.max(date).alias("last")).first()
+    # a broken footer is a finding of this run, not the end of it
+    some = good.first()
+    fields = spark.read.parquet(some["parquet_file"]).schema.fields if some else schemas.MESSAGES.fields
+    layout = T.StructType([*fields, *[T.StructField(name, T.IntegerType()) for name in day]])
+    lake = spark.read.schema(layout).option("ignoreCorruptFiles", "true").parquet(root)
+    rows = lake.filter(date.between(F.lit(span["first"]), F.lit(span["last"])))
+    placed = rows.select("*", F.col("_metadata.file_path").alias("parquet_file"))
+    open_rows = placed.join(good, "parquet_file", "left_semi")
+    found = cut_lineage(extract_images(open_rows.drop("parquet_file"), from_username, known))
+    where = open_rows.join(found.select("msg_id"), "msg_id", "left_semi")
+    # a day with a broken file is not rewritten, since the file would go with it; its files stay open
+    broken_days = bad.select(files.parse_path(F.col("parquet_file")).alias("_p")).select("_p.*").distinct()
+    placed_good = good.withColumn("_p", files.parse_path(F.col("parquet_file"))).select("parquet_file", "_p.*")
+    if update_content:
+        placed_good = placed_good.join(broken_days, day, "left_anti")
+    per_file = where.groupBy("parquet_file").agg(F.count_distinct("msg_id").alias("images"))
+    marked = cut_lineage(
+        placed_good.join(per_file, "parquet_file", "left").select(
+            "parquet_file", F.lit("completed").alias("status"), F.coalesce("images", F.lit(0)).alias("total_images_extracted"),
+            F.lit("").alias("error_message"),
+        ).unionByName(
+            bad.select(
+                "parquet_file", F.lit("failed").alias("status"), F.lit(0).cast("long").alias("total_images_extracted"),
+                F.col("error").alias("error_message"),
+            )
+        )
+    )
     extracted = found.filter("is_new").count()
     if not dry_run:
         append_log(creation_events(found.filter("is_new")), image_log)
-        mapping = found.select("msg_id", F.col("image_id").alias("value"))
-        days = rewrite_days(spark, root, mapping if update_content else mapping.limit(0))
-        now = files.list_files(spark, root).withColumn("_p", files.parse_path(F.col("file_path")))
-        fresh = now.select(F.col("file_path").alias("parquet_file"), "_p.*").join(
-            days, schemas.PARTITION_COLUMNS, "left_semi"
-        )
-        finished = fresh.select("parquet_file").union(todo).distinct()
+        if update_content:
+            mapping = found.select("msg_id", F.col("image_id").alias("value"))
+            days = where.select(*day).distinct().join(broken_days, day, "left_anti")
+            whole = rewrite_days(spark, root, mapping, days, layout)
+            fresh = _files_of(spark, root, whole.select(*day)).select(F.col("file_path").alias("parquet_file"))
+            marked = marked.unionByName(
+                fresh.join(marked, "parquet_file", "left_anti").select(
+                    "parquet_file", F.lit("completed").alias("status"), F.lit(0).cast("long").alias("total_images_extracted"),
+                    F.lit("").alias("error_message"),
+                )
+            )
         append_log(
-            finished.select(
-                "parquet_file",
-                F.lit(from_username).alias("from_username"),
-                F.unix_micros(F.current_timestamp()).alias("log_no"),
-                F.lit("completed").alias("status"),
+            marked.withColumns(
+                {"from_username": F.lit(from_username), "log_no": F.unix_micros(F.current_timestamp())}
             ),
             checkpoint_log,
         )
     return spark.createDataFrame(
-        [(scanned, extracted, total - scanned, 0)],
+        [(scanned, extracted, total - scanned - failed, failed)],
         "files_scanned long, images_extracted long, files_skipped long, files_failed long",
     )
 

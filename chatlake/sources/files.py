@@ -166,7 +166,7 @@ def _read_footer(path: str, size: int, time_column: str) -> dict:
             reader = pq.ParquetFile(handle)
             meta, schema = reader.metadata, reader.schema_arrow
     except Exception as error:  # a file that cannot be read is a finding, not a failure
-        return {"file_path": path, "file_size": size, "readable": False, "error": str(error)[:200], **blank}
+        return {"file_path": path, "file_size": size, "readable": False, "error": str(error), **blank}
     chunks = [
         meta.row_group(group).column(column)
         for group in range(meta.num_row_groups)
@@ -197,6 +197,11 @@ def footers(spark: SparkSession, root: str, time_column: str = "create_time") ->
     The listing is split over tasks by path, and only footers are read, so the cost follows
     the number of files and not their size.
     """
+    return read_footers(walk_files(spark, root), time_column)
+
+
+def read_footers(listed: DataFrame, time_column: str = "create_time") -> DataFrame:
+    """The same for given files (``file_path``, ``file_size``)."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -206,4 +211,4 @@ def footers(spark: SparkSession, root: str, time_column: str = "create_time") ->
                 frame[name] = pd.to_datetime(frame[name], utc=True)
             yield frame
 
-    return walk_files(spark, root).repartition("file_path").mapInPandas(read, FOOTER_SCHEMA)
+    return listed.select("file_path", "file_size").repartition("file_path").mapInPandas(read, FOOTER_SCHEMA)

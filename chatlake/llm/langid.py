@@ -199,7 +199,7 @@ def predict(docs: DataFrame, model: Model, *others: str) -> DataFrame:
     return map_texts(docs.select(*columns), work, f"{kinds}, lang_pred string, score double")
 
 
-def kept(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+def kept(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
     """The documents in a language the model knows, with at least this probability; all columns as they were."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

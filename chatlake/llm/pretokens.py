@@ -17,7 +17,7 @@ import regex
 from chatlake.llm.common import gather_spans, prefix_sums, span_hashes
 
 #: Pre-tokens remembered per worker; beyond it the memory starts afresh. It only saves work.
-MEMORY = 1_000_000
+MEMORY = 400_000
 
 _LETTER, _NUMBER, _OTHER, _SPACE = range(4)
 _CLASSES: list[np.ndarray] = []

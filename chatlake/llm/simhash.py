@@ -40,8 +40,8 @@ GROUP_ROWS = 1 << 17
 _PLACES = np.arange(BITS, dtype=np.uint64)
 
 
-def text_fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
-    """One fingerprint per text, as unsigned 64-bit numbers."""
+def shingle_hashes(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word shingle, and where each text's start (n + 1 bounds)."""
     data, offsets = text_bytes(texts)
     data = LOWER[data]
     starts, ends = runs(~SPACE_BYTE[data], offsets)
@@ -65,10 +65,16 @@ def text_fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
     spans = zip(places[begin].tolist(), (places[until] - 1).tolist(), strict=True)
     hashes = np.fromiter((digest(view[a:b], SEED) for a, b in spans), np.uint64, len(begin))
-    bounds = np.concatenate([[0], np.cumsum(grams)])
-    prints = np.zeros(len(counts), np.uint64)
+    return hashes, np.concatenate([[0], np.cumsum(grams)])
+
+
+def text_fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
+    """One fingerprint per text, as unsigned 64-bit numbers."""
+    hashes, bounds = shingle_hashes(texts, shingle)
+    grams = np.diff(bounds)
+    prints = np.zeros(len(grams), np.uint64)
     step = 1 << 16
-    ones = np.zeros((len(counts), BITS), np.int64)
+    ones = np.zeros((len(grams), BITS), np.int64)
     for at in range(0, len(hashes), step):
         part = hashes[at : at + step]
         bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -236,12 +242,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGE
     return prints.join(named, "fp").select("doc_id", "fp", "component_id", "copies")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     """One document of each component, that with the smallest doc_id; of repeated rows with that id, one.
 
-    All columns stay as they are. Documents without an id stay, since no other row stands for them.
+    ``classes`` (doc_id, component_id) are those of the fingerprints unless given. All columns stay as they are.
+    Documents without an id stay, since no other row stands for them.
     """
-    classes = near_duplicates(docs)
+    classes = near_duplicates(docs) if classes is None else classes
     kept = classes.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     chosen = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(*docs.columns)
     others = [c for c in docs.columns if c != "doc_id"]

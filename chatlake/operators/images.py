@@ -106,11 +106,12 @@ def rewrite_days(
     touched = cut_lineage(days.select(*day).distinct())
     nothing = spark.createDataFrame([], "year int, month int, day int, rows long")
     date = F.make_date(*day)
-    span = touched.agg(F.min(date).alias("first"), F.max(date).alias("last")).first()
-    if span["first"] is None:
+    # named one by one, so that no file of a day between them is opened
+    wanted_days = [row["date"] for row in touched.select(date.alias("date")).collect()]
+    if not wanted_days:
         return nothing
     before = cut_lineage(_files_of(spark, root, touched).select("file_path", "file_size"))
-    near = lake.filter(date.between(F.lit(span["first"]), F.lit(span["last"])))
+    near = lake.filter(date.isin(wanted_days))
     staged = scratch_path(spark, "rewrite")
     write_days(rewrite_content(near.join(touched, day, "left_semi"), mapping).drop(*day), staged, "overwrite")
     rewritten = read_if_there(spark, staged)
@@ -121,7 +122,7 @@ def rewrite_days(
         raise RuntimeError("files of the days to rewrite have changed; nothing was replaced")
     write_days(rewritten.drop(*day), root, "overwrite")
     wanted = rewritten.groupBy(*day).agg(F.count(F.lit(1)).alias("rows"))
-    found = spark.read.schema(layout).parquet(root).filter(date.between(F.lit(span["first"]), F.lit(span["last"])))
+    found = spark.read.schema(layout).parquet(root).filter(date.isin(wanted_days))
     stored = found.groupBy(*day).agg(F.count(F.lit(1)).alias("rows"))
     return cut_lineage(wanted.join(stored, [*day, "rows"], "left_semi"))
 
@@ -133,9 +134,9 @@ def extract_all(
     """Extract images from every file this sender has not completed; returns the counters.
 
     One distributed pass: pick files, extract, register new images, rewrite content, and mark files.
-    Only the days of open files are read. A file whose footer cannot be read is marked ``failed``
-    with the error and tried again in the next run; the others are ``completed`` with their number of
-    images. Files that the rewrite wrote are completed as well, unless rows came to their day meanwhile.
+    Only the days of open files are read, once. A file whose footer cannot be read, or of which fewer
+    rows can be read than its footer names, is marked ``failed`` with the error, gives no images and is
+    tried again in the next run; the others are ``completed`` with their number of images. Files that the rewrite wrote are completed as well, unless rows came to their day meanwhile.
     """
     day = schemas.PARTITION_COLUMNS
     listed = files.list_files(spark, root).select(F.col("file_path").alias("parquet_file"), "file_size")
@@ -146,21 +147,38 @@ def extract_all(
     # the list is needed again after the files themselves have been replaced
     todo = cut_lineage(listed.join(done, "parquet_file", "left_anti"))
     facts = files.read_footers(todo.withColumnRenamed("parquet_file", "file_path"))
-    judged = cut_lineage(facts.select(F.col("file_path").alias("parquet_file"), "readable", "error"))
-    good, bad = judged.filter("readable").select("parquet_file"), judged.filter("not readable")
-    total, scanned, failed = listed.count(), good.count(), bad.count()
-    opened = good.select(files.parse_path(F.col("parquet_file")).alias("_p")).select("_p.*")
+    judged = cut_lineage(facts.select(F.col("file_path").alias("parquet_file"), "readable", "error", "row_count"))
+    likely = judged.filter("readable")
+    opened = likely.select(files.parse_path(F.col("parquet_file")).alias("_p")).select("_p.*")
     date = F.make_date(*day)
     span = opened.agg(F.min(date).alias("first"), F.max(date).alias("last")).first()
     # a broken footer is a finding of this run, not the end of it
-    some = good.first()
+    some = likely.first()
     fields = spark.read.parquet(some["parquet_file"]).schema.fields if some else schemas.MESSAGES.fields
     layout = T.StructType([*fields, *[T.StructField(name, T.IntegerType()) for name in day]])
     lake = spark.read.schema(layout).option("ignoreCorruptFiles", "true").parquet(root)
     rows = lake.filter(date.between(F.lit(span["first"]), F.lit(span["last"])))
     placed = rows.select("*", F.col("_metadata.file_path").alias("parquet_file"))
-    open_rows = placed.join(good, "parquet_file", "left_semi")
-    found = cut_lineage(extract_images(open_rows.drop("parquet_file"), from_username, known))
+    # damage inside a file ends its rows early; extraction and count come from one and the same read
+    sent = (F.col("from_username") == from_username) & F.col("content").contains("encryver")
+    image = F.when(sent, F.struct("from_username", "create_time", "content"))
+    kept = ["parquet_file", *day, "msg_id", image.alias("_image")]
+    if update_content:  # rewriting reads every column, so every column has to be readable
+        hashed = [f.name for f in fields if f.dataType.typeName() not in ("map", "variant")]
+        kept.append((F.xxhash64(*hashed) % 2 == 0).alias("_read"))
+    staged = cut_lineage(placed.join(likely.select("parquet_file"), "parquet_file", "left_semi").select(*kept))
+    read = staged.groupBy("parquet_file").agg(F.count(F.lit(1)).alias("_rows"))
+    held = likely.join(read, "parquet_file", "left").withColumn("_rows", F.coalesce("_rows", F.lit(0)))
+    held = cut_lineage(held.select("parquet_file", "row_count", "_rows"))
+    short = F.format_string("read %d of %d rows", "_rows", "row_count").alias("error")
+    good = held.filter("_rows = row_count").select("parquet_file")
+    bad = judged.filter("not readable").select("parquet_file", "error").unionByName(
+        held.filter("_rows != row_count").select("parquet_file", short)
+    )
+    total, scanned, failed = listed.count(), good.count(), bad.count()
+    open_rows = staged.join(good, "parquet_file", "left_semi")
+    sent_rows = open_rows.filter("_image is not null").select("msg_id", "_image.*")
+    found = cut_lineage(extract_images(sent_rows, from_username, known))
     where = open_rows.join(found.select("msg_id"), "msg_id", "left_semi")
     # a day with a broken file is not rewritten, since the file would go with it; its files stay open
     broken_days = bad.select(files.parse_path(F.col("parquet_file")).alias("_p")).select("_p.*").distinct()

@@ -302,6 +302,32 @@ def test_extraction_runs_once_per_file(spark, tmp_path) -> None:
     assert images.extract_all(spark, root, log, marks, "u").first().images_extracted == 1
 
 
+def test_damage_inside_a_file_leaves_it_open(spark, tmp_path) -> None:
+    """Its footer can be read, its pages cannot; a day between two others that are rewritten."""
+    import pyarrow.parquet as pq
+
+    picture = '<msg><img aeskey="k" cdnmidimgurl="u" encryver="1"/></msg>'
+    for update in (False, True):
+        root, log, marks = str(tmp_path / f"lake{update}"), str(tmp_path / f"log{update}"), str(tmp_path / f"marks{update}")
+        rows = [_line(i, i, content=picture) for i in (1, 2, 3)]
+        lake.convert_lines(spark.createDataFrame([(r,) for r in rows], "value string"), root)
+        path = next(p for p in (tmp_path / f"lake{update}").rglob("*.parquet") if "day=2/" in str(p) or "day=02/" in str(p))
+        path.with_name(f".{path.name}.crc").unlink(missing_ok=True)
+        whole, group = path.read_bytes(), pq.ParquetFile(path).metadata.row_group(0)
+        chunks = [group.column(i) for i in range(group.num_columns)]
+        at = next(c for c in chunks if c.path_in_schema == "content")
+        start = at.dictionary_page_offset or at.data_page_offset
+        path.write_bytes(whole[:start] + b"\xff" * at.total_compressed_size + whole[start + at.total_compressed_size :])
+        run = images.extract_all(spark, root, log, marks, "u", update_content=update).first()
+        assert (run.files_scanned, run.images_extracted, run.files_failed) == (2, 2, 1)
+        failed = spark.read.parquet(marks).filter("status = 'failed'").collect()
+        assert [r.error_message for r in failed] == ["read 0 of 1 rows"] and path.name in failed[0].parquet_file
+        path.write_bytes(whole)
+        again = images.extract_all(spark, root, log, marks, "u", update_content=update).first()
+        assert (again.files_scanned, again.images_extracted, again.files_failed) == (1, 1, 0)
+        assert images.current_images(spark.read.parquet(log)).count() == 3
+
+
 def test_pages_are_grouped_into_tasks(spark, tmp_path) -> None:
     from chatlake.sources import recorded
 

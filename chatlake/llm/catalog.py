@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.llm import ann, bpe, langid, licenses, packing, quality, repeats, rules, simhash, toxicity
+from chatlake.llm import ann, bpe, langid, licenses, packing, phrases, quality, repeats, rules, simhash, toxicity
 from chatlake.llm.common import fold, read_table
 from chatlake.session import prepare
 
@@ -88,6 +88,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(read_table(prepare(spark), sf_dir, "documents"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(read_table(prepare(spark), sf_dir, "documents"))
+
+
 def _quality_rules_sql() -> str:
     """The same counts by exploding, and exact quartiles by rank."""
     names = list(rules.MARGINS)
@@ -153,6 +157,49 @@ from shares s left join chosen c on s.lang is not distinct from c.lang and s.sou
 """
 
 
+def _phrases_sql() -> str:
+    """Every n-gram of one to three words counted for itself."""
+    return rf"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), '{phrases.UPPER}', '{phrases.LOWER}'), '[.,;:!?\x0A-\x0D]')) as p
+  from documents
+), words as (
+  select lang, regexp_extract_all(p, '[^\x20\x09]+') as w from pieces
+), places as (
+  select lang, w, unnest(range(1, len(w) + 1)) as i from words
+), grams as (
+  select lang, w, i, unnest(range(1, {phrases.MAX_WORDS + 1})) as m from places
+), f as (
+  select lang, m, array_to_string(w[i:i + m - 1], ' ') as phrase, count(*) as f
+  from grams where i + m - 1 <= len(w) group by all
+), candidates as (
+  select lang, m, phrase, string_split(phrase, ' ') as w, f as a from f where m > 1 and f >= {phrases.MIN_COUNT}
+), cuts as (
+  select *, unnest(range(1, m)) as k from candidates
+), scored as (
+  select c.lang, c.phrase, c.a, c.k, x.f as l, y.f as r,
+         (1000000::hugeint * c.a * c.a) // (x.f::hugeint * y.f) as score
+  from cuts c
+  join f x on x.lang = c.lang and x.phrase = array_to_string(c.w[1:c.k], ' ') and x.m = c.k
+  join f y on y.lang = c.lang and y.phrase = array_to_string(c.w[c.k + 1:c.m], ' ') and y.m = c.m - c.k
+  qualify row_number() over (partition by c.lang, c.phrase order by score, c.k) = 1
+), inner_grams as (
+  select lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) as phrase, a as longer
+  from candidates where m = 3
+), covering as (
+  select lang, phrase, max(longer) as longer from inner_grams group by all
+), totals as (
+  select lang, count(*) as n from places group by lang
+)
+select s.lang, row_number() over (partition by s.lang order by s.score desc, s.a desc, s.phrase) as rank,
+       s.phrase, s.a, s.l, s.r, t.n, s.score::bigint as score
+from scored s left join covering c using (lang, phrase) join totals t on t.lang = s.lang
+where c.longer is null or 100 * c.longer < {phrases.INSIDE} * s.a
+qualify rank <= {phrases.TOP}
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
@@ -164,8 +211,10 @@ QUERIES: dict[str, Query] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_licenses": op9_licenses,
     "op10_quality_rules": op10_quality_rules,
+    "op13_phrases": op13_phrases,
 }
 
 CHECKS: dict[str, str] = {
     "op10_quality_rules": _quality_rules_sql(),
+    "op13_phrases": _phrases_sql(),
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.llm import ann, bpe, langid, licenses, packing, phrases, quality, repeats, rules, simhash, toxicity
+from chatlake.llm import ann, bpe, langid, licenses, packing, phrases, quality, repeats, rules, simhash, spelling, toxicity
 from chatlake.llm.common import fold, read_table
 from chatlake.session import prepare
 
@@ -88,6 +88,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(read_table(prepare(spark), sf_dir, "documents"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(prepare(spark), sf_dir, "documents"))
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(read_table(prepare(spark), sf_dir, "documents"))
 
@@ -211,6 +215,7 @@ QUERIES: dict[str, Query] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_licenses": op9_licenses,
     "op10_quality_rules": op10_quality_rules,
+    "op12_spelling": op12_spelling,
     "op13_phrases": op13_phrases,
 }
 

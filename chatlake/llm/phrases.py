@@ -17,23 +17,40 @@ and decimals without rounding, for up to 10**13 occurrences.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatlake.llm.common import LOWER as LOWER_BYTES
+from chatlake.llm.common import runs, sample_rows, slices, text_bytes
 from chatlake.session import cut_lineage
 
+#: A-Z are lower-cased by the same table; in SQL the two texts say so.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Signs that end a piece, besides the line feed itself.
-BREAKS = ".,;:!?\x0b\x0c\r"
-SPACES = r"[\x20\x09]+"
+UNKNOWN = "und"
+#: Bytes that end a piece, and bytes between words.
+BREAKS = b".,;:!?\n\x0b\x0c\r"
+SPACES = b" \t"
+_WORD, _SPACE, _BREAK = range(3)
+_KIND = np.zeros(256, np.uint8)
+_KIND[list(SPACES)] = _SPACE
+_KIND[list(BREAKS)] = _BREAK
 
 MAX_WORDS = 3
 MIN_COUNT = 10
 #: A phrase goes if this share (in per cent) of its occurrences lies inside one longer phrase.
 INSIDE = 50
 TOP = 2000
+#: Bytes of text whose windows are combined at once.
+SLICE = 16 << 20
+#: Documents that are looked at for prefixes with a great share of all windows; which share is great (one in so
+#: many), and over how many groups the windows of such a prefix are spread.
+HOT_ROWS, HOT_SHARE, SALTS = 1000, 500, 256
 _SCALE = 1_000_000
 
 
@@ -41,20 +58,92 @@ def _places(words: int) -> list[str]:
     return [f"w{i}" for i in range(1, words + 1)]
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to about ``size`` bytes of text; a longer text stands alone."""
+    held, held_bytes = [], 0
+    for part in slices(batches, size):
+        part_bytes = part.column("text").nbytes
+        if held and held_bytes + part_bytes > size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, held_bytes = [], 0
+        held.append(part)
+        held_bytes += part_bytes
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _columns(texts: pa.Array, langs: pa.Array, words: int) -> pa.RecordBatch:
+    """lang, w1 .. wk, c: the distinct windows of some texts in order, each with how often it occurs."""
+    data, offsets = text_bytes(texts)
+    kinds = _KIND[data]
+    starts, ends = runs(kinds == _WORD, offsets)
+    # breaks and text borders before a word number its piece
+    broken = np.cumsum(kinds == _BREAK)
+    row = np.searchsorted(offsets, starts, side="right") - 1
+    piece = row + (broken[starts] if len(starts) else starts)
+    held = pa.py_buffer(LOWER_BYTES[data[kinds == _WORD]])
+    bounds = pa.py_buffer(np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32))
+    spelt = pa.Array.from_buffers(pa.string(), len(starts), [None, bounds, held]).dictionary_encode()
+    tongue = langs.fill_null(UNKNOWN).dictionary_encode()
+
+    # numbers in the order of the words, zero for what lies beyond the end of the piece
+    number, ordered = _ordered(spelt)
+    lang_number, lang_ordered = _ordered(tongue)
+    lead = np.zeros((len(starts), words), np.int64)
+    for k in range(words):
+        same = piece[k:] == piece[: len(piece) - k]
+        lead[: len(same), k] = np.where(same, number[k:] + 1, 0)
+    # one number for each window, as wide as these words need; wider ones are ranked on the way
+    key = lang_number[row]
+    for k in range(words):
+        if int(key.max(initial=0) + 1) * (len(ordered) + 1) >= 1 << 62:
+            key = np.unique(key, return_inverse=True)[1]
+        key = key * (len(ordered) + 1) + lead[:, k]
+    _, first, count = np.unique(key, return_index=True, return_counts=True)
+    columns = [lang_ordered.take(pa.array(lang_number[row[first]]))]
+    for k in range(words):
+        places = lead[first, k]
+        columns.append(ordered.take(pa.array(places - 1, mask=places == 0)))
+    return pa.RecordBatch.from_arrays([*columns, pa.array(count)], ["lang", *_places(words), "c"])
+
+
+def _ordered(coded: pa.DictionaryArray) -> tuple[np.ndarray, pa.Array]:
+    """The place of each value among the distinct ones in byte order, and these."""
+    order = pc.array_sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return rank[coded.indices.to_numpy()], coded.dictionary.take(pa.array(order))
+
+
 def longest_windows(docs: DataFrame, words: int = MAX_WORDS) -> DataFrame:
-    """lang, w1 .. wk of every word occurrence; lead columns beyond the end of its piece are null."""
-    lowered = F.translate(F.col("text"), UPPER + BREAKS, LOWER + "\n" * len(BREAKS))
-    pieces = docs.where(F.length("text") > 0).select(
-        F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(F.split(lowered, "\n")).alias("piece")
-    )
-    split = pieces.where(F.length("piece") > 0).select(
-        "lang", F.array_remove(F.split("piece", SPACES), "").alias("ws")
-    )
-    # the list beside itself, moved by one word more each time; arrays_zip pads the shorter ones
-    moved = [F.col("ws"), *[F.slice("ws", k, F.greatest(F.size("ws") - (k - 1), F.lit(0))) for k in range(2, words + 1)]]
-    zipped = F.arrays_zip(*[column.alias(name) for column, name in zip(moved, _places(words), strict=True)])
-    rows = split.select("lang", F.explode(zipped).alias("z"))
-    return rows.select("lang", *[F.col("z")[name].alias(name) for name in _places(words)])
+    """lang, w1 .. wk, c: windows of every word and its lead columns; beyond the end of the piece they are null.
+
+    Windows of a slice of texts are combined and put in order, so that what moves is small.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in gathered(batches, SLICE):
+            yield _columns(part.column("text"), part.column("lang"), words)
+
+    names = ", ".join(f"{name} string" for name in _places(words))
+    return docs.select("text", F.col("lang").cast("string")).mapInArrow(run, f"lang string, {names}, c long")
+
+
+def hot_prefixes(docs: DataFrame, words: int = MAX_WORDS, rows: int = HOT_ROWS, share: int = HOT_SHARE) -> list[str]:
+    """Prefixes that hold more than one in ``share`` windows of a sample of ``rows`` documents: ``share`` at most.
+
+    Only where rows go depends on them, no count does.
+    """
+    ids = F.broadcast(sample_rows(docs.select("doc_id"), "doc_id", rows).dropDuplicates())
+    windows = longest_windows(docs.join(ids, "doc_id"), words).select(_prefix(words).alias("p"))
+    sizes = cut_lineage(windows.groupBy("p").agg(F.count(F.lit(1)).alias("size")))
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    return [row["p"] for row in sizes.where(F.col("size") * share > total).collect()]
+
+
+def _prefix(words: int) -> Column:
+    """Language and all words but the last as one text."""
+    return F.concat_ws("\n", "lang", *_places(words)[:-1])
 
 
 def phrase_counts(docs: DataFrame, words: int = MAX_WORDS, min_count: int = MIN_COUNT) -> DataFrame:
@@ -63,9 +152,24 @@ def phrase_counts(docs: DataFrame, words: int = MAX_WORDS, min_count: int = MIN_
     Phrases rarer than ``min_count`` are not held.
     """
     names = _places(words)
-    windows = longest_windows(docs, words).groupBy("lang", *names).agg(F.count(F.lit(1)).alias("c"))
-    # a rare longest window counts for its prefixes only, so that the sums below meet far fewer keys
-    windows = windows.withColumn(names[-1], F.when(F.col("c") >= min_count, F.col(names[-1])))
+    hot = hot_prefixes(docs, words)
+    # windows of one prefix meet in one task, those of a hot one in many
+    windows, prefix, salted = longest_windows(docs, words), ["lang", *names[:-1]], F.lit(False)
+    if hot:
+        spread = F.pmod(F.xxhash64(names[-1]), F.lit(SALTS)).cast("int")
+        windows = windows.withColumn("salt", F.when(_prefix(words).isin(hot), spread).otherwise(-1))
+        prefix, salted = [*prefix, "salt"], F.col("salt") >= 0
+    windows = windows.repartition(*prefix).groupBy(*prefix, names[-1]).agg(F.sum("c").alias("c"))
+    # a rare window counts for its prefixes only, and a rare prefix for shorter ones, so that few keys are left to sum
+    together = F.sum("c").over(Window.partitionBy(*prefix))
+    windows = windows.withColumn("held", together).select(
+        "lang",
+        *names[:-2],
+        F.when(salted | (F.col("held") >= min_count), F.col(names[-2])).alias(names[-2]),
+        F.when(F.col("c") >= min_count, F.col(names[-1])).alias(names[-1]),
+        "c",
+    )
+    windows = windows.groupBy("lang", *names).agg(F.sum("c").alias("c"))
     level = F.lit(words + 1) - F.bit_count(F.grouping_id())
     summed = windows.rollup("lang", *names).agg(F.sum("c").alias("f"), level.cast("int").alias("level"))
     size = F.col("level") - 1

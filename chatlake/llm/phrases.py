@@ -47,7 +47,7 @@ MIN_COUNT = 10
 INSIDE = 50
 TOP = 2000
 #: Bytes of text whose windows are combined at once.
-SLICE = 16 << 20
+SLICE = 4 << 20
 #: Documents that are looked at for prefixes with a great share of all windows; which share is great (one in so
 #: many), and over how many groups the windows of such a prefix are spread.
 HOT_ROWS, HOT_SHARE, SALTS = 1000, 500, 256
@@ -78,7 +78,7 @@ def _columns(texts: pa.Array, langs: pa.Array, words: int) -> pa.RecordBatch:
     kinds = _KIND[data]
     starts, ends = runs(kinds == _WORD, offsets)
     # breaks and text borders before a word number its piece
-    broken = np.cumsum(kinds == _BREAK)
+    broken = np.cumsum(kinds == _BREAK, dtype=np.int32)
     row = np.searchsorted(offsets, starts, side="right") - 1
     piece = row + (broken[starts] if len(starts) else starts)
     held = pa.py_buffer(LOWER_BYTES[data[kinds == _WORD]])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.llm import ann, bpe, langid, licenses, packing, phrases, quality, repeats, rules, simhash, spelling, toxicity
+from chatlake.llm import ann, bpe, langid, licenses, packing, pages, phrases, quality, repeats, rules, simhash, spelling, toxicity
 from chatlake.llm.common import fold, read_table
 from chatlake.session import prepare
 
@@ -88,6 +88,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(read_table(prepare(spark), sf_dir, "documents"))
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(prepare(spark), sf_dir, "pages")
+    return pages.extract(rows, pages.train(rows))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(read_table(prepare(spark), sf_dir, "documents"))
 
@@ -215,6 +220,7 @@ QUERIES: dict[str, Query] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_licenses": op9_licenses,
     "op10_quality_rules": op10_quality_rules,
+    "op11_html_text": op11_html_text,
     "op12_spelling": op12_spelling,
     "op13_phrases": op13_phrases,
 }

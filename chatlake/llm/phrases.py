@@ -23,7 +23,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatlake.llm.common import LOWER as LOWER_BYTES
@@ -73,7 +73,7 @@ def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
 
 
 def _columns(texts: pa.Array, langs: pa.Array, words: int) -> pa.RecordBatch:
-    """lang, w1 .. wk, c: the distinct windows of some texts in order, each with how often it occurs."""
+    """prefix, last, c: the distinct windows of some texts in order, each with how often it occurs."""
     data, offsets = text_bytes(texts)
     kinds = _KIND[data]
     starts, ends = runs(kinds == _WORD, offsets)
@@ -100,11 +100,13 @@ def _columns(texts: pa.Array, langs: pa.Array, words: int) -> pa.RecordBatch:
             key = np.unique(key, return_inverse=True)[1]
         key = key * (len(ordered) + 1) + lead[:, k]
     _, first, count = np.unique(key, return_index=True, return_counts=True)
-    columns = [lang_ordered.take(pa.array(lang_number[row[first]]))]
+    spelt = []
     for k in range(words):
         places = lead[first, k]
-        columns.append(ordered.take(pa.array(places - 1, mask=places == 0)))
-    return pa.RecordBatch.from_arrays([*columns, pa.array(count)], ["lang", *_places(words), "c"])
+        spelt.append(ordered.take(pa.array(places - 1, mask=places == 0)))
+    tongues = lang_ordered.take(pa.array(lang_number[row[first]]))
+    prefix = pc.binary_join_element_wise(*spelt[:-1], tongues, "\n", null_handling="replace", null_replacement="")
+    return pa.RecordBatch.from_arrays([prefix, spelt[-1], pa.array(count)], ["prefix", "last", "c"])
 
 
 def _ordered(coded: pa.DictionaryArray) -> tuple[np.ndarray, pa.Array]:
@@ -116,17 +118,19 @@ def _ordered(coded: pa.DictionaryArray) -> tuple[np.ndarray, pa.Array]:
 
 
 def longest_windows(docs: DataFrame, words: int = MAX_WORDS) -> DataFrame:
-    """lang, w1 .. wk, c: windows of every word and its lead columns; beyond the end of the piece they are null.
+    """prefix, last, c: every word with its lead columns, and how often this window occurs in a slice of texts.
 
-    Windows of a slice of texts are combined and put in order, so that what moves is small.
+    All columns but the last are held in one text, a line each and the language after them, which is half as
+    long as a row of columns; beyond the end of the piece a line is empty, and the last column null. Windows of a
+    slice come in order, so neighbours are alike and what moves is small.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in gathered(batches, SLICE):
             yield _columns(part.column("text"), part.column("lang"), words)
 
-    names = ", ".join(f"{name} string" for name in _places(words))
-    return docs.select("text", F.col("lang").cast("string")).mapInArrow(run, f"lang string, {names}, c long")
+    chosen = docs.select("text", F.col("lang").cast("string").alias("lang"))
+    return chosen.mapInArrow(run, "prefix string, last string, c long")
 
 
 def hot_prefixes(docs: DataFrame, words: int = MAX_WORDS, rows: int = HOT_ROWS, share: int = HOT_SHARE) -> list[str]:
@@ -135,15 +139,10 @@ def hot_prefixes(docs: DataFrame, words: int = MAX_WORDS, rows: int = HOT_ROWS,
     Only where rows go depends on them, no count does.
     """
     ids = F.broadcast(sample_rows(docs.select("doc_id"), "doc_id", rows).dropDuplicates())
-    windows = longest_windows(docs.join(ids, "doc_id"), words).select(_prefix(words).alias("p"))
-    sizes = cut_lineage(windows.groupBy("p").agg(F.count(F.lit(1)).alias("size")))
+    windows = longest_windows(docs.join(ids, "doc_id"), words)
+    sizes = cut_lineage(windows.groupBy("prefix").agg(F.count(F.lit(1)).alias("size")))
     total = sizes.agg(F.sum("size")).first()[0] or 0
-    return [row["p"] for row in sizes.where(F.col("size") * share > total).collect()]
-
-
-def _prefix(words: int) -> Column:
-    """Language and all words but the last as one text."""
-    return F.concat_ws("\n", "lang", *_places(words)[:-1])
+    return [row["prefix"] for row in sizes.where(F.col("size") * share > total).collect()]
 
 
 def phrase_counts(docs: DataFrame, words: int = MAX_WORDS, min_count: int = MIN_COUNT) -> DataFrame:
@@ -154,24 +153,31 @@ def phrase_counts(docs: DataFrame, words: int = MAX_WORDS, min_count: int = MIN_
     names = _places(words)
     hot = hot_prefixes(docs, words)
     # windows of one prefix meet in one task, those of a hot one in many
-    windows, prefix, salted = longest_windows(docs, words), ["lang", *names[:-1]], F.lit(False)
+    windows, key, salted = longest_windows(docs, words), ["prefix"], F.lit(False)
     if hot:
-        spread = F.pmod(F.xxhash64(names[-1]), F.lit(SALTS)).cast("int")
-        windows = windows.withColumn("salt", F.when(_prefix(words).isin(hot), spread).otherwise(-1))
-        prefix, salted = [*prefix, "salt"], F.col("salt") >= 0
-    windows = windows.repartition(*prefix).groupBy(*prefix, names[-1]).agg(F.sum("c").alias("c"))
+        spread = F.pmod(F.xxhash64("last"), F.lit(SALTS)).cast("int")
+        windows = windows.withColumn("salt", F.when(F.col("prefix").isin(hot), spread).otherwise(-1))
+        key, salted = ["prefix", "salt"], F.col("salt") >= 0
+    windows = windows.repartition(*key).groupBy(*key, "last").agg(F.sum("c").alias("c"))
     # a rare window counts for its prefixes only, and a rare prefix for shorter ones, so that few keys are left to sum
-    together = F.sum("c").over(Window.partitionBy(*prefix))
-    windows = windows.withColumn("held", together).select(
-        "lang",
-        *names[:-2],
-        F.when(salted | (F.col("held") >= min_count), F.col(names[-2])).alias(names[-2]),
-        F.when(F.col("c") >= min_count, F.col(names[-1])).alias(names[-1]),
+    together = F.sum("c").over(Window.partitionBy(*key))
+    lines = lambda k: F.substring_index("prefix", "\n", k)
+    lang = F.substring("prefix", F.char_length(lines(words - 1)) + 2, F.char_length("prefix"))
+    shorter = F.concat_ws("\n", *([lines(words - 2)] if words > 2 else []), F.lit(""), lang)
+    folded = windows.withColumn("held", together).select(
+        F.when(salted | (F.col("held") >= min_count), F.col("prefix")).otherwise(shorter).alias("prefix"),
+        F.when(F.col("c") >= min_count, F.col("last")).alias("last"),
+        "c",
+    )
+    split = F.split("prefix", "\n", words)
+    columns = folded.groupBy("prefix", "last").agg(F.sum("c").alias("c")).select(
+        split[words - 1].alias("lang"),
+        *[F.nullif(split[i], F.lit("")).alias(name) for i, name in enumerate(names[:-1])],
+        F.col("last").alias(names[-1]),
         "c",
     )
-    windows = windows.groupBy("lang", *names).agg(F.sum("c").alias("c"))
     level = F.lit(words + 1) - F.bit_count(F.grouping_id())
-    summed = windows.rollup("lang", *names).agg(F.sum("c").alias("f"), level.cast("int").alias("level"))
+    summed = columns.rollup("lang", *names).agg(F.sum("c").alias("f"), level.cast("int").alias("level"))
     size = F.col("level") - 1
     # a row whose last place is padded is no phrase: the shorter prefix counts it
     real = reduce(lambda a, i: a & ((size < i) | F.col(names[i - 1]).isNotNull()), range(1, words + 1), F.lit(True))

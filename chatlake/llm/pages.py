@@ -56,6 +56,10 @@ NEVER = frozenset(
     "menu nav noembed noframes noscript object option optgroup script select style svg template textarea title "
     "video xmp".split()
 )
+#: Left out inside of a line, which goes on after them.
+WITHIN_LINE = INLINE | frozenset(
+    "audio button canvas datalist embed iframe label map noscript object script select style svg template textarea video".split()
+)
 #: Opening one of these ends an open paragraph.
 ENDS_PARAGRAPH = frozenset(
     "address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form "
@@ -217,7 +221,7 @@ class _Reader:
             # a menu or page header that was never closed ends where the content begins
             while self.stack and self.stack[-1][0] in ("nav", "header", "p", "ul", "ol", "li", "a", "b", "span"):
                 self._pop()
-        if name not in INLINE:
+        if name not in WITHIN_LINE:
             self.block += 1
         if not self.out:
             self.page.add("#skip" if out else name, 0, self.block, "")
@@ -230,7 +234,7 @@ class _Reader:
             self.articles += not out and name in ("article", "main")
 
     def close(self, name: str) -> None:
-        if name not in INLINE:
+        if name not in WITHIN_LINE:
             self.block += 1
         if name in ("html", "body") or not self.held[name]:
             return

@@ -3,16 +3,18 @@
 Distinct pre-tokens are put into padded matrices by length, one row each, starting from single bytes. In
 each round every row merges its leftmost pair of lowest rank: ranks of pairs come from a hash table, the
 row is compacted, and only the two pairs beside the merge are looked up again. Rows without a known pair
-are done. That is the merge order of the public libraries, for any text.
+are done. That is the merge order of the public libraries, for any text. A matrix row costs the square of its
+length, so a pre-token beyond ``WIDEST`` bytes is merged in a linked list with a heap of its pairs instead, in the
+same order (lowest rank, then leftmost) and in n log n steps.
 
-Null text is empty and has no ids. A very long pre-token is a matrix of its own; its work grows with the
-square of its length. Repeated rows are encoded each; an empty table gives no rows. Only doc_id and text
+Null text is empty and has no ids. Texts and pre-tokens may be of any length. Repeated rows are encoded each; an empty table gives no rows. Only doc_id and text
 of the input are looked at.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +28,8 @@ from chatlake.llm.pretokens import Encoder, HashTable
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Cells of one matrix.
 CELLS = 1 << 20
+#: Bytes of the longest pre-token that is a row of a matrix.
+WIDEST = 512
 _NONE = np.int32(0x7FFFFFFF)
 
 
@@ -49,6 +53,7 @@ class Vocabulary:
         self.table = HashTable()
         self.table.add(self._keys(np.array(lefts, np.int64), np.array(rights, np.int64)))
         self.merged = np.array(merged, np.int32)
+        self.pairs = dict(zip(zip(lefts, rights, strict=True), merged, strict=True))
         tokens = [b""] * size
         for token, rank in ranks.items():
             tokens[rank] = token
@@ -102,6 +107,34 @@ class Vocabulary:
             ranks[each[right], best[right]] = self.rank(rows[each[right], best[right]], rows[each[right], best[right] + 1])
         return result
 
+    def _merge_long(self, row: np.ndarray) -> np.ndarray:
+        """Ids of one row of single-byte ids: a list of neighbours, and a heap of pairs by rank and place."""
+        ids = row.tolist()
+        ranks = self.rank(row[:-1], row[1:])
+        some = np.flatnonzero(ranks != _NONE)
+        heap = list(zip(ranks[some].tolist(), some.tolist(), strict=True))
+        heapq.heapify(heap)
+        ranks, gone = [*ranks.tolist(), -1], -1
+        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+        while heap:
+            rank, at = heapq.heappop(heap)
+            if ranks[at] != rank:  # one of the two has merged since
+                continue
+            second = after[at]
+            ids[at], ids[second], ranks[second] = rank, gone, -1
+            after[at] = after[second]
+            if after[at] < len(ids):
+                before[after[at]] = at
+            for place in (before[at], at):
+                if place < 0:
+                    continue
+                follows = after[place]
+                found = self.pairs.get((ids[place], ids[follows]), -1) if follows < len(ids) else -1
+                ranks[place] = found
+                if found >= 0:
+                    heapq.heappush(heap, (found, place))
+        return np.array([i for i in ids if i >= 0], np.int32)
+
     def encode(self, words: list[str]) -> list[np.ndarray]:
         """Ids of pre-tokens, by matrices of rows of similar length."""
         data = [word.encode() for word in words]
@@ -110,6 +143,10 @@ class Vocabulary:
         starts = np.cumsum(lengths) - lengths
         result: list[np.ndarray] = [flat[:0]] * len(words)
         order = np.argsort(lengths, kind="stable")
+        short = int(np.searchsorted(lengths[order], WIDEST, side="right"))
+        for place in order[short:].tolist():
+            result[place] = self._merge_long(flat[starts[place] : starts[place] + lengths[place]])
+        order = order[:short]
         at = 0
         while at < len(order):
             width = int(lengths[order[at]])

@@ -2,8 +2,9 @@
 
 The pre-tokens of a slice of texts are found together, as runs of code points of one class; the rules below
 are those of the byte-level pattern (letters, numbers or signs, each with one leading space; contractions;
-white space up to the last one). Pre-tokens are known by a 64-bit hash; ids of known ones are kept in flat
-arrays of bounded size, new ones are encoded together.
+white space up to the last one). Pre-tokens are found by a 64-bit hash and then compared code point by code
+point, so two with one hash never share ids; ids of known ones are kept in flat arrays of bounded size, new ones
+are encoded together. Very long ones are encoded where they stand and not remembered.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from chatlake.llm.common import gather_spans, prefix_sums, span_hashes
 
 #: Pre-tokens remembered per worker; beyond it the memory starts afresh. It only saves work.
 MEMORY = 400_000
+#: Code points remembered per worker, and those of the longest pre-token that is.
+MEMORY_POINTS, LONGEST = 1 << 23, 1 << 12
 
 _LETTER, _NUMBER, _OTHER, _SPACE = range(4)
 _CLASSES: list[np.ndarray] = []
@@ -134,29 +137,47 @@ class Encoder:
     def clear(self) -> None:
         self.table = HashTable()
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 14, np.int64)
-        self.lengths = np.zeros(1 << 14, np.int64)
-        self.used = 0
+        self.points = np.zeros(1 << 16, np.uint32)
+        self.starts, self.lengths, self.places, self.sizes = (np.zeros(1 << 14, np.int64) for _ in range(4))
+        self.used = self.used_points = 0
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+    def _flat(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = self.encode(words)
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        total, first = int(lengths.sum()), self.table.size
-        sizes = {"ids": self.used + total, "starts": first + len(words), "lengths": first + len(words)}
-        for name, size in sizes.items():
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        flat, lengths = self._flat(words)
+        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        first, last = self.table.size, self.table.size + len(words)
+        ends = {"ids": self.used + len(flat), "points": self.used_points + len(points)}
+        for name, size in (ends | dict.fromkeys(("starts", "lengths", "places", "sizes"), last)).items():
             old = getattr(self, name)
             if len(old) < size:
                 setattr(self, name, np.concatenate([old, np.zeros(max(len(old), size), old.dtype)]))
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, total)
-        self.ids[self.used : self.used + total] = flat
-        self.starts[first : first + len(words)] = self.used + np.cumsum(lengths) - lengths
-        self.lengths[first : first + len(words)] = lengths
-        self.used += total
+        self.ids[self.used : ends["ids"]] = flat
+        self.points[self.used_points : ends["points"]] = points
+        self.starts[first:last] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[first:last] = lengths
+        self.places[first:last] = self.used_points + np.cumsum(sizes) - sizes
+        self.sizes[first:last] = sizes
+        self.used, self.used_points = ends["ids"], ends["points"]
         self.table.add(hashes)
 
+    def _same(self, known: np.ndarray, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether each remembered pre-token holds the very code points."""
+        same = self.sizes[known] == sizes
+        rows = np.flatnonzero(same)
+        here = points[gather_spans(starts[rows], sizes[rows])]
+        differ = np.flatnonzero(here != self.points[gather_spans(self.places[known[rows]], sizes[rows])])
+        if len(differ):
+            same[rows[np.searchsorted(np.cumsum(sizes[rows]), differ, side="right")]] = False
+        return same
+
     def __call__(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and where each text's ids start (n + 1 offsets)."""
-        if self.table.size > MEMORY:
+        if self.table.size > MEMORY or self.used_points > MEMORY_POINTS:
             self.clear()
         texts = [text or "" for text in texts]
         whole = "".join(texts)
@@ -165,16 +186,28 @@ class Encoder:
         if not len(points):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         starts = pretoken_starts(points, offsets)
-        ends = np.append(starts[1:], len(points))
-        hashes = np.maximum(span_hashes(prefix_sums(points), starts, ends), np.uint64(1))
+        sizes = np.diff(starts, append=len(points))
+        spell = lambda rows: [whole[a : a + b] for a, b in zip(starts[rows].tolist(), sizes[rows].tolist(), strict=True)]
+        hashes = np.maximum(span_hashes(prefix_sums(points), starts, starts + sizes), np.uint64(1))
         places = self.table.find(hashes)
-        open_ = np.flatnonzero(places < 0)
+        open_ = np.flatnonzero((places < 0) & (sizes <= LONGEST))
         if len(open_):
             new, first = np.unique(hashes[open_], return_index=True)
-            at = open_[first]
-            self._learn(new, [whole[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            self._learn(new, spell(open_[first]))
             places[open_] = self.table.find(hashes[open_])
-        lengths = self.lengths[places]
-        ids = self.ids[gather_spans(self.starts[places], lengths)]
+        known = np.flatnonzero(places >= 0)
+        fits = self._same(places[known], points, starts[known], sizes[known])
+        at, lengths = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        at[known], lengths[known] = self.starts[places[known]], self.lengths[places[known]]
+        held = self.ids
+        # another pre-token's hash, or too long to remember
+        apart = np.ones(len(starts), bool)
+        apart[known[fits]] = False
+        rows = np.flatnonzero(apart)
+        if len(rows):
+            flat, lengths[rows] = self._flat(spell(rows))
+            at[rows] = self.used + np.cumsum(lengths[rows]) - lengths[rows]
+            held = np.concatenate([self.ids[: self.used], flat])
+        ids = held[gather_spans(at, lengths)]
         until = np.concatenate([[0], np.cumsum(lengths)])
         return ids, until[np.searchsorted(starts, offsets)]

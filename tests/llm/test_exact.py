@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -48,6 +49,41 @@ def test_ids_of_random_texts() -> None:
         assert other[places[i] : places[i + 1]].tolist() == hub.encode(text, add_special_tokens=False).ids
 
 
+def test_pretokens_of_one_hash_keep_their_ids() -> None:
+    """The sums of these words and of their complements are equal for every odd base."""
+    public, hub = _encoding(), _tokenizer()
+    texts = ["y"]
+    for bits in (10, 11, 13):
+        word = "".join("ab"[i.bit_count() % 2] for i in range(1 << bits))
+        texts += [word, word.translate(str.maketrans("ab", "ba")), word]
+    for encode, one in (
+        (bpe.vocabulary(bpe.RANKS)[1], public.encode_ordinary),
+        (packing.tokenizer_ids(packing.TOKENIZER), lambda text: hub.encode(text, add_special_tokens=False).ids),
+    ):
+        ids, at = encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [one(text) for text in texts]
+        assert [encode([text])[0].tolist() for text in texts] == [one(text) for text in texts]
+
+
+def test_long_runs_merge_as_short_ones(monkeypatch) -> None:
+    r = random.Random(6)
+    words = ["".join(r.choice(pool) for _ in range(n)) for pool in ("ab", "etaoinshrdlu", "é日a", "a") for n in (1, 2, 3, 40, 300, 700)]
+    known = bpe.Vocabulary(bpe.RANKS)
+    rows = [ids.tolist() for ids in known.encode(words)]
+    monkeypatch.setattr(bpe, "WIDEST", 0)
+    assert [ids.tolist() for ids in known.encode(words)] == rows == [_encoding().encode_ordinary(word) for word in words]
+
+
+def test_a_very_long_run_takes_seconds() -> None:
+    r = random.Random(7)
+    text = "".join(r.choice("etaoinshrdlu") for _ in range(200_000))
+    start = time.perf_counter()
+    ids, _ = bpe.vocabulary(bpe.RANKS)[1]([text])
+    assert time.perf_counter() - start < 20
+    assert bpe.vocabulary(bpe.RANKS)[0].decode(ids).tobytes() == text.encode()
+    assert ids.tolist()[:1000] == bpe.vocabulary(bpe.RANKS)[1]([text[:3000]])[0].tolist()[:1000]
+
+
 def test_forgetting_pretokens_changes_nothing(monkeypatch) -> None:
     texts = _random_texts(200)
     known = bpe.Vocabulary(bpe.RANKS)

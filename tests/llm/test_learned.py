@@ -14,6 +14,7 @@ import corpus_pipeline
 from chatlake.llm import ann, calibration, catalog, langid, packing, quality, toxicity
 from chatlake.llm.common import read_table
 from tests.llm import brute
+from tests.llm.test_similar import _grams, _roots
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -211,7 +212,7 @@ def test_stages_in_turn(spark, labels) -> None:
 
     single = third(spark, known, SMALL).cache()
     rows = sorted(known.select("doc_id", "text").collect())
-    roots = brute.classes([brute.fingerprint(r["text"]) for r in rows])
+    roots = _roots([_grams(r["text"]) for r in rows])
     assert {r["doc_id"] for r in single.collect()} == {rows[k]["doc_id"] for k in set(roots)}
 
     cut = fourth(spark, single, SMALL).cache()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from chatlake.catalog.registry import query
 from chatlake.catalog.rooms import BATCHED, CHUNKS, OPTIONS, batched_xml, chat, chat_members, sequenced_chat
 from chatlake.functions import topics as fn
+from chatlake.functions.responses import register_parse_topics
 from chatlake.operators import enrichment
 from chatlake.operators import topics as top
 from chatlake.plans import analysis, prompts, report
@@ -184,15 +185,15 @@ def united_lists(t: Tables) -> DataFrame:
 # -- responses ----------------------------------------------------------------------------
 
 
-@query(
-    "K03_parsed_responses",
-    """
-    select conv_id * 1000 + turn as batch_no, concat('room_', conv_id % 7) as chatroom, concat('k', conv_id % 4, ',k', conv_id % 6) as keywords,
-           concat('1-', conv_id % 3 + 1) as indices, cast(conv_id % 3 + 1 as int) as message_count, round((conv_id % 9 + 1) / 10.0, 6) as confidence,
-           concat('n', conv_id) as notes, '未命名话题' as title, '其他' as category
-    from conversations
-    """,
-)
+_PARSED = """
+select conv_id * 1000 + turn as batch_no, concat('room_', conv_id % 7) as chatroom, concat('k', conv_id % 4, ',k', conv_id % 6) as keywords,
+       concat('1-', conv_id % 3 + 1) as indices, cast(conv_id % 3 + 1 as int) as message_count, round((conv_id % 9 + 1) / 10.0, 6) as confidence,
+       concat('n', conv_id) as notes, '未命名话题' as title, '其他' as category
+from conversations
+"""
+
+
+@query("K03_parsed_responses", _PARSED)
 def parsed_responses(t: Tables) -> DataFrame:
     rows = top.parse_responses(t.fx_responses)
     return rows.select(
@@ -202,6 +203,20 @@ def parsed_responses(t: Tables) -> DataFrame:
     )
 
 
+@query("K03_table_function", _PARSED)
+def table_function(t: Tables) -> DataFrame:
+    """The same by ``parse_topics`` in SQL."""
+    register_parse_topics(t.spark)
+    return t.spark.sql(
+        """
+        select r.batch_no, r.chatroom, array_join(p.keywords, ',') as keywords, array_join(p.message_indices, ',') as indices,
+               p.message_count, round(p.confidence, 6) as confidence, p.notes, p.title, p.category
+        from {responses} r, lateral parse_topics(r.response) p
+        """,
+        responses=t.fx_responses,
+    )
+
+
 @query("K03_parse_warnings", "select batch_no, 'no_topic_blocks_found' as warning from fx_responses where batch_no % 4 = 1")
 def parse_warnings(t: Tables) -> DataFrame:
     spoiled = t.fx_responses.withColumn(

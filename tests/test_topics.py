@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
+from chatlake.functions import responses
 from chatlake.functions import topics as fn
 from chatlake.operators import topics as top
 
@@ -135,6 +136,63 @@ def test_response_rules(spark) -> None:
     assert warnings == {2: "no_topic_blocks_found", 3: "no_topics_parsed"}
 
 
+def _written(rng: random.Random) -> tuple[str, dict | None]:
+    """A topic as a model might write it, and what it says."""
+    text, said = [], {"title": "", "category": "", "summary": "", "time_range": "", "notes": "", "count": None, "confidence": 1.0}
+    lists: dict[str, list[str]] = {"participants": [], "message_ids": [], "message_indices": [], "keywords": []}
+    names = list(lists) + ["title", "category", "summary", "time_range", "notes", "message_count", "confidence"]
+    fields = [rng.choice(names) for _ in range(rng.randint(0, 9))]
+    for name in fields:
+        spelt = rng.choice([name, name.upper(), {"title": "Topic_Title", "summary": "topic_summary"}.get(name, name)])
+        gap = rng.choice([": ", ":", " : ", ":\u3000"])
+        if name in lists:
+            inline, listed = ([f"i{rng.randrange(50)}" for _ in range(rng.randint(0, 3))] for _ in range(2))
+            quote = rng.choice(["", '"', "'"])
+            text.append(spelt + gap + rng.choice([",", "，", " , "]).join(f"{quote}{item}{quote}" for item in inline))
+            text += [rng.choice(["- ", "  - ", "", " "]) + item for item in listed]
+            lists[name] += inline + listed
+        elif name == "message_count":
+            value, said["count"] = rng.choice([("12", 12), ("1e2", 100), ("-3", 0), ("many", None), ("nan", None), ("5d", None), ("1_0", 10), ("2.9", 2), ("9999999999", None)])
+            text.append(spelt + gap + value)
+        elif name == "confidence":
+            value, said["confidence"] = rng.choice([("0.25", 0.25), ("high", 1.0), (".5", 0.5), ("", 1.0)])
+            text.append(spelt + gap + value)
+        else:
+            parts = [f"p{rng.randrange(50)} q" for _ in range(rng.randint(0, 3))]
+            text.append(spelt + gap + (parts[0] if parts else ""))
+            text += [rng.choice(["", "   "]) + part for part in parts[1:]]
+            said[name] = " ".join(parts)
+        text += rng.choice([[], [], [""], ["  \t"], ["META note: 1", "lost line", "- lost too"]])
+    said["count"] = len(lists["message_ids"]) if said["count"] is None else said["count"]
+    said["title"], said["category"] = said["title"] or top.UNTITLED, said["category"] or top.OTHER
+    stray = rng.choice([[], ["stray line"], ["META head: x"]])
+    return rng.choice(["\n", "\r\n"]).join(stray + text), {**said, **lists} if fields else None
+
+
+def test_written_topics_are_read_back(spark) -> None:
+    rng = random.Random(9)
+    rows, wanted = [], []
+    for number in range(300):
+        blocks = [_written(rng) for _ in range(rng.randint(1, 4))]
+        mark = rng.choice(["<<<TOPIC>>>", "  <<<TOPIC>>>\t"])
+        body = "\n" + "".join(f"{mark}\n{text}\n" for text, _ in blocks)
+        rows.append((number, rng.choice([body, f"title: no<<<RESULT_START>>>{body}<<<RESULT_END>>>\ntitle: no"])))
+        wanted += [(number, i, tuple(said.values())) for i, (_, said) in enumerate(blocks, 1) if said]
+    df = spark.createDataFrame([*rows, (-1, None), (-2, ""), (-3, "title: unmarked")], "n int, response string").repartition(3)
+    parsed = top.parse_responses(df)
+    names = ["title", "category", "summary", "time_range", "notes", "message_count", "confidence", "participants", "message_ids", "message_indices", "keywords"]
+
+    def plain(frame):
+        return sorted((r["n"], r["block_no"], tuple(r[name] for name in names)) for r in frame.collect())
+
+    assert plain(parsed) == sorted(wanted)
+    responses.register_parse_topics(spark)
+    lateral = spark.sql("select a.n, t.* from {a} a, lateral parse_topics(a.response) t", a=df)
+    assert plain(lateral) == sorted(wanted)
+    plans = [frame._jdf.queryExecution().executedPlan().toString() for frame in (parsed, lateral)]
+    assert not any(word in plan for plan in plans for word in ("Python", "Arrow", "Join"))
+
+
 def test_resolve_members_cuts_ranges(spark) -> None:
     topics = spark.createDataFrame(
         [("r", 1, [], ["3-1", "junk", "2000000000-2", "5", "-4"]), ("r", 2, ["given"], ["1"])],

@@ -39,22 +39,30 @@ def current_vectors(t: Tables) -> DataFrame:
     return rows.select("vec_id", "log_no", value.alias("first"))
 
 
-@query(
-    "D03_cosine_top",
+def _cosine_sql(same: str) -> str:
+    exact = "list_cosine_similarity(list_transform(v.embedding, lambda x: cast(x as double)), list_transform(q.embedding, lambda x: cast(x as double)))"
+    return f"""
+    with s as (select q.vec_id as query, v.vec_id, {exact} as exact from embeddings q join embeddings v on v.vec_id <> q.vec_id{same} where q.vec_id % 20 = 0),
+    r as (select *, row_number() over (partition by query order by round(exact, 9) desc, vec_id) as rank from s)
+    select query, cast(rank as int) as rank, vec_id, round(exact, 6) + 0.0 as similarity from r where rank <= 25
     """
-    with q as (select list_transform(embedding, lambda x: cast(x as double)) as e, label from embeddings where vec_id = 0),
-    s as (select vec_id, round(list_cosine_similarity(list_transform(v.embedding, lambda x: cast(x as double)), q.e), 6) as similarity,
-                 list_cosine_similarity(list_transform(v.embedding, lambda x: cast(x as double)), q.e) as exact
-          from embeddings v, q where v.label = q.label)
-    select vec_id, similarity from s order by exact desc, vec_id limit 25
-    """,
-)
+
+
+def _cosine_top(t: Tables, within: list[str]) -> DataFrame:
+    found = vectors.nearest_to_all(t.table("embeddings"), F.col("vec_id") % 20 == 0, 25, key="vec_id", within=within)
+    return found.select("query", "rank", "vec_id", (F.round("similarity", 6) + F.lit(0.0)).alias("similarity"))
+
+
+@query("D03_cosine_top", _cosine_sql(""))
 def cosine_top(t: Tables) -> DataFrame:
-    """The rows most like one vector, among those with its label."""
-    table = t.table("embeddings")
-    asked = table.filter("vec_id = 0").select("embedding", "label").first()
-    found = vectors.nearest(table, asked["embedding"], 25, key="vec_id", where=F.col("label") == asked["label"])
-    return found.select("vec_id", F.round("similarity", 6).alias("similarity"))
+    """The rows most like each of the queries, among all rows."""
+    return _cosine_top(t, [])
+
+
+@query("D03_cosine_top_within", _cosine_sql(" and v.label = q.label"))
+def cosine_top_within(t: Tables) -> DataFrame:
+    """The same among rows with the query's label."""
+    return _cosine_top(t, ["label"])
 
 
 @query("D04_clusters")

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatlake.operators.skew import number_rows
 from chatlake.operators.state import latest
+from chatlake.session import cut_lineage
 
 MAX_TOKENS, OVERLAP = 512, 50
+#: Directions that rows are sorted by for the search, rows of one block, and queries that meet a block at once.
+PIVOTS, BLOCK_ROWS, QUERY_ROWS = 32, 4096, 1024
 
 
 def token_chunks(
@@ -68,6 +74,161 @@ def nearest(
     return scored.orderBy(F.desc("similarity"), key).limit(k)
 
 
+def usable(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
+    """Rows whose vector has a length: not null, not empty, all parts finite and not all zero."""
+    parts = F.transform(vector, lambda x: x.cast("double"))
+    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    some = F.exists(parts, lambda x: x != 0)
+    return vectors.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).where(F.forall(parts, fine) & some)
+
+
+def _unit(rows: pa.Array) -> np.ndarray:
+    """A matrix of unit vectors; very large and very small parts keep their direction."""
+    flat = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    matrix = flat.reshape(len(rows), -1)
+    matrix = matrix / np.abs(matrix).max(axis=1, keepdims=True)
+    return matrix / np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+
+
+def _matrix(data: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(data, np.float64).reshape(-1, size)
+
+
+def _pivoted(rows: DataFrame, key: str, vector: str, within: Sequence[str], pivots: np.ndarray) -> DataFrame:
+    """key, within, unit (bytes), pivot (the nearest one), angle (to it)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK_ROWS):
+                batch = whole.slice(at, BLOCK_ROWS)
+                unit = _unit(batch.column(vector))
+                near = unit @ pivots.T
+                pivot = near.argmax(axis=1)
+                angle = np.arccos(np.clip(near[np.arange(len(unit)), pivot], -1.0, 1.0))
+                columns = [*(batch.column(name) for name in (key, *within)), pa.array([row.tobytes() for row in unit], pa.binary())]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(pivot.astype(np.int32)), pa.array(angle)], [key, *within, "unit", "pivot", "angle"]
+                )
+
+    types = ", ".join(f"`{name}` {rows.schema[name].dataType.simpleString()}" for name in (key, *within))
+    return rows.select(key, *within, vector).mapInArrow(run, f"{types}, unit binary, pivot int, angle double")
+
+
+def _packed(rows: DataFrame, key: str, within: Sequence[str], size: int) -> DataFrame:
+    """Rows of one pivot in blocks of bounded size, nearest to the pivot first: keys, one matrix, the widest angle."""
+    placed = number_rows(rows, [*within, "pivot"], ["angle", key], "place")
+    block = ((F.col("place") - 1) / size).cast("long").alias("block")
+    held = F.array_sort(F.collect_list(F.struct(key, "unit")))
+    packed = placed.groupBy(*within, "pivot", block).agg(
+        F.min("angle").alias("least"), F.max("angle").alias("most"), held.alias("held")
+    )
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                held = row.column("held").flatten()
+                matrix = b"".join(held.field("unit").to_pylist())
+                keys = pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held.field(key))
+                yield pa.RecordBatch.from_arrays(
+                    [*(row.column(name) for name in (*within, "pivot", "block", "least", "most")), keys, pa.array([matrix])],
+                    [*within, "pivot", "block", "least", "most", "keys", "matrix"],
+                )
+
+    types = "".join(f"`{name}` {rows.schema[name].dataType.simpleString()}, " for name in within)
+    kind = rows.schema[key].dataType.simpleString()
+    schema = f"{types}pivot int, block long, least double, most double, keys array<{kind}>, matrix binary"
+    return packed.mapInArrow(join, schema)
+
+
+def nearest_to_all(
+    vectors: DataFrame, asked: Column, k: int, vector: str = "embedding", key: str = "msg_id", within: Sequence[str] = ()
+) -> DataFrame:
+    """query, rank, key, similarity: the ``k`` rows most like each row that ``asked`` holds for, but not itself.
+
+    The search is exact. Rows are sorted by the nearest of a few directions and cut into blocks of bounded size.
+    A block of queries first meets the blocks of its own direction, which gives a similarity that the k nearest
+    of each query reach at least. Of the others it meets only those blocks that may reach it: the angle to a row is
+    at least the angle between both directions less the widest angle in either block. A task multiplies two blocks
+    at a time and keeps the best of each query, so its memory does not depend on the number of rows. ``within``
+    restricts a query to rows that agree with it, as in a search inside a room.
+
+    Rows without a usable vector or key take no part; keys are taken to be distinct. Similarities are compared to
+    nine digits, ties go to the smaller key.
+    """
+    rows = usable(vectors, vector).where(F.col(key).isNotNull())
+    sample = rows.select(vector).orderBy(F.xxhash64(key), key).limit(PIVOTS).collect()
+    kind = vectors.schema[key].dataType.simpleString()
+    if not sample:
+        empty = vectors.limit(0)
+        return empty.select(F.col(key).alias("query"), F.lit(0).alias("rank"), key, F.lit(0.0).alias("similarity"))
+    pivots = _unit(pa.array([[float(x) for x in row[0]] for row in sample]))
+    size, between = pivots.shape[1], np.arccos(np.clip(pivots @ pivots.T, -1.0, 1.0))
+    placed = cut_lineage(_pivoted(rows.withColumn("_asked", asked), key, vector, [*within, "_asked"], pivots))
+    blocks = cut_lineage(_packed(placed, key, within, BLOCK_ROWS))
+    queries = cut_lineage(_packed(placed.where("_asked"), key, within, QUERY_ROWS))
+    queries = queries.select(
+        *within, *[F.col(name).alias(f"q_{name}") for name in ("pivot", "block", "most", "keys", "matrix")]
+    )
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                near = _matrix(row["q_matrix"], size) @ _matrix(row["matrix"], size).T
+                places = {value: i for i, value in enumerate(row["keys"])}
+                for i, query in enumerate(row["q_keys"]):
+                    if query in places:
+                        near[i, places[query]] = -2.0
+                found = min(k, near.shape[1])
+                # rows as near as the k-th are all kept, as ties are settled by key later on
+                least = np.partition(near, near.shape[1] - found, axis=1)[:, near.shape[1] - found] - 1e-8
+                i, j = np.nonzero((near >= least[:, None]) & (near >= row["reached"] - 1e-8))
+                kinds = [batch.schema.field(name).type.value_type for name in ("q_keys", "keys")]
+                pairs = pa.array([row["q_keys"][x] for x in i], kinds[0]), pa.array([row["keys"][x] for x in j], kinds[1])
+                yield pa.RecordBatch.from_arrays([*pairs, pa.array(near[i, j], pa.float64())], ["query", key, "similarity"])
+
+    def meet(pairs: DataFrame) -> DataFrame:
+        # a row is two whole blocks, so pairs are dealt out anew
+        chosen = pairs.select("q_keys", "q_matrix", "keys", "matrix", "reached")
+        return chosen.repartition("q_keys", "keys").mapInArrow(best, f"query {kind}, `{key}` {kind}, similarity double")
+
+    def on(*names: str) -> Column:
+        return [F.col(f"q.{name}").eqNullSafe(F.col(f"b.{name}")) for name in (*within, *names)]
+
+    q, b = queries.withColumn("pivot", F.col("q_pivot")).alias("q"), blocks.alias("b")
+    fields = ["q_keys", "q_matrix", "keys", "matrix"]
+    own = cut_lineage(meet(q.join(b, on("pivot")).select(*fields, F.lit(-1.5).alias("reached"))))
+    # what the k-th of a query's own direction reaches; -1.5 where there are fewer
+    order = Window.partitionBy("query").orderBy(F.desc("similarity"), key)
+    kth = own.withColumn("place", F.row_number().over(order)).where(F.col("place") == k)
+    asking = queries.select(*within, "q_pivot", "q_block", F.explode("q_keys").alias("query"))
+    reached = (
+        asking.join(kth.select("query", "similarity"), "query", "left")
+        .groupBy(*within, "q_pivot", "q_block")
+        .agg(F.min(F.coalesce("similarity", F.lit(-1.5))).alias("reached"))
+    )
+    others = F.explode(F.lit(list(range(len(pivots)))).cast("array<int>")).alias("pivot")
+    same_block = [F.col(f"x.{n}").eqNullSafe(F.col(f"y.{n}")) for n in (*within, "q_pivot", "q_block")]
+    wanted = queries.alias("x").join(reached.alias("y"), same_block).select("x.*", "reached", others)
+    angles = F.lit([float(x) for x in between.ravel()]).cast("array<double>")
+    apart = F.get(angles, F.col("q.q_pivot") * len(pivots) + F.col("q.pivot"))
+    least = F.greatest(F.lit(0.0), apart - F.col("q.q_most") - F.col("b.most") - 1e-9)
+    may_reach = F.cos(least) >= F.col("q.reached") - 1e-8
+    far = wanted.where("pivot != q_pivot").alias("q").join(b, on("pivot")).where(may_reach)
+    found = own.unionByName(meet(far.select(*fields, "reached")))
+    # the narrow candidates are scored on the vectors themselves
+    close = found.withColumn("place", F.rank().over(Window.partitionBy("query").orderBy(F.round("similarity", 7).desc())))
+    close = close.where(F.col("place") <= k).select("query", key)
+    values = rows.select(key, F.transform(vector, lambda x: x.cast("double")).alias("_v"))
+    scored = (
+        close.join(values, key)
+        .join(values.select(F.col(key).alias("query"), F.col("_v").alias("_q")), "query")
+        .select("query", key, cosine(F.col("_q"), F.col("_v")).alias("similarity"))
+    )
+    order = Window.partitionBy("query").orderBy(F.round("similarity", 9).desc(), F.col(key))
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "rank", key, "similarity")
+
+
 def clusters(vectors: DataFrame, k: int, vector: str = "embedding", key: str = "msg_id", seed: int = 7) -> DataFrame:
     """Each row with its cluster and squared distance to the centre (k-means of the ML library)."""
     from pyspark.ml.clustering import KMeans

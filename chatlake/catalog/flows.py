@@ -10,7 +10,7 @@ from chatlake.catalog.registry import message_lake, query
 from chatlake.operators import state
 from chatlake.plans import lineage
 from chatlake.session import scratch_path
-from chatlake.sources import lake, recorded
+from chatlake.sources import growing, lake, recorded
 from chatlake.sources.adapters import Tables
 from chatlake.streaming import activity, ingest
 
@@ -46,6 +46,20 @@ def stream_ingest(t: Tables) -> DataFrame:
     return _stored(t, root)
 
 
+@query("R01_growing_files", _LANDED_ONCE)
+def growing_files(t: Tables) -> DataFrame:
+    """The landing files as they are after a third of all lines, after two thirds and at last; one run after each."""
+    raw, root, mark = (scratch_path(t.spark, name) for name in ("growing", "grown", "mark"))
+    lines = t.fx_raw_lines.select("value", "line_no", F.concat(F.lit("roll_"), F.col("line_no") % 6).alias("file"))
+    again = F.concat(F.lit("roll_"), (F.col("line_no") + 1) % 6).alias("file")
+    both = lines.unionByName(lines.filter("line_no % 10 = 3").select("value", "line_no", again))
+    last = lines.agg(F.max("line_no")).first()[0] or 0
+    for part in (1, 2, 3):
+        growing.land_lines(both.filter(F.col("line_no") * 3 <= last * part), raw, "file", "line_no")
+        ingest.run_to_end(ingest.ingest_stream(t.spark, raw, root, mark, growing=True))
+    return _stored(t, root)
+
+
 @query("R02_batch_step", _LANDED_ONCE)
 def batch_step(t: Tables) -> DataFrame:
     root = scratch_path(t.spark, "stepped")

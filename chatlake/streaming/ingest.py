@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from chatlake.operators.shaping import counted, rows_seen
 from chatlake.operators.skew import keep_first_by_place
 from chatlake.session import cut_lineage, scratch_path
 from chatlake.sources import jsonl, lake
+from chatlake.sources.growing import stream_growing
 
 DAY = schemas.PARTITION_COLUMNS
 
@@ -47,29 +49,31 @@ def judged(lines: DataFrame) -> DataFrame:
     return cleaning.with_day(cleaning.conform(rows, schema))
 
 
-def in_same_days(stored: DataFrame, batch: DataFrame) -> DataFrame:
-    """Stored rows between the first and the last day of the batch; other folders are not read."""
-    day = F.make_date(*DAY)
-    span = batch.agg(F.min(day).alias("first"), F.max(day).alias("last")).first()
-    return stored.filter(day.between(F.lit(span["first"]), F.lit(span["last"])))
+def days_of(batch: DataFrame) -> list[date]:
+    """The days of a batch: as many values as it has days."""
+    return [row["day_"] for row in batch.select(F.make_date(*DAY).alias("day_")).distinct().collect()]
 
 
-def unseen(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
-    """Rows whose id is not yet stored under their day."""
+def in_days(stored: DataFrame, days: list[date]) -> DataFrame:
+    """Stored rows of these days; folders of other days are not read, also not those between them."""
+    return stored.filter(F.make_date(*DAY).isin(days))
+
+
+def unseen(batch: DataFrame, stored: DataFrame | None, days: list[date]) -> DataFrame:
+    """Rows whose id is not yet stored under their day; ``days`` are those of the batch."""
     if stored is None:
         return batch
-    near = in_same_days(stored, batch).select(*DAY, "msg_id")
-    return batch.join(near, [*DAY, "msg_id"], "left_anti")
+    return batch.join(in_days(stored, days).select(*DAY, "msg_id"), [*DAY, "msg_id"], "left_anti")
 
 
-def not_written(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
+def not_written(batch: DataFrame, stored: DataFrame | None, days: list[date]) -> DataFrame:
     """Rows that a first attempt at this batch has not stored: equal content, as often as it is there."""
     if stored is None:
         return batch
     content = [name for name in schemas.MESSAGES.names if name != "ingestion_time"]
     same = Window.partitionBy("_content").orderBy("_order")
     marked = batch.withColumn("_content", F.xxhash64(*content))
-    counted_ = in_same_days(stored, batch).groupBy(F.xxhash64(*content).alias("_content")).agg(
+    counted_ = in_days(stored, days).groupBy(F.xxhash64(*content).alias("_content")).agg(
         F.count(F.lit(1)).alias("_there")
     )
     numbered = marked.join(counted_, "_content", "left").withColumn("_nth", F.row_number().over(same))
@@ -103,10 +107,11 @@ def ingest_batch(
     total = kinds.get(None, 0)
     new = 0
     if total:
+        days = [] if stored is None else days_of(good)
         if deduplicate:
-            good = unseen(keep_first_by_place(good, [*DAY, "msg_id"], ["source_file", "_order"]), stored)
+            good = unseen(keep_first_by_place(good, [*DAY, "msg_id"], ["source_file", "_order"]), stored, days)
         elif repeated:
-            good = not_written(good, stored)
+            good = not_written(good, stored, days)
         new_rows, added = counted(cleaning.conform(good))
         lake.write_days(new_rows, root, "append", id_filter=True)
         new = rows_seen(added)
@@ -151,11 +156,12 @@ def _log_batch(spark: SparkSession, path: str, run: str, batch_id: int, state: s
 
 def ingest_stream(
     spark: SparkSession, raw_dir: str, root: str, checkpoint: str, deduplicate: bool = True,
-    files_per_trigger: int = 1000, dead_letters: str | None = None,
+    files_per_trigger: int = 1000, dead_letters: str | None = None, growing: bool = False,
 ) -> IngestRun:
     """Ingest all landing files not ingested before, then stop.
 
-    Spark's checkpoint remembers the files read. Beside it lie the batch log (a row when a batch
+    ``growing`` also reads what is added to files later, whole line by whole line; a checkpoint
+    belongs to one of both forms. Spark's checkpoint remembers the files read (or how far). Beside it lie the batch log (a row when a batch
     starts and one when it is done, with its counts) and the dead letters, unless another folder is
     named. A batch that had started but not ended is repeated so that nothing is added twice.
     """
@@ -165,20 +171,21 @@ def ingest_stream(
 
     def land(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        known = batch_log(session, log)
-        states = set()
-        if known is not None:
-            own = known.filter(F.col("batch_id") == batch_id).select("state").distinct()
-            states = {row["state"] for row in own.collect()}
+        # only the folder of this batch is listed, so a batch costs the same however many there were
+        own = batch_log(session, f"{log}/batch_id={batch_id}")
+        states = set() if own is None else {row["state"] for row in own.select("state").distinct().collect()}
         if "completed" in states:
             return
         _log_batch(session, log, run, batch_id, "processing", {})
         counts = ingest_batch(session, batch, root, deduplicate, letters, batch_id, "processing" in states)
         _log_batch(session, log, run, batch_id, "completed", counts)
 
+    if growing:
+        lines = stream_growing(spark, raw_dir).select("value", "source_file")
+    else:
+        lines = stream_lines(spark, raw_dir, files_per_trigger)
     query = (
-        stream_lines(spark, raw_dir, files_per_trigger)
-        .writeStream.foreachBatch(land)
+        lines.writeStream.foreachBatch(land)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

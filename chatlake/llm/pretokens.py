@@ -144,6 +144,8 @@ class Encoder:
     def _flat(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = self.encode(words)
         lengths = np.fromiter(map(len, found), np.int64, len(found))
+        if len(found) and isinstance(found[0], np.ndarray):
+            return np.concatenate(found).astype(np.uint32), lengths
         return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
@@ -169,10 +171,18 @@ class Encoder:
         """Whether each remembered pre-token holds the very code points."""
         same = self.sizes[known] == sizes
         rows = np.flatnonzero(same)
-        here = points[gather_spans(starts[rows], sizes[rows])]
-        differ = np.flatnonzero(here != self.points[gather_spans(self.places[known[rows]], sizes[rows])])
-        if len(differ):
-            same[rows[np.searchsorted(np.cumsum(sizes[rows]), differ, side="right")]] = False
+        if len(rows) == len(starts) and int(sizes.sum()) == len(points):
+            here, sizes_, from_ = points, sizes, self.places[known]  # they tile the texts
+        else:
+            sizes_, from_ = sizes[rows], self.places[known[rows]]
+            here = points[gather_spans(starts[rows], sizes_)]
+        # places of the remembered code points, one after the other; they fit 32 bits
+        ends = np.cumsum(sizes_)
+        there = np.repeat((from_ - (ends - sizes_)).astype(np.int32), sizes_)
+        there += np.arange(len(there), dtype=np.int32)
+        equal = here == self.points.take(there)
+        if not equal.all():
+            same[rows[np.searchsorted(ends, np.flatnonzero(~equal), side="right")]] = False
         return same
 
     def __call__(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:

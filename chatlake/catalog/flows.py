@@ -12,7 +12,7 @@ from chatlake.plans import lineage
 from chatlake.session import scratch_path
 from chatlake.sources import growing, lake, recorded
 from chatlake.sources.adapters import Tables
-from chatlake.streaming import activity, ingest
+from chatlake.streaming import activity, first, ingest
 
 # Every id that survives cleaning, once.
 _LANDED_ONCE = _CLEAN_LINES + """
@@ -169,6 +169,19 @@ def stream_unique(t: Tables) -> DataFrame:
     return t.spark.read.parquet(out).select("msg_id")
 
 
+@query("R03_first_by_state", "select msg_id from fx_messages")
+def first_by_state(t: Tables) -> DataFrame:
+    """Each id once, held as state until the watermark has passed it; a closing row far ahead moves the watermark."""
+    raw, out, mark = (scratch_path(t.spark, name) for name in ("arriving", "first", "mark"))
+    rows = t.fx_duplicates.select("msg_id", "create_time")
+    rows.write.parquet(raw)
+    closing = rows.agg((F.max("create_time") + F.expr("interval 400 days")).alias("create_time"))
+    closing.where("create_time is not null").select(F.lit("closing").alias("msg_id"), "create_time").write.mode("append").parquet(raw)
+    stream = t.spark.readStream.schema("msg_id string, create_time timestamp").parquet(raw)
+    first.start(first.first_rows(stream, "40 days", 24 * 40), out, mark).awaitTermination()
+    return t.spark.read.schema("msg_id string").parquet(out).where("msg_id <> 'closing'")
+
+
 @query(
     "R04_directory_run",
     _CLEAN_LINES + "select count(distinct msg_id) as stored, (select count(*) + count(*) filter (where line_no % 10 = 3) from fx_raw_lines) as lines "

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatlake.catalog.registry import query
-from chatlake.operators import vectors
+from chatlake.operators import density, vectors
 from chatlake.sources.adapters import Tables
 
 
@@ -69,3 +69,9 @@ def cosine_top_within(t: Tables) -> DataFrame:
 def clusters(t: Tables) -> DataFrame:
     found = vectors.clusters(t.table("embeddings"), 10, key="vec_id")
     return vectors.representatives(found, "vec_id")
+
+
+@query("D04_density_clusters")
+def density_clusters(t: Tables) -> DataFrame:
+    """Each row with its cluster by density, if it is in one."""
+    return density.density_clusters(t.table("embeddings"), key="vec_id").select("vec_id", "cluster", F.round("distance", 6).alias("distance"))

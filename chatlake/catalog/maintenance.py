@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from chatlake import schemas
 from chatlake.catalog.reading import _CLEAN_LINES, _REQUIRED
 from chatlake.catalog.registry import message_lake, query
-from chatlake.operators import cleaning, dedup, partitions, quality, retention, state
+from chatlake.operators import cleaning, day_facts, dedup, partitions, quality, retention, state
 from chatlake.operators import schema_evolution as evolution
 from chatlake.session import scratch_path
 from chatlake.sources import files, jsonl, lake
@@ -471,6 +471,27 @@ def quality_metrics(t: Tables) -> DataFrame:
     return quality.quality_metrics(rows, ["msg_id", "room"], F.col("msg_type") == 47)
 
 
+@query(
+    "D06_kept_facts",
+    f"select {_DAY}, count(*) as row_count, count(*) filter (where chatroom is null) as nulls, "
+    "count(*) filter (where msg_type = 47) as violations, cast(epoch(min(create_time)) as bigint) as first_epoch, "
+    "cast(epoch(max(create_time)) as bigint) as last_epoch, true as ids_close "
+    "from fx_duplicates group by year(create_time), month(create_time), day(create_time)",
+)
+def kept_facts(t: Tables) -> DataFrame:
+    """Facts of days from kept rows per file; the distinct ids are held against an exact count."""
+    root, kept = message_lake(t, "fx_duplicates"), scratch_path(t.spark, "day_facts")
+    day_facts.update_facts(t.spark, root, kept, ["msg_id", "chatroom"], F.col("msg_type") == 47)
+    exact = _lake(t, "fx_duplicates").groupBy(*schemas.PARTITION_COLUMNS).agg(F.count_distinct("msg_id").alias("_ids"))
+    found = day_facts.day_facts(t.spark, root, kept).join(exact, schemas.PARTITION_COLUMNS)
+    return found.select(
+        *schemas.PARTITION_COLUMNS, "row_count", "nulls", "violations",
+        F.unix_timestamp("first_time").alias("first_epoch"),
+        F.unix_timestamp("last_time").alias("last_epoch"),
+        (F.abs(F.col("distinct_ids") - F.col("_ids")) <= 0.03 * F.col("_ids") + 1).alias("ids_close"),
+    )
+
+
 _FIELDS = """
 with j as (
   select case when json_valid(value) then cast(value as json) end as v from fx_raw_lines where trim(value) <> '' and json_valid(value)

@@ -555,6 +555,41 @@ def dataset_layouts(t: Tables) -> DataFrame:
     return evolution.dataset_layouts(files.footers(t.spark, root)).select("files", "is_base")
 
 
+_EXTRA_LINES = """
+select line_no, replace(value, '"content":', concat(
+         case when line_no % 3 = 0 then concat('"mood":', line_no, ',') when line_no % 3 = 1 then '"mood":"calm",' else '' end,
+         case when line_no % 200 >= 120 then concat('"place":{"floor":', line_no % 7, '},') else '' end, '"content":')) as value
+from fx_raw_lines where line_no % 50 not in (7, 9, 11, 13)
+"""
+
+
+def _extra_rows(t: Tables) -> DataFrame:
+    lines = t.fx_raw_lines.where("line_no % 50 not in (7, 9, 11, 13)")
+    mood = F.expr("case when line_no % 3 = 0 then concat('\"mood\":', line_no, ',') when line_no % 3 = 1 then '\"mood\":\"calm\",' else '' end")
+    place = F.expr("case when line_no % 200 >= 120 then concat('{\"floor\":', line_no % 7, '}') end")
+    named = F.coalesce(F.concat(F.lit('"place":'), place, F.lit(",")), F.lit(""))
+    value = F.replace("value", F.lit('"content":'), F.concat(mood, named, F.lit('"content":')))
+    opened = cleaning.extract_payload(cleaning.valid_lines(lines.select(value.alias("value"))))
+    kept = cleaning.coerce_numbers(cleaning.prepare_messages(cleaning.keep_unknown(opened)))
+    return cleaning.with_day(kept)
+
+
+@query(
+    "E02_extra_fields",
+    "with l as (" + _EXTRA_LINES + """), d as (select json_extract(value, '$.data') as v from l),
+    k as (select make_timestamp(cast(json_extract_string(v, '$.create_time') as bigint) * 1000000) as create_time, v, unnest(json_keys(v)) as name from d),
+    f as (select *, case json_type(json_extract(v, '$.' || name)) when 'UBIGINT' then 'BIGINT' when 'VARCHAR' then 'STRING'
+                         else 'OBJECT<floor: BIGINT>' end as type from k where name in ('mood', 'place'))
+    select cast(year(create_time) as int) as year, cast(month(create_time) as int) as month, cast(day(create_time) as int) as day, name,
+           case when count(distinct type) > 1 then 'VARIANT' else min(type) end as type, count(*) as row_count
+    from f group by year(create_time), month(create_time), day(create_time), name
+    """,
+)
+def extra_fields(t: Tables) -> DataFrame:
+    """Fields that no schema names, per day, from what is kept in ``extra``."""
+    return evolution.extra_fields(_extra_rows(t))
+
+
 @query(
     "E03_merged_fields",
     _FIELDS + "select name, case when count(distinct type) > 1 then 'string' else min(type) end as type from obs group by 1",

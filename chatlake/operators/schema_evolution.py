@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chatlake import schemas
+from chatlake.session import cut_lineage
 from chatlake.sources.lake import read_if_there
 
+DAY = tuple(schemas.PARTITION_COLUMNS)
+
 
 def fields_of(spark: SparkSession, schema: T.StructType) -> DataFrame:
     """A schema as rows of position, name and type."""
@@ -108,6 +112,59 @@ def file_schema_errors(footers: DataFrame, expected: dict[str, str]) -> DataFram
     return footers.filter("readable").select("file_path", F.inline(problems))
 
 
+# -- fields that no schema names -----------------------------------------------------------
+
+
+def extra_fields(rows: DataFrame, column: str = "extra", by: tuple[str, ...] = DAY) -> DataFrame:
+    """Per day the fields found in ``extra`` with the type that holds all their values, and the rows that have them.
+
+    Types are merged value by value as the rows are counted, so a day is one aggregate with map-side combine and no
+    footer is read. Types are those of a VARIANT: nested ones are named in full (``OBJECT<floor: BIGINT>``), VOID stands
+    for nulls only, and VARIANT for values without a common type. Rows without ``extra`` add nothing.
+    """
+    cells = rows.where(F.col(column).isNotNull()).select(
+        *by, F.explode(F.from_json(column, "map<string, variant>")).alias("name", "_v")
+    )
+    return cells.groupBy(*by, "name").agg(F.schema_of_variant_agg("_v").alias("type"), F.count(F.lit(1)).alias("row_count"))
+
+
+def extra_drift(found: DataFrame, registry: DataFrame | None, name: str) -> DataFrame:
+    """Fields of ``extra_fields`` that the latest version of a schema lacks or has with another type, and since when."""
+    seen = found.groupBy("name").agg(
+        F.array_join(F.array_sort(F.collect_set("type")), " | ").alias("type"),
+        F.min(F.make_date(*DAY)).alias("since"),
+        F.sum("row_count").alias("row_count"),
+    )
+    if registry is None:
+        return seen.withColumn("status", F.lit("added"))
+    latest = latest_versions(registry.where(F.col("schema_name") == name))
+    known = latest.select(F.inline("fields")).select("name", F.col("type").alias("_known"))
+    drift = seen.join(known, "name", "left").where("_known is null or _known <> type")
+    return drift.withColumn("status", F.when(F.col("_known").isNull(), "added").otherwise("changed")).drop("_known")
+
+
+def register_extra(spark: SparkSession, path: str, name: str, found: DataFrame) -> bool:
+    """Append a version with all fields of the last one and those of ``extra``; nothing where there is no drift."""
+    registry = read_if_there(spark, path)
+    drift = cut_lineage(extra_drift(found, registry, name))
+    if not drift.limit(1).count():
+        return False
+    fresh = drift.select("name", "type", F.lit(True).alias("nullable"))
+    if registry is None:
+        version, rows = 1, fresh
+    else:
+        latest = latest_versions(registry.where(F.col("schema_name") == name))
+        last = latest.first()
+        version = 1 if last is None else int(last["version"]) + 1
+        rows = latest.select(F.inline("fields")).join(fresh.select("name"), "name", "left_anti").unionByName(fresh)
+    entry = rows.agg(F.array_sort(F.collect_list(F.struct("name", "type", "nullable"))).alias("fields")).select(
+        F.lit(name).alias("schema_name"), F.lit(version).cast("long").alias("version"), "fields",
+        F.lit("fields found in extra").alias("description"), F.current_timestamp().alias("registered_at"),
+    )
+    cut_lineage(entry).write.mode("append").parquet(path)
+    return True
+
+
 # -- registry -----------------------------------------------------------------------------
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatlake.operators.skew import number_rows
+from chatlake.session import cut_lineage
 
 DEFAULT_TOKEN_BUDGET = 120_000
 CHUNK_ROWS = 1 << 20
@@ -111,8 +112,9 @@ def greedy_batches(
     keys = list(group)
     typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keys)
     chunk = F.floor((F.col(position) - 1) / chunk_rows).cast("long").alias("_chunk")
-    narrow = df.select(
-        *keys, chunk, F.col(position).cast("long").alias("_pos"), F.col(cost).cast("long").alias("_cost")
+    # three passes read these rows, so they are written once and the input is not worked out anew for each
+    narrow = cut_lineage(
+        df.select(*keys, chunk, F.col(position).cast("long").alias("_pos"), F.col(cost).cast("long").alias("_cost"))
     )
 
     def summarise(rows: pd.DataFrame) -> pd.DataFrame:

@@ -1,8 +1,9 @@
 """License notices in whole texts: MinHash bands retrieve templates, exact containment decides.
 
 Words are runs of letters and digits, lower-cased; five of them are a shingle. For every size class of
-templates the shingles of a text are cut into windows of twice the class size that overlap by half, so that
-any notice lies inside one window. Each window is known by the minima of its shingles under several hash
+templates the shingles of a text are cut into windows of four times the class size that overlap by half. So a
+notice lies inside one window as long as insertions stretch it to no more than twice the class size, which is
+at least twice the template; wider ones are found only where a window happens to hold them. Each window is known by the minima of its shingles under several hash
 functions; each minimum is a band of its own, and a template is retrieved if one band agrees. The number of
 bands follows from the least similarity a match can have, so that a match is missed with probability
 ``MISS`` at most. Retrieved pairs are then verified: a window holds a notice if at least ``CONTAINED`` of the
@@ -57,6 +58,73 @@ TEMPLATES = {
     "CC BY 4.0 notice": "Licensed under CC BY 4.0.",
     "CC BY-SA 4.0 notice": "Licensed under CC BY-SA 4.0.",
     "CC BY-NC 4.0 notice": "Licensed under CC BY-NC 4.0.",
+    "MIT license notice": "Licensed under the MIT License",
+    "MIT inclusion": (
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions "
+        "of the Software."
+    ),
+    "MIT warranty": (
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED "
+        "TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL "
+        "THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
+        "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+        "DEALINGS IN THE SOFTWARE."
+    ),
+    "Apache-2.0 short notice": "under the Apache License 2.0",
+    "Apache-2.0 warranty": (
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed "
+        "on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License "
+        "for the specific language governing permissions and limitations under the License."
+    ),
+    "BSD retention": (
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+        "disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions "
+        "and the following disclaimer in the documentation and/or other materials provided with the distribution."
+    ),
+    "BSD endorsement": (
+        "may be used to endorse or promote products derived from this software without specific prior written permission"
+    ),
+    "BSD warranty": (
+        "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL "
+        "THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR "
+        "CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, "
+        "DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, "
+        "STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+        "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "ISC permission": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies."
+    ),
+    "GPL warranty": (
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+    ),
+    "LGPL header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation"
+    ),
+    "AGPL header": (
+        "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License, or (at your option) any later version."
+    ),
+    "BSL-1.0 notice": "Distributed under the Boost Software License, Version 1.0.",
+    "BSL-1.0 permission": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and "
+        "accompanying documentation covered by this license to use, reproduce, display, distribute, execute, and transmit "
+        "the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software "
+        "is furnished to do so"
+    ),
+    "EPL-2.0 notice": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"
+    ),
+    "Zlib permission": (
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to "
+        "alter it and redistribute it freely, subject to the following restrictions"
+    ),
+    "CC0 notice": (
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"
+    ),
     "Public domain": "This is free and unencumbered software released into the public domain.",
 }
 
@@ -101,7 +169,7 @@ def scanner(templates: dict[str, str] = TEMPLATES, contained: float = CONTAINED,
         raise ValueError(f"a template needs {SHINGLE} words at least")
     by_window: dict[int, list[str]] = {}
     for name, found in sets.items():
-        by_window.setdefault(2 << (len(found) - 1).bit_length(), []).append(name)
+        by_window.setdefault(4 << (len(found) - 1).bit_length(), []).append(name)
     classes = []
     for window, names in sorted(by_window.items()):
         # the least similarity of a window with a template it contains well enough

@@ -248,6 +248,25 @@ def _loop_licenses(text: str, scan: licenses.Scanner) -> list[tuple]:
     return sorted(found)
 
 
+@pytest.mark.parametrize("name", ["Apache-2.0 header", "LGPL header", "MIT warranty", "ISC permission"])
+def test_stretched_licenses(name) -> None:
+    """Without windows: a notice with words put in anywhere, at any place of a text, as long as enough of it is left."""
+    scan = licenses.scanner()
+    size = next(group.window // 2 for group in scan.classes if name in group.names)
+    notice, wanted = licenses.TEMPLATES[name].split(" "), scan.sets[name]
+    for more in (1, 9, 20):
+        for cut in range(0, len(notice), 5):
+            for lead in (0, 13, 47, 101):
+                words = [f"l{i}" for i in range(lead)] + notice[:cut] + [f"w{i}" for i in range(more)] + notice[cut:] + ["t"] * 40
+                own = licenses.shingles(pa.array([" ".join(words)]))[0]
+                at = np.flatnonzero(np.isin(own, wanted))
+                share = len(np.intersect1d(own, wanted)) / len(wanted)
+                if share < licenses.CONTAINED or at[-1] - at[0] + 1 > size:
+                    continue
+                found = [x for x in licenses.scan_text(own, scan) if x[0] == name]
+                assert found == [(name, at[0], at[-1], share)]
+
+
 def test_licenses_against_all_windows(spark, odd, none) -> None:
     r = random.Random(4)
     plain = [t for t in (row["text"] for row in odd.collect()) if t]

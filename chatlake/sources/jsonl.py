@@ -67,16 +67,23 @@ def _form_map(body: Column) -> Column:
 
     pairs = F.transform(
         F.filter(F.split(body, "&"), lambda part: part.rlike("=.")),
-        lambda part: F.struct(
+        lambda part, place: F.struct(
             decode(F.substring_index(part, "=", 1)).alias("k"),
+            place.alias("n"),
             decode(F.regexp_replace(part, "^[^=]*=", "")).alias("v"),
         ),
     )
-    names = F.array_distinct(F.transform(pairs, lambda pair: pair["k"]))
-    values = F.transform(
-        names, lambda name: F.filter(pairs, lambda pair: pair["k"] == name)[0]["v"]
+    # the first pair of each key by sorting, as a search per key costs the square of a long body
+    ordered = F.array_sort(pairs)
+    none = F.array(F.lit(None).cast("struct<k:string,n:int,v:string>"))
+    firsts = F.zip_with(ordered, F.concat(none, ordered), lambda pair, last: F.when(~pair["k"].eqNullSafe(last["k"]), pair))
+    kept = F.array_sort(
+        F.transform(
+            F.filter(firsts, lambda pair: pair["k"].isNotNull()),
+            lambda pair: F.struct(pair["n"].alias("n"), pair["k"].alias("k"), pair["v"].alias("v")),
+        )
     )
-    return F.map_from_arrays(names, values)
+    return F.map_from_entries(F.transform(kept, lambda pair: F.struct(pair["k"], pair["v"])))
 
 
 def parse_requests(

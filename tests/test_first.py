@@ -40,3 +40,16 @@ def test_order_of_arrival_does_not_matter(spark, tmp_path) -> None:
     assert one == wanted == two
     # the late row was counted, and only the closing row is still held
     assert first.late_rows(query) == 1 and first.held_rows(query) <= 2
+
+
+def test_many_ids_share_the_state_of_a_group(spark, tmp_path, monkeypatch) -> None:
+    """State rows, and with them calls to the store, follow the groups and not the ids; copies in later batches are dropped."""
+    monkeypatch.setattr(first, "GROUPS", 3, raising=False)
+    rows = [(f"m{i}", START + timedelta(minutes=i), f"c{i}", i) for i in range(300)]
+    copies = [(f"m{i}", START + timedelta(minutes=i + 90), "copy", i) for i in range(0, 300, 2)]
+    _, query = _run(spark, tmp_path / "held", [copies + rows[:150]])
+    assert 0 < first.held_rows(query) <= 2 * 3
+    end = [("end", START + timedelta(days=9), "x", 0)]
+    found, query = _run(spark, tmp_path / "all", [copies + rows[:150], rows[150:], end])
+    assert found == sorted((r[0], r[2], r[3]) for r in rows)
+    assert first.held_rows(query) <= 2

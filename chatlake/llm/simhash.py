@@ -70,7 +70,11 @@ def shingle_hashes(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarra
 
 def text_fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     """One fingerprint per text, as unsigned 64-bit numbers."""
-    hashes, bounds = shingle_hashes(texts, shingle)
+    return majorities(*shingle_hashes(texts, shingle))
+
+
+def majorities(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The fingerprint of each text from its shingle hashes."""
     grams = np.diff(bounds)
     prints = np.zeros(len(grams), np.uint64)
     step = 1 << 16

@@ -1,9 +1,11 @@
 """Near-duplicates by shingle similarity: documents whose sets of five-word shingles agree to 0.8 or more.
 
-Texts with equal shingle sets are one class. Classes that may be similar are found by MinHash: each class has
-``BANDS`` keys, each made of ``ROWS`` least hashes, and two classes of similarity s share no key with a
-probability of (1 - s ** ROWS) ** BANDS, which is below 2e-9 at 0.8. What shares a key is only a candidate: a
-link needs the exact similarity of the two whole sets.
+Texts with equal shingle sets are one class. Classes that may be similar are found in two ways. SimHash fingerprints
+of the same shingles (``simhash.links``) tie classes that differ in few bits; a component of these ties is a key.
+Copies with more changes lie further apart, so MinHash finds these: each class has ``BANDS`` more keys, each made of
+``ROWS`` least hashes, and two classes of similarity s share none of them with a probability of
+(1 - s ** ROWS) ** BANDS, which is below 2e-9 at 0.8. What shares a key is only a candidate: a link needs the exact
+similarity of the two whole sets.
 
 First every member of a key's group is held against the smallest one. Groups that these links join to one
 component are done. Of the others all pairs across components are held against each other: pair by pair in
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from chatlake.llm.common import map_texts, mix
 from chatlake.llm.components import components
-from chatlake.llm.simhash import SEED, shingle_hashes
+from chatlake.llm.simhash import SEED, links, majorities, shingle_hashes
 from chatlake.session import cut_lineage
 
 SHINGLE = 5
@@ -44,7 +46,10 @@ _SALTS = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS * ROWS, 2), dty
 
 def text_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
     """The distinct shingle hashes of each text, sorted."""
-    hashes, bounds = shingle_hashes(texts, shingle)
+    return _distinct(*shingle_hashes(texts, shingle))
+
+
+def _distinct(hashes: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     return [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
@@ -77,16 +82,19 @@ def similar(common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, cls, keys."""
+    """doc_id, cls, fp (the fingerprint as a signed 64-bit number), keys."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = text_sets(batch.column("text"))
+        hashes, bounds = shingle_hashes(batch.column("text"), SHINGLE)
+        sets = _distinct(hashes, bounds)
         classes = np.array([_class_of(x) for x in sets], np.uint64).view(np.int64)
+        prints = majorities(hashes, bounds).astype(np.int64)
         keys = pa.array(list(band_keys(sets).view(np.int64)), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(classes), keys], ["doc_id", "cls", "keys"])
+        columns = [batch.column("doc_id"), pa.array(classes), pa.array(prints), keys]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "cls", "fp", "keys"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    return map_texts(docs.select("doc_id", "text"), work, f"doc_id {key}, cls long, keys array<long>")
+    return map_texts(docs.select("doc_id", "text"), work, f"doc_id {key}, cls long, fp long, keys array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -174,12 +182,22 @@ def _sizes_fit(a: Column, b: Column) -> Column:
     return F.least(a, b) * WHOLE >= F.greatest(a, b) * PART
 
 
+def _ties(classes: DataFrame) -> DataFrame:
+    """cls, key: the component of its fingerprint (fp), over fingerprints that differ in few bits."""
+    tied = components(links(classes.select("fp").distinct()))
+    return classes.select("cls", "fp").join(tied, F.col("fp") == tied["node"], "left").select(
+        "cls", F.coalesce("root", "fp").alias("key")
+    )
+
+
 def near_duplicates(docs: DataFrame, small: int = SMALL) -> DataFrame:
     """doc_id, component_id (the smallest doc_id reachable over links); one row per row with an id."""
     known = docs.where("doc_id is not null").select("doc_id", "text")
     signed = cut_lineage(_signatures(known))
-    classes = cut_lineage(signed.groupBy("cls").agg(F.min("doc_id").alias("low"), F.first("keys").alias("keys")))
-    spread = classes.select("cls", F.explode("keys").alias("key"))
+    classes = cut_lineage(signed.groupBy("cls").agg(
+        F.min("doc_id").alias("low"), F.min("fp").alias("fp"), F.first("keys").alias("keys")
+    ))
+    spread = classes.select("cls", F.explode("keys").alias("key")).union(_ties(classes))
     groups = spread.groupBy("key").agg(F.min("cls").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = cut_lineage(spread.join(groups, "key").select("key", "cls", "first", "n"))
     wanted = classes.join(members.select("cls").distinct(), "cls").select("low", "cls")

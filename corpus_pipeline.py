@@ -32,7 +32,10 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents whose five-word shingles agree to 0.8 or more, that with the smallest doc_id."""
+    """Of each component of documents whose five-word shingles agree to 0.8 or more, that with the smallest doc_id.
+
+    Candidates come from fingerprints that differ in few bits and, for copies with more changes, from MinHash keys.
+    """
     prepare(spark)
     return simhash.keep_one(docs, similar.near_duplicates(docs))
 

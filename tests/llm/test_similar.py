@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from chatlake.llm import similar
@@ -77,6 +78,17 @@ def test_stage_takes_changed_copies(spark) -> None:
     assert [r["doc_id"] for r in kept.collect()] == [0]
 
 
+def test_stage_follows_fingerprints(spark, monkeypatch) -> None:
+    """Copies that few bits tie are candidates without any band key; what is less similar stays apart."""
+    signed = similar._signatures
+    monkeypatch.setattr(similar, "_signatures", lambda docs: signed(docs).withColumn("keys", F.array().cast("array<long>")))
+    base = [words(i, 400).split() for i in range(3)]
+    texts = [" ".join(b) for b in base] + [" ".join([*b[:-1], "changed"]) for b in base] + [" ".join(b[:200]) for b in base]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: r["component_id"] for r in similar.near_duplicates(docs).collect()}
+    assert [found[i] for i in range(9)] == [0, 1, 2, 0, 1, 2, 6, 7, 8]
+
+
 def test_near_duplicates_of_odd_rows(odd, none) -> None:
     rows = [r for r in odd.select("doc_id", "text").collect() if r["doc_id"] is not None]
     roots = _roots([_grams(r["text"]) for r in rows])

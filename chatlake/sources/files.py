@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +87,34 @@ def checksums(spark: SparkSession, root: str, pattern: str = "*.parquet") -> Dat
     )
 
 
+def write_texts(texts: DataFrame, root: str, path: str = "path", value: str = "value") -> None:
+    """One file per row below a folder: the text and a line feed, at the row's path; paths are taken to be distinct.
+
+    Rows are dealt over all tasks, however small they are, as each costs a file. A file is written beside its place
+    and then moved there, so a task that is repeated gives the same files. A task keeps the folders it has made in mind.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, inside = file_system_of(root)
+        made: set[str] = set()
+        mark, written = uuid.uuid4().hex, 0
+        for batch in batches:
+            for name, text in zip(batch.column(path).to_pylist(), batch.column(value).to_pylist(), strict=True):
+                folder, _, base = f"{inside}/{name}".rpartition("/")
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with system.open_output_stream(f"{folder}/.{base}.{mark}") as out:
+                    out.write((text or "").encode() + b"\n")
+                system.move(f"{folder}/.{base}.{mark}", f"{folder}/{base}")
+                written += 1
+        yield pa.RecordBatch.from_pydict({"files": pa.array([written], pa.int64())})
+
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = texts.select(path, value).repartition(tasks, path)
+    dealt.mapInArrow(write, "files long").write.format("noop").mode("overwrite").save()
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).csv(path)
 

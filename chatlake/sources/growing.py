@@ -166,11 +166,16 @@ def land_lines(lines: DataFrame, path: str, file: str, order: str) -> None:
 
         mark = uuid.uuid4().hex
         for batch in batches:
-            for value, own in zip(batch.column("value").to_pylist(), batch.column(file).to_pylist(), strict=True):
-                if own != name:
+            owners = batch.column(file).to_pylist()
+            ends = [i for i in range(1, len(owners)) if owners[i] != owners[i - 1]]
+            for first, end in zip([0, *ends], [*ends, len(owners)], strict=True):
+                if first == end:
+                    continue
+                if target is None or owners[first] != name:
                     finish()
-                    name, target = own, system.open_output_stream(f"{root}/.{own}.{mark}")
-                target.write((value or "").encode() + b"\n")
+                    name, target = owners[first], system.open_output_stream(f"{root}/.{owners[first]}.{mark}")
+                values = batch.column("value").slice(first, end - first).to_pylist()
+                target.write("\n".join([value or "" for value in values]).encode() + b"\n")
         finish()
         yield pa.RecordBatch.from_pydict({"name": pa.array(written, pa.string())})
 

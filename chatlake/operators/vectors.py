@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -9,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatlake.operators.shaping import evaluate_once
 from chatlake.operators.skew import number_rows
 from chatlake.operators.state import latest
 from chatlake.session import cut_lineage
@@ -16,6 +18,8 @@ from chatlake.session import cut_lineage
 MAX_TOKENS, OVERLAP = 512, 50
 #: Directions that rows are sorted by for the search, rows of one block, and queries that meet a block at once.
 PIVOTS, BLOCK_ROWS, QUERY_ROWS = 32, 4096, 1024
+#: Tiles that a search is dealt into at least, and rows or queries of one tile at most.
+TILES, TILE_ROWS = 64, 131_072
 
 
 def token_chunks(
@@ -141,6 +145,46 @@ def _packed(rows: DataFrame, key: str, within: Sequence[str], size: int) -> Data
     return packed.mapInArrow(join, schema)
 
 
+class _Best:
+    """The ``k`` rows most like each query of one block, over the blocks of rows that it meets."""
+
+    def __init__(self, queries: list, matrix: np.ndarray, k: int, reached: float) -> None:
+        self.queries, self.matrix, self.k = queries, matrix, k
+        self.least = np.full(len(queries), reached)  # what the k-th of a query reaches at least
+        self.at, self.near, self.keys = np.empty(0, np.int64), np.empty(0), np.empty(0, object)
+
+    def meet(self, keys: list, matrix: np.ndarray) -> None:
+        near = self.matrix @ matrix.T
+        places = {value: i for i, value in enumerate(keys)}
+        for i, query in enumerate(self.queries):
+            if query in places:
+                near[i, places[query]] = -2.0
+        # rows as near as the k-th are all kept, as ties are settled by key later on
+        kept = near >= self.least[:, None] - 1e-8
+        if near.shape[1] > self.k and kept.sum() > 4 * self.k * len(near):
+            kth = near.shape[1] - self.k
+            self.least = np.maximum(self.least, np.partition(near, kth, axis=1)[:, kth])
+            kept = near >= self.least[:, None] - 1e-8
+        i, j = np.nonzero(kept)
+        if not len(i):
+            return
+        at, values = np.concatenate([self.at, i]), np.concatenate([self.near, near[i, j]])
+        names = np.empty(len(keys), object)
+        names[:] = keys
+        order = np.lexsort((-values, at))
+        at, values, held = at[order], values[order], np.concatenate([self.keys, names[j]])[order]
+        starts = np.searchsorted(at, np.arange(len(near)))
+        full = np.diff(starts, append=len(at)) >= self.k
+        self.least[full] = np.maximum(self.least[full], values[starts[full] + self.k - 1])
+        kept = values >= self.least[at] - 1e-8
+        self.at, self.near, self.keys = at[kept], values[kept], held[kept]
+
+    def rows(self, key: str, kinds: list) -> pa.RecordBatch:
+        queries = pa.array([self.queries[x] for x in self.at], kinds[0])
+        columns = [queries, pa.array(self.keys.tolist(), kinds[1]), pa.array(self.near, pa.float64())]
+        return pa.RecordBatch.from_arrays(columns, ["query", key, "similarity"])
+
+
 def nearest_to_all(
     vectors: DataFrame, asked: Column, k: int, vector: str = "embedding", key: str = "msg_id", within: Sequence[str] = ()
 ) -> DataFrame:
@@ -149,10 +193,13 @@ def nearest_to_all(
     The search is exact. Rows are sorted by the nearest of a few directions and cut into blocks of bounded size.
     A block of queries first meets the blocks of its own direction, which gives a similarity that the k nearest
     of each query reach at least. Of the others it meets only those blocks that may reach it: the angle to a row is
-    at least the angle between both directions less the widest angle in either block. A task multiplies two blocks
-    at a time and keeps the best of each query, so its memory does not depend on the number of rows. ``within``
-    restricts a query to rows that agree with it, as in a search inside a room.
+    at least the angle between both directions less the widest angle in either block. Blocks are dealt into a grid
+    of tiles, so that each moves once per row or column of the grid and not once per block that it meets; the grid is
+    the same for up to ``TILE_ROWS`` times eight rows and grows beyond, as a tile is bounded. A task multiplies two blocks
+    at a time and keeps the best of each query over the blocks of its tile, so its memory does not depend on the number
+    of rows. ``within`` restricts a query to rows that agree with it, as in a search inside a room.
 
+    Of rows with equal vectors only the first k + 1 by key are searched; no other can be among the k nearest of any row.
     Rows without a usable vector or key take no part; keys are taken to be distinct. Similarities are compared to
     nine digits, ties go to the smaller key.
     """
@@ -164,67 +211,80 @@ def nearest_to_all(
         return empty.select(F.col(key).alias("query"), F.lit(0).alias("rank"), key, F.lit(0.0).alias("similarity"))
     pivots = _unit(pa.array([[float(x) for x in row[0]] for row in sample]))
     size, between = pivots.shape[1], np.arccos(np.clip(pivots @ pivots.T, -1.0, 1.0))
-    placed = cut_lineage(_pivoted(rows.withColumn("_asked", asked), key, vector, [*within, "_asked"], pivots))
+    copies = Window.partitionBy(*within, vector).orderBy(key)
+    searched = rows.select(key, *within, vector).withColumn("_nth", F.row_number().over(copies)).where(F.col("_nth") <= k + 1)
+    placed = _pivoted(searched, key, vector, within, pivots)
     blocks = cut_lineage(_packed(placed, key, within, BLOCK_ROWS))
-    queries = cut_lineage(_packed(placed.where("_asked"), key, within, QUERY_ROWS))
+    queries = cut_lineage(_packed(_pivoted(rows.where(asked), key, vector, within, pivots), key, within, QUERY_ROWS))
     queries = queries.select(
         *within, *[F.col(name).alias(f"q_{name}") for name in ("pivot", "block", "most", "keys", "matrix")]
     )
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, asking, held = [], None, None
         for batch in batches:
+            kinds = [batch.schema.field(name).type.value_type for name in ("q_keys", "keys")]
             for row in batch.to_pylist():
-                near = _matrix(row["q_matrix"], size) @ _matrix(row["matrix"], size).T
-                places = {value: i for i, value in enumerate(row["keys"])}
-                for i, query in enumerate(row["q_keys"]):
-                    if query in places:
-                        near[i, places[query]] = -2.0
-                found = min(k, near.shape[1])
-                # rows as near as the k-th are all kept, as ties are settled by key later on
-                least = np.partition(near, near.shape[1] - found, axis=1)[:, near.shape[1] - found] - 1e-8
-                i, j = np.nonzero((near >= least[:, None]) & (near >= row["reached"] - 1e-8))
-                kinds = [batch.schema.field(name).type.value_type for name in ("q_keys", "keys")]
-                pairs = pa.array([row["q_keys"][x] for x in i], kinds[0]), pa.array([row["keys"][x] for x in j], kinds[1])
-                yield pa.RecordBatch.from_arrays([*pairs, pa.array(near[i, j], pa.float64())], ["query", key, "similarity"])
-
-    def meet(pairs: DataFrame) -> DataFrame:
-        # a row is two whole blocks, so pairs are dealt out anew
-        chosen = pairs.select("q_keys", "q_matrix", "keys", "matrix", "reached")
-        return chosen.repartition("q_keys", "keys").mapInArrow(best, f"query {kind}, `{key}` {kind}, similarity double")
-
-    def on(*names: str) -> Column:
-        return [F.col(f"q.{name}").eqNullSafe(F.col(f"b.{name}")) for name in (*within, *names)]
-
-    q, b = queries.withColumn("pivot", F.col("q_pivot")).alias("q"), blocks.alias("b")
-    fields = ["q_keys", "q_matrix", "keys", "matrix"]
-    own = cut_lineage(meet(q.join(b, on("pivot")).select(*fields, F.lit(-1.5).alias("reached"))))
+                if held is None or row["q_keys"] != asking:
+                    if held is not None:
+                        yield held.rows(key, kinds)
+                    asking, held = row["q_keys"], _Best(row["q_keys"], _matrix(row["q_matrix"], size), k, row["reached"])
+                held.meet(row["keys"], _matrix(row["matrix"], size))
+        if held is not None:
+            yield held.rows(key, kinds)
+
+    def meet(q: DataFrame, b: DataFrame, down: int, across: int, same: Sequence[str], wanted: Column) -> DataFrame:
+        # each block of queries goes to all tiles of its row of the grid, each block of rows to all of its column
+        tile, tasks = [*same, "_down", "_across"], max(2 * TILES, down * across)
+        q = q.withColumn("_across", F.explode(F.sequence(F.lit(0), F.lit(across - 1)))).repartition(tasks, *tile).alias("q")
+        b = b.withColumn("_down", F.explode(F.sequence(F.lit(0), F.lit(down - 1)))).repartition(tasks, *tile).alias("b")
+        equal = [F.col(f"q.{name}") == F.col(f"b.{name}") for name in tile]
+        equal += [F.col(f"q.{name}").eqNullSafe(F.col(f"b.{name}")) for name in within]
+        met = q.join(b, [*equal, wanted]).select("q_keys", "q_matrix", "keys", "matrix", "reached")
+        return met.mapInArrow(best, f"query {kind}, `{key}` {kind}, similarity double")
+
+    asking, widest = queries.agg(F.sum(F.size("q_keys")), F.max("q_block")).first()
+    if asking is None:
+        empty = vectors.limit(0)
+        return empty.select(F.col(key).alias("query"), F.lit(0).alias("rank"), key, F.lit(0.0).alias("similarity"))
+    stored, longest = blocks.agg(F.sum(F.size("keys")), F.max("block")).first()
+    # the blocks of one direction are a grid of their own, mostly of one tile
+    down, across = TILE_ROWS // 2 // QUERY_ROWS, TILE_ROWS // 2 // BLOCK_ROWS
+    own = cut_lineage(meet(
+        queries.withColumns({"pivot": F.col("q_pivot"), "_down": F.floor(F.col("q_block") / down).cast("int"), "reached": F.lit(-1.5)}),
+        blocks.withColumn("_across", F.floor(F.col("block") / across).cast("int")),
+        widest // down + 1, longest // across + 1, ["pivot"], F.lit(True),
+    ))
     # what the k-th of a query's own direction reaches; -1.5 where there are fewer
     order = Window.partitionBy("query").orderBy(F.desc("similarity"), key)
     kth = own.withColumn("place", F.row_number().over(order)).where(F.col("place") == k)
-    asking = queries.select(*within, "q_pivot", "q_block", F.explode("q_keys").alias("query"))
+    each = queries.select(*within, "q_pivot", "q_block", F.explode("q_keys").alias("query"))
     reached = (
-        asking.join(kth.select("query", "similarity"), "query", "left")
+        each.join(kth.select("query", "similarity"), "query", "left")
         .groupBy(*within, "q_pivot", "q_block")
         .agg(F.min(F.coalesce("similarity", F.lit(-1.5))).alias("reached"))
     )
-    others = F.explode(F.lit(list(range(len(pivots)))).cast("array<int>")).alias("pivot")
     same_block = [F.col(f"x.{n}").eqNullSafe(F.col(f"y.{n}")) for n in (*within, "q_pivot", "q_block")]
-    wanted = queries.alias("x").join(reached.alias("y"), same_block).select("x.*", "reached", others)
+    down = max(1, round(math.sqrt(TILES * asking / stored)), -(-asking // TILE_ROWS))
+    across = max(-(-TILES // down), -(-stored // TILE_ROWS))
     angles = F.lit([float(x) for x in between.ravel()]).cast("array<double>")
-    apart = F.get(angles, F.col("q.q_pivot") * len(pivots) + F.col("q.pivot"))
-    least = F.greatest(F.lit(0.0), apart - F.col("q.q_most") - F.col("b.most") - 1e-9)
-    may_reach = F.cos(least) >= F.col("q.reached") - 1e-8
-    far = wanted.where("pivot != q_pivot").alias("q").join(b, on("pivot")).where(may_reach)
-    found = own.unionByName(meet(far.select(*fields, "reached")))
+    apart = F.get(angles, F.col("q_pivot") * len(pivots) + F.col("b.pivot"))
+    least = F.greatest(F.lit(0.0), apart - F.col("q_most") - F.col("b.most") - 1e-9)
+    may_reach = F.cos(least) >= F.col("reached") - 1e-8
+    far = meet(
+        queries.alias("x").join(reached.alias("y"), same_block).select("x.*", "reached")
+        .withColumn("_down", F.pmod(F.xxhash64(*within, "q_pivot", "q_block"), F.lit(down)).cast("int")),
+        blocks.withColumn("_across", F.pmod(F.xxhash64(*within, "pivot", "block"), F.lit(across)).cast("int")),
+        down, across, [], (F.col("q_pivot") != F.col("b.pivot")) & may_reach,
+    )
+    found = own.unionByName(far)
     # the narrow candidates are scored on the vectors themselves
     close = found.withColumn("place", F.rank().over(Window.partitionBy("query").orderBy(F.round("similarity", 7).desc())))
     close = close.where(F.col("place") <= k).select("query", key)
-    values = rows.select(key, F.transform(vector, lambda x: x.cast("double")).alias("_v"))
-    scored = (
-        close.join(values, key)
-        .join(values.select(F.col(key).alias("query"), F.col("_v").alias("_q")), "query")
-        .select("query", key, cosine(F.col("_q"), F.col("_v")).alias("similarity"))
-    )
+    values = rows.select(key, F.col(vector).alias("_v"))
+    both = close.join(values, key).join(values.select(F.col(key).alias("query"), F.col("_v").alias("_q")), "query")
+    wide = evaluate_once(both, {name: F.transform(name, lambda x: x.cast("double")) for name in ("_q", "_v")})
+    scored = wide.select("query", key, cosine(F.col("_q"), F.col("_v")).alias("similarity"))
     order = Window.partitionBy("query").orderBy(F.round("similarity", 9).desc(), F.col(key))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "rank", key, "similarity")
 

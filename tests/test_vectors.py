@@ -55,3 +55,23 @@ def test_search_of_many_queries(spark, monkeypatch, k, within) -> None:
         assert np.allclose([s for *_, s in got], near[query, wanted])
     assert {x["query"] for x in found} == set(range(0, 160, 20))
     assert vectors.nearest_to_all(table.limit(0), F.col("vec_id") % 20 == 0, k, key="vec_id").count() == 0
+
+
+def test_blocks_move_once_per_tile(spark, monkeypatch, capsys) -> None:
+    """A grid of many tiles and a large group of copies; pairs of blocks are multiplied where they meet."""
+    for name, size in (("BLOCK_ROWS", 8), ("QUERY_ROWS", 4), ("PIVOTS", 3), ("TILES", 4), ("TILE_ROWS", 64)):
+        monkeypatch.setattr(vectors, name, size)
+    points = np.random.default_rng(5).normal(size=(200, 4)).round(1)
+    points[60:160] = points[3]
+    rows = [(i, [float(x) for x in p]) for i, p in enumerate(points)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = vectors.nearest_to_all(table, F.lit(True), 5, key="vec_id")
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    near = (unit @ unit.T).round(9)
+    got: dict[int, list] = {}
+    for row in found.orderBy("query", "rank").collect():
+        got.setdefault(row["query"], []).append(row["vec_id"])
+    assert got == {q: sorted((i for i in range(200) if i != q), key=lambda i: (-near[q, i], i))[:5] for q in range(200)}
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "MapInArrow" in plan and "hashpartitioning(q_keys" not in plan

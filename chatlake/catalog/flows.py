@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,14 +113,24 @@ def ingest_accounts(t: Tables) -> DataFrame:
     "(select unnest([1, 3, 7]) as cut) where coalesce(msg_id, '') <> '' and coalesce(create_time, '') <> '' group by 1",
 )
 def any_batch_cut(t: Tables) -> DataFrame:
-    """The same lines, some of them twice, in one, three and seven batches: one table."""
-    found = None
+    """The same lines, some of them twice, in one, three and seven batches: one table.
+
+    Batches of one table follow each other; the three tables are filled side by side, so that the jobs of one
+    run while another lists folders or moves its files into place.
+    """
     lines = t.fx_raw_lines.select("value", "line_no").withColumn("source_file", F.lit("f"))
     lines = lines.unionByName(lines.filter("line_no % 10 = 3").withColumn("line_no", F.col("line_no") + 5))
-    for cut in (1, 3, 7):
-        root = scratch_path(t.spark, f"cut_{cut}")
+    roots = {cut: scratch_path(t.spark, f"cut_{cut}") for cut in (1, 3, 7)}
+
+    def fill(cut: int) -> None:
         for part in range(cut):
-            ingest.ingest_batch(t.spark, lines.filter(F.col("line_no") % cut == part).select("value", "source_file"), root)
+            ingest.ingest_batch(t.spark, lines.filter(F.col("line_no") % cut == part).select("value", "source_file"), roots[cut])
+
+    with ThreadPoolExecutor(len(roots)) as side_by_side:
+        for done in [side_by_side.submit(inheritable_thread_target(t.spark)(fill), cut) for cut in roots]:
+            done.result()
+    found = None
+    for cut, root in roots.items():
         rows = lake.read_lake(t.spark, root).agg(
             F.lit(cut).alias("cut"), F.count(F.lit(1)).alias("stored"), F.countDistinct("msg_id").alias("ids")
         )

@@ -432,3 +432,29 @@ def test_own_landing_files_are_found(spark, tmp_path) -> None:
     assert {r.stem: r.decision for r in plan.collect()} == {"2024-01-01": "delete", "2024-01-19": "keep"}
     assert retention.delete_files(plan).count() == 1
     assert [r.stem for r in retention.raw_day_files(spark, raw).collect()] == ["2024-01-19"]
+
+
+def test_cuts_are_filled_side_by_side(spark, tmp_path, monkeypatch) -> None:
+    """The first batches of all three tables are under way at once, and each table's batches follow each other."""
+    import threading
+
+    from chatlake.catalog import flows
+    from chatlake.sources.adapters import Tables
+
+    spark.range(60).selectExpr("id as event_id", "id % 7 as user_id").write.parquet(f"{tmp_path}/events.parquet")
+    met, land, roots, busy = threading.Barrier(3), ingest.ingest_batch, [], set()
+
+    def landed(session, lines, root):
+        if root not in roots:
+            met.wait(60)
+        assert root not in busy
+        busy.add(root)
+        roots.append(root)
+        counts = land(session, lines, root)
+        busy.remove(root)
+        return counts
+
+    monkeypatch.setattr(ingest, "ingest_batch", landed)
+    found = {tuple(row) for row in flows.any_batch_cut(Tables(spark, str(tmp_path))).collect()}
+    assert found == {(cut, 55, 55) for cut in (1, 3, 7)}
+    assert sorted(roots.count(root) for root in set(roots)) == [1, 3, 7]

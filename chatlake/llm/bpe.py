@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from chatlake.llm.common import gather_spans, map_texts, mix
-from chatlake.llm.pretokens import Encoder, HashTable
+from chatlake.llm.pretokens import TEXT_BYTES, Encoder, HashTable
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Cells of one matrix.
@@ -194,7 +194,7 @@ def encode(docs: DataFrame, path: str = RANKS) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    return map_texts(docs.select("doc_id", "text"), work, f"doc_id {key}, n_tokens long, ids binary")
+    return map_texts(docs.select("doc_id", "text"), work, f"doc_id {key}, n_tokens long, ids binary", TEXT_BYTES)
 
 
 def decode(tokens: DataFrame, path: str = RANKS) -> DataFrame:

@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 
 from chatlake.llm.bpe import binary_rows
 from chatlake.llm.common import slices
-from chatlake.llm.pretokens import Encoder
+from chatlake.llm.pretokens import TEXT_BYTES, Encoder
 from chatlake.session import cut_lineage
 
 WINDOW = 1024
 END_ID = 0
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+#: Pre-tokens given to the tokenizer at a time; its results take much more room than the ids.
+WORDS = 4096
 
 _READY: dict[str, Encoder] = {}
 
@@ -45,8 +47,11 @@ def tokenizer_ids(path: str) -> Encoder:
         tokenizer.encode_special_tokens = True
 
         def encode(words: list[str]) -> list[list[int]]:
-            rows = tokenizer.encode_batch_fast(words, add_special_tokens=False)
-            return [row.ids for row in rows]
+            ids: list[list[int]] = []
+            for at in range(0, len(words), WORDS):
+                rows = tokenizer.encode_batch_fast(words[at : at + WORDS], add_special_tokens=False)
+                ids += [row.ids for row in rows]
+            return ids
 
         _READY[path] = Encoder(encode)
     return _READY[path]
@@ -58,7 +63,7 @@ def token_table(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
         encode = tokenizer_ids(path)
-        for batch in slices(batches):
+        for batch in slices(batches, TEXT_BYTES):
             ids, offsets = encode(batch.column("text").to_pylist())
             rows = np.arange(batch.num_rows)
             starts = before + offsets[:-1] + rows

@@ -33,6 +33,8 @@ from chatlake.session import cut_lineage
 
 LENGTH = 200
 GRAM = 40
+#: Bytes of texts whose anchors are found at a time; the arrays for that take about eighty times as much.
+TEXT_BYTES = 1 << 18
 #: Suffixes a task sorts into one piece at least, before it scans.
 PIECE = 4096
 
@@ -89,7 +91,7 @@ def anchors(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
     """h, c, rid, pos: anchor hash, hash of the bytes around it, text and place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(_once(batches)):
+        for batch in slices(_once(batches), TEXT_BYTES):
             data, offsets = text_bytes(batch.column("text"))
             at, hashes, sums = anchors_of(data, offsets, length, gram)
             doc = np.searchsorted(offsets, at, side="right") - 1

@@ -18,6 +18,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
     # of a repeated JSON key the last value counts
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # rows go to Python in batches of so many bytes: a batch of ten thousand texts is held by the JVM and the worker at once
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 
 

@@ -6,6 +6,7 @@ import base64
 import hashlib
 import random
 import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -16,7 +17,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from chatlake.llm import bpe, catalog, components, licenses, packing, pretokens, repeats, rules, simhash
-from chatlake.llm.common import read_table
+from chatlake.llm.common import read_table, slices
 from tests.conftest import DATA
 from tests.llm import brute
 
@@ -39,6 +40,39 @@ def _random_texts(n: int) -> list[str]:
     return ["".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(n)]
 
 
+def test_texts_reach_python_in_batches_of_bounded_bytes(spark):
+    docs = spark.range(0, 6000, 1, 1).selectExpr("id as doc_id", "repeat('abcdefgh', 500) as text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([batch.num_rows])], ["bytes", "rows"])
+
+    found = docs.mapInArrow(sizes, "bytes long, rows long").toPandas()
+    assert found["rows"].sum() == 6000
+    assert found["bytes"].max() < 5 << 20
+
+
+def test_tables_and_slices_for_pretokens_take_little_memory(monkeypatch):
+    monkeypatch.setattr(pretokens, "_CLASSES", [])
+    tracemalloc.start()
+    try:
+        table = pretokens._classes()
+        assert tracemalloc.get_traced_memory()[1] < 40 << 20
+        assert len(table) == 0x110000 and table[ord("é")] == pretokens._LETTER and table[0xD800] == pretokens._OTHER
+        text = " ".join(map("{:x}".format, range(0, 1 << 30, 5000)))
+        batch = pa.RecordBatch.from_arrays([pa.array([text[at : at + 2000] for at in range(0, len(text), 2000)])], ["text"])
+        encode = pretokens.Encoder(lambda words: [[len(word)] for word in words])
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        for part in slices(iter([batch]), pretokens.TEXT_BYTES):
+            encode(part.column("text").to_pylist())
+        held = tracemalloc.get_traced_memory()[0]
+        assert tracemalloc.get_traced_memory()[1] - max(before, held) < 40 << 20
+    finally:
+        tracemalloc.stop()
+
+
+
 def test_ids_of_random_texts() -> None:
     texts = [*_random_texts(3000), "<|endoftext|> a", "a" * 2000, "ab" * 300 + " " * 300, ""]
     ids, at = bpe.vocabulary(bpe.RANKS)[1](texts)

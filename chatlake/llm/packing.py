@@ -12,7 +12,8 @@ as often as they occur; an empty table gives no pieces. Other columns of the inp
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -31,6 +32,8 @@ END_ID = 0
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Pre-tokens given to the tokenizer at a time; its results take much more room than the ids.
 WORDS = 4096
+#: Pre-tokens that are one string for the tokenizer, and what stands between them.
+JOINED, BETWEEN = 128, "\x00"
 
 _READY: dict[str, Encoder] = {}
 
@@ -42,19 +45,59 @@ def tokenizer_ids(path: str) -> Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
+        split = tokenizer.pre_tokenizer
+        # elsewhere a string of many pre-tokens may not be split into just these, or ids may not cover all bytes
+        plain = isinstance(split, ByteLevel) and not split.add_prefix_space and tokenizer.normalizer is None
+        plain = plain and all(tokenizer.token_to_id(char) is not None for char in ByteLevel.alphabet())
+        _READY[path] = Encoder(joined_encode(tokenizer) if plain else lambda words: _rows(tokenizer, words))
+    return _READY[path]
 
-        def encode(words: list[str]) -> list[list[int]]:
-            ids: list[list[int]] = []
-            for at in range(0, len(words), WORDS):
-                rows = tokenizer.encode_batch_fast(words[at : at + WORDS], add_special_tokens=False)
-                ids += [row.ids for row in rows]
-            return ids
 
-        _READY[path] = Encoder(encode)
-    return _READY[path]
+def _rows(tokenizer, words: list[str], size: int = WORDS) -> list[list[int]]:
+    """The ids of each string; so many are encoded at a time."""
+    ids: list[list[int]] = []
+    for at in range(0, len(words), size):
+        rows = tokenizer.encode_batch_fast(words[at : at + size], add_special_tokens=False)
+        ids += [row.ids for row in rows]
+    return ids
+
+
+def joined_encode(tokenizer) -> Callable[[list[str]], Sequence]:
+    """Ids of pre-tokens of a byte-level tokenizer, which is given many of them as one string.
+
+    They are not searched for pre-tokens again, and the work that a string costs is shared by many. Tokens are as
+    many bytes long as characters in the vocabulary, so the lengths tell which ids are whose.
+    """
+    from tokenizers import pre_tokenizers
+
+    single = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    both = pre_tokenizers.Sequence([pre_tokenizers.Split(BETWEEN, "removed"), single])
+    tokenizer.pre_tokenizer = both
+    vocabulary = tokenizer.get_vocab()
+    bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+    for token, i in vocabulary.items():
+        bytes_of[i] = len(token)
+
+    def encode(words: list[str]) -> Sequence:
+        whole = np.frombuffer(BETWEEN.join(words).encode(), np.uint8)
+        marks = np.flatnonzero(whole == ord(BETWEEN))
+        if len(marks) != len(words) - 1:  # one holds the mark itself
+            tokenizer.pre_tokenizer = single
+            try:
+                return _rows(tokenizer, words)
+            finally:
+                tokenizer.pre_tokenizer = both
+        strings = [BETWEEN.join(words[at : at + JOINED]) for at in range(0, len(words), JOINED)]
+        flat = np.fromiter(chain.from_iterable(_rows(tokenizer, strings, WORDS // JOINED)), np.uint32)
+        ends = np.append(marks, len(whole)) - np.arange(len(words))
+        until = np.searchsorted(np.cumsum(bytes_of[flat]), ends) + 1
+        return flat, np.diff(until, prepend=0)
+
+    return encode
 
 
 def token_table(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:

@@ -132,7 +132,7 @@ class HashTable:
 
 
 class Encoder:
-    """Ids of whole texts. ``encode`` gives the ids of distinct pre-tokens."""
+    """Ids of whole texts. ``encode`` gives the ids of distinct pre-tokens: of each, or all in one array with their numbers."""
 
     def __init__(self, encode: Callable[[list[str]], Sequence]) -> None:
         self.encode = encode
@@ -147,6 +147,8 @@ class Encoder:
 
     def _flat(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = self.encode(words)
+        if isinstance(found, tuple):
+            return found
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         if len(found) and isinstance(found[0], np.ndarray):
             return np.concatenate(found).astype(np.uint32), lengths

@@ -14,7 +14,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers
 
 from chatlake.llm import bpe, catalog, components, licenses, packing, pretokens, repeats, rules, simhash
 from chatlake.llm.common import read_table, slices
@@ -83,6 +83,51 @@ def test_ids_of_random_texts() -> None:
         assert other[places[i] : places[i + 1]].tolist() == hub.encode(text, add_special_tokens=False).ids
 
 
+class _Counting:
+    """A tokenizer that counts the strings it is given."""
+
+    def __init__(self) -> None:
+        self.__dict__["inner"], self.__dict__["given"] = _tokenizer(), []
+
+    def __getattr__(self, name):
+        return getattr(self.inner, name)
+
+    def __setattr__(self, name, value):
+        setattr(self.inner, name, value)
+
+    def encode_batch_fast(self, strings, **settings):
+        self.given.extend(strings)
+        return self.inner.encode_batch_fast(strings, **settings)
+
+
+def test_pretokens_are_joined_for_the_tokenizer() -> None:
+    hub, counting = _tokenizer(), _Counting()
+    encode = packing.joined_encode(counting)
+    words = [*(f" w{i}" for i in range(1000)), "\n\n", " ", "\t", "'s", " é日", "🙂", "<|", "endoftext", "|>"]
+    ids, lengths = encode(words)
+    one = [hub.encode(word, add_special_tokens=False).ids for word in words]
+    assert ids.tolist() == [i for row in one for i in row]
+    assert lengths.tolist() == [len(row) for row in one]
+    assert len(counting.given) < len(words) / 100
+
+
+def test_pretokens_that_hold_the_mark_between_them() -> None:
+    hub = _tokenizer()
+    texts = ["a\x00b c", "\x00", "\x00\x00 \x00", "plain words", "", " \x00<|endoftext|>\x00"]
+    for some in (texts, texts[3:5], texts[:1]):
+        ids, at = packing.tokenizer_ids(packing.TOKENIZER)(some)
+        found = [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+        assert found == [hub.encode(text, add_special_tokens=False).ids for text in some]
+
+
+def test_other_tokenizers_get_pretokens_one_by_one(tmp_path) -> None:
+    other = _tokenizer()
+    other.normalizer = normalizers.Lowercase()
+    other.save(path := str(tmp_path / "lower.json"))
+    ids, _ = packing.tokenizer_ids(path)(["Some WORDS here"])
+    assert ids.tolist() == _tokenizer().encode("some words here", add_special_tokens=False).ids
+
+
 def test_pretokens_of_one_hash_keep_their_ids() -> None:
     """The sums of these words and of their complements are equal for every odd base."""
     public, hub = _encoding(), _tokenizer()

@@ -276,9 +276,9 @@ def _with_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
     )
     found = repeated_spans(texts, length, gram).select("rid", "first", "last")
     spans = found.union(whole).groupBy("rid").agg(F.collect_set(F.struct("first", "last")).alias("found"))
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), text.alias("text"), F.xxhash64(text).alias("rid"))
-    return rows.join(spans, "rid", "left").select("row", "text", "found")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("rid"))
+    # the text moves inside its row only
+    return rows.join(spans, "rid", "left").select("row", F.coalesce("row.text", F.lit("")).alias("text"), "found")
 
 
 def _cuts(batch: pa.RecordBatch) -> Iterator[tuple[bytes, list[tuple[int, int]], bytes]]:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +24,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(app: str = "chatlake", master: str | None = None, **settings: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -67,14 +71,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is run meanwhile go when it ends, not when the driver collects its garbage."""
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write rows to a table in the shared folder and go on from there.
 
     All later stages see the same rows, also when executors are lost; they read only the
-    columns they need, and the planner knows the real size.
+    columns they need, and the planner knows the real size. What was shuffled for the table is
+    freed when it is written, since nothing reads it any more.
     """
     path = scratch_path(df.sparkSession, "cut")
-    df.write.parquet(path)
+    with _shuffles_freed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -416,3 +416,14 @@ def test_query_digests(spark) -> None:
         ids = np.array(public.encode_ordinary(docs[r["doc_id"]] or ""), "<u4")
         assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(ids.tobytes()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256((docs[r["doc_id"]] or "").encode()).hexdigest()
+
+
+def test_a_text_moves_once_to_its_spans(spark, capsys) -> None:
+    docs = spark.createDataFrame([(1, "de", "ab" * 30), (2, None, "ab" * 30 + "c"), (3, "fr", None)], "doc_id long, lang string, text string")
+    rows = repeats._with_spans(docs, 20, 6)
+    rows.explain("formatted")
+    shuffled = [line for part in capsys.readouterr().out.split("\n\n") if "Exchange" in part for line in part.splitlines() if "Input" in line]
+    assert any("row#" in line for line in shuffled)
+    assert not any("row#" in line and "text#" in line for line in shuffled)
+    found = {x["row"]["doc_id"]: (x["row"]["text"], x["text"]) for x in rows.collect()}
+    assert found == {1: ("ab" * 30, "ab" * 30), 2: ("ab" * 30 + "c", "ab" * 30 + "c"), 3: (None, "")}

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+import time
 from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chatlake import schemas
+from chatlake import schemas, session
 from chatlake.operators import cleaning, dedup, images, partitions, quality, retention, selection, state
 from chatlake.operators import schema_evolution as evolution
 from chatlake.sources import files, jsonl, lake
@@ -32,6 +33,27 @@ def _write(path, lines: list[str]) -> str:
     return str(path)
 
 
+def _shuffle_files(spark) -> set[str]:
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = manager.getAllFiles()
+    return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_shuffles_of_a_written_table_are_freed(spark) -> None:
+    before = _shuffle_files(spark)
+    setting = spark.conf.get(session.FREE_SHUFFLES, None)
+    rows = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.collect_list("id").alias("ids"))
+    table = session.cut_lineage(rows.join(rows.select("k"), "k").repartition(3, "k"))
+    for _ in range(50):
+        if not (left := _shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert spark.conf.get(session.FREE_SHUFFLES, None) == setting
+    assert table.count() == rows.count() == 7
+    assert sorted(x for row in table.collect() for x in row["ids"]) == list(range(1000))
+
+
 def test_line_numbers_over_many_splits(spark, tmp_path) -> None:
     lines = [f"{i}" if i % 7 else "" for i in range(1, 2001)]
     path = _write(tmp_path / "big.jsonl", lines)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
@@ -122,20 +123,18 @@ def any_batch_cut(t: Tables) -> DataFrame:
     lines = lines.unionByName(lines.filter("line_no % 10 = 3").withColumn("line_no", F.col("line_no") + 5))
     roots = {cut: scratch_path(t.spark, f"cut_{cut}") for cut in (1, 3, 7)}
 
-    def fill(cut: int) -> None:
+    def fill(cut: int) -> DataFrame:
         for part in range(cut):
             ingest.ingest_batch(t.spark, lines.filter(F.col("line_no") % cut == part).select("value", "source_file"), roots[cut])
-
-    with ThreadPoolExecutor(len(roots)) as side_by_side:
-        for done in [side_by_side.submit(inheritable_thread_target(t.spark)(fill), cut) for cut in roots]:
-            done.result()
-    found = None
-    for cut, root in roots.items():
-        rows = lake.read_lake(t.spark, root).agg(
+        table = lake.read_lake(t.spark, roots[cut])
+        return lake.in_larger_tasks(table.select("msg_id"), table).agg(
             F.lit(cut).alias("cut"), F.count(F.lit(1)).alias("stored"), F.countDistinct("msg_id").alias("ids")
         )
-        found = rows if found is None else found.unionByName(rows)
-    return found
+
+    with ThreadPoolExecutor(len(roots)) as side_by_side:
+        # the table of most batches first, since it is the last to be done
+        filled = [side_by_side.submit(inheritable_thread_target(t.spark)(fill), cut) for cut in sorted(roots, reverse=True)]
+        return reduce(DataFrame.unionByName, [table.result() for table in filled])
 
 
 @query(

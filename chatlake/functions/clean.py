@@ -38,6 +38,16 @@ def body_of(top: Column) -> Column:
     return F.when(wrapped, inner).otherwise(top)
 
 
+def fields_of(document: Column, path: str, names: list[str], kept: list[str]) -> Column:
+    """Members of these names of the JSON object at ``path`` as a struct; null for anything else.
+
+    They are texts as ``member_text`` gives them, without a map of all members on the way; those in ``kept`` stay
+    variants, which are null only where the object has no such member.
+    """
+    kinds = [f"`{name}` {'variant' if name in kept else 'string'}" for name in names]
+    return F.try_variant_get(document, path, f"struct<{', '.join(kinds)}>")
+
+
 def lacks(keys: Column, required: list[str]) -> Column:
     """Required names that are not present."""
     return F.array_except(F.array(*[F.lit(name) for name in required]), keys)

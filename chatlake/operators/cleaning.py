@@ -11,6 +11,7 @@ from chatlake.functions import clean
 from chatlake.operators.shaping import evaluate_once
 
 RAW_PREVIEW = 500  # characters of a refused line that reports show; the whole line is kept beside it
+INHERITED_FIELDS = ["guid", "notify_type"]  # an envelope gives them to a message that lacks them
 VALID_SECONDS = (-62135596800, 253402300799)  # the years 1 to 9999
 
 
@@ -39,7 +40,7 @@ def extract_payload(parsed: DataFrame) -> DataFrame:
     ``present`` lists the names the message carries, null-valued ones included;
     ``guid`` and ``notify_type`` come from the envelope when the message lacks them.
     """
-    inherited = ["guid", "notify_type"]
+    inherited = INHERITED_FIELDS
     tops = evaluate_once(parsed, {"_top": clean.members(F.col("doc"))})
     opened = evaluate_once(tops, {"_body": clean.body_of(F.col("_top"))})
     body, top = F.col("_body"), F.col("_top")
@@ -58,6 +59,31 @@ def extract_payload(parsed: DataFrame) -> DataFrame:
     return evaluate_once(opened.drop("doc"), fields).drop("_top")
 
 
+def payload_fields(parsed: DataFrame) -> DataFrame:
+    """The text columns of ``extract_payload`` alone, for lines whose other members are of no interest.
+
+    Only the members of a message are read, so a line costs less than with a map of all of them.
+    """
+    doc, top, inner = F.col("doc"), F.col("_top"), F.col("_inner")
+    names = schemas.RAW_MESSAGE.names
+    opened = evaluate_once(
+        parsed,
+        {
+            "_top": clean.fields_of(doc, "$", names, ["msg_id"]),
+            "_inner": clean.fields_of(doc, "$.data", names, INHERITED_FIELDS),
+        },
+    )
+    fields: dict[str, Column] = {}
+    for name in names:
+        outer, own = top[name], inner[name]
+        if name == "msg_id":
+            outer = F.try_variant_get(outer, "$", "string")
+        if name in INHERITED_FIELDS:
+            own = F.when(own.isNull(), outer).otherwise(F.try_variant_get(own, "$", "string"))
+        fields[name] = F.when(top["msg_id"].isNull() & inner.isNotNull(), own).otherwise(outer)
+    return evaluate_once(opened.drop("doc"), fields).drop("_top", "_inner")
+
+
 def clean_fields(df: DataFrame) -> DataFrame:
     """Text ``source`` and empty strings for the optional text fields."""
     names = ["source", *schemas.OPTIONAL_TEXT_FIELDS]
@@ -149,11 +175,9 @@ def judge_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     ``schema_error`` (no id or no time) or ``validation_error`` (a number that is none, or a time
     outside the years 1 to 9999). So one parse feeds the table, the quarantine and the counts.
     """
-    opened = extract_payload(parse_lines(lines, column))
-    lacking = F.array_compact(
-        F.array(*[F.when(F.coalesce(n, F.lit("")) == "", F.lit(n)) for n in ("msg_id", "create_time")])
-    )
-    filled = clean_fields(opened.withColumn("missing_fields", F.array_join(lacking, ","))).withColumns(
+    opened = payload_fields(parse_lines(lines, column))
+    lacking = [F.when(F.coalesce(n, F.lit("")) == "", F.lit(n)) for n in ("msg_id", "create_time")]
+    filled = clean_fields(opened.withColumn("missing_fields", F.concat_ws(",", *lacking))).withColumns(
         {name: clean.with_default(name) for name in schemas.INGEST_DEFAULTS}
     )
     typed = _numbers(filled.withColumn("ingestion_time", _stamp()))
@@ -166,7 +190,7 @@ def judge_lines(lines: DataFrame, column: str = "value") -> DataFrame:
         .when(F.col("missing_fields") != "", "schema_error")
         .when(unusable, "validation_error")
     )
-    return typed.withColumn("error_type", kind).drop("line_kind", "_body", "present")
+    return typed.withColumn("error_type", kind).drop("line_kind")
 
 
 def complete_messages(parsed: DataFrame) -> DataFrame:

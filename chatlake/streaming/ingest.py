@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import date
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,14 +58,19 @@ def days_of(batch: DataFrame) -> list[date]:
 
 def in_days(stored: DataFrame, days: list[date]) -> DataFrame:
     """Stored rows of these days; folders of other days are not read, also not those between them."""
-    return stored.filter(F.make_date(*DAY).isin(days))
+    if not days:
+        return stored.filter(F.lit(False))
+    # as one text: a literal of its own for each day takes longer than reading the day
+    named = ", ".join(f"date'{day.isoformat()}'" for day in days)
+    return stored.filter(f"make_date({', '.join(DAY)}) in ({named})")
 
 
 def unseen(batch: DataFrame, stored: DataFrame | None, days: list[date]) -> DataFrame:
     """Rows whose id is not yet stored under their day; ``days`` are those of the batch."""
     if stored is None:
         return batch
-    return batch.join(in_days(stored, days).select(*DAY, "msg_id"), [*DAY, "msg_id"], "left_anti")
+    ids = lake.in_larger_tasks(in_days(stored, days).select(*DAY, "msg_id"), stored)
+    return batch.join(ids, [*DAY, "msg_id"], "left_anti")
 
 
 def not_written(batch: DataFrame, stored: DataFrame | None, days: list[date]) -> DataFrame:
@@ -96,9 +103,12 @@ def ingest_batch(
     A batch that is repeated after a failure adds nothing twice: by id when deduplicating, else
     (``repeated``) by content. Its dead letters replace those of the first attempt.
     """
-    stored = lake.read_if_there(spark, root) if deduplicate or repeated else None
     staged = scratch_path(spark, "batch")
-    judged(lines).write.parquet(staged)
+    with ThreadPoolExecutor(1) as beside:
+        # the folders of the table are listed while the lines are judged
+        listed = beside.submit(inheritable_thread_target(spark)(lake.read_if_there), spark, root) if deduplicate or repeated else None
+        judged(lines).write.parquet(staged)
+        stored = listed.result() if listed else None
     rows = spark.read.parquet(staged)
     kinds = {
         row["error_type"]: row["count"] for row in rows.groupBy("error_type").count().collect()

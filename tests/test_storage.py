@@ -480,3 +480,62 @@ def test_cuts_are_filled_side_by_side(spark, tmp_path, monkeypatch) -> None:
     found = {tuple(row) for row in flows.any_batch_cut(Tables(spark, str(tmp_path))).collect()}
     assert found == {(cut, 55, 55) for cut in (1, 3, 7)}
     assert sorted(roots.count(root) for root in set(roots)) == [1, 3, 7]
+
+
+def test_stored_ids_are_read_in_few_tasks(spark, tmp_path, monkeypatch) -> None:
+    """Small files of many days share tasks when a batch is compared with them; where files or bytes are many, so are tasks."""
+    root, days = str(tmp_path / "lake"), 24
+    lines = [(_line(day, day + 1), "f") for day in range(days)]
+    ingest.ingest_batch(spark, spark.createDataFrame(lines, "value string, source_file string"), root)
+    batch = ingest.judged(spark.createDataFrame([*lines[::2], (_line(99, 3), "f")], "value string, source_file string"))
+    usual = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")  # as much as a file is reckoned to cost: a task for each
+    try:
+        stored = lake.read_lake(spark, root)
+        ids = stored.select("msg_id")
+        tasks = ids.rdd.getNumPartitions()
+        assert tasks >= days
+        cores = 2 * spark.sparkContext.defaultParallelism
+        assert lake.in_larger_tasks(ids, stored).rdd.getNumPartitions() == cores
+        fresh = ingest.unseen(batch, stored, ingest.days_of(batch))
+        assert "Coalesce" in fresh._jdf.queryExecution().executedPlan().toString()
+        assert [r.msg_id for r in fresh.collect()] == ["m99"]
+        monkeypatch.setattr(lake, "FILES_PER_TASK", 2)
+        assert lake.in_larger_tasks(ids, stored).rdd.getNumPartitions() == days // 2 + 1
+        monkeypatch.setattr(lake, "FILES_PER_TASK", 1)
+        monkeypatch.setattr(lake, "BYTES_PER_TASK", 1)
+        found = lake.in_larger_tasks(ids, stored)
+        assert found.rdd.getNumPartitions() == tasks and found.count() == days
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
+
+
+def test_the_id_filter_fits_a_small_file(spark, tmp_path) -> None:
+    rows = spark.range(200).selectExpr("concat('m', id) as msg_id", "timestamp'2024-01-01 00:00:00' as create_time")
+    lake.write_days(rows, str(tmp_path / "lake"))
+    (file,) = tmp_path.rglob("*.parquet")
+    assert file.stat().st_size < 16_000
+    lake.write_days(rows, str(tmp_path / "plain"), id_filter=False)
+    (plain,) = (tmp_path / "plain").rglob("*.parquet")
+    assert file.stat().st_size > plain.stat().st_size + 200
+
+
+def test_lines_are_judged_without_a_map_of_their_members(spark) -> None:
+    """The fields of a judged line are those of its opened envelope, also where names come twice, are null or nested."""
+    odd = [
+        None, "", "  ", "{bad", "[1]", "5", "null", '"x"', '{"a":1}', '{"data":[1],"msg_id":"q","create_time":1e3,"msg_type":1.5}',
+        '{"msg_id":null,"data":{"msg_id":"m1","create_time":5}}', '{"msg_id":{"a":1},"data":{"msg_id":"in"},"create_time":-5}',
+        '{"guid":"g","notify_type":3,"data":{"msg_id":"m1","create_time":5,"guid":null}}', '{"guid":null,"data":{"msg_id":"x"}}',
+        '{"guid":"g","notify_type":3.0,"data":{"msg_id":7,"create_time":"5","notify_type":{"a":[1,2.50]},"content":[1,{"b":null}],"source":true}}',
+        '{"data":null,"guid":"g","create_time":1.0}', '{"data":{"data":{"msg_id":"z"}},"guid":"g"}', '{"data":{"MSG_ID":"up"}}',
+        '{"data":{"msg_id":"a","msg_id":"b","create_time":12345678901234567890},"guid":"g","guid":"h"}', '{"data":{},"msg_id":"x","create_time":"9"}',
+        '{"data":{"msg_id":"","create_time":"","from_username":null,"desc":"d","ingestion_time":"2024-01-01T00:00:00Z"},"notify_type":false}',
+    ]
+    lines = spark.createDataFrame([*enumerate(odd)], "n int, value string")
+    names = ["n", "line_kind", *schemas.RAW_MESSAGE.names]
+    wanted = cleaning.extract_payload(cleaning.parse_lines(lines)).select(*names).orderBy("n").collect()
+    assert cleaning.payload_fields(cleaning.parse_lines(lines)).select(*names).orderBy("n").collect() == wanted
+    plan = cleaning.judge_lines(lines)._jdf.queryExecution().executedPlan().toString()
+    assert "MapType" not in plan and "map_keys" not in plan
+    missing = {r.n: r.missing_fields for r in cleaning.judge_lines(lines).filter("error_type = 'schema_error'").collect()}
+    assert (missing[8], missing[13], missing[20]) == ("msg_id,create_time", "create_time", "msg_id,create_time")

@@ -84,8 +84,9 @@ def in_larger_tasks(rows: DataFrame, table: DataFrame) -> DataFrame:
     """``rows``, which are read from the files of ``table``, in fewer tasks where these files are small.
 
     Spark reckons 4 MB for opening a file, so a task gets some dozens of small ones, and a shuffle behind it
-    costs more than the reading: each task writes a file per shuffle partition. Tasks are never more than Spark
-    would make, and hold no more than so many files and bytes where that leaves two for each core.
+    costs more than the reading: each task writes a file per shuffle partition. Here there are two tasks for each
+    core, or more where one would get over ``FILES_PER_TASK`` files or ``BYTES_PER_TASK`` bytes on average, and
+    never more than Spark would make.
     """
     spark, plan = rows.sparkSession, table._jdf
     size = plan.queryExecution().optimizedPlan().stats().sizeInBytes()
